@@ -5,15 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, quality_rules
+from . import decontaminate, line_dedup, near_dedup, packing, quality_rules, token_files
 from .cluster import table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = quality_rules.verdicts(table(spark, sf_dir, "documents"))
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.scratch(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"))
+    return token_files.digests(token_files.read(spark, path))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedupe_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -23,5 +43,26 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op9_line_dedup, op10_near_dedup)}
-ORACLES: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, pipeline)}
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+
+def _shingles(of: str, table_name: str, k: int) -> str:
+    return f"""select distinct {of}, unnest(case when len(w) >= {k} then list_transform(range(1, len(w) - {k - 2}), i -> array_to_string(w[i:i + {k - 1}], ' '))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from (select {of}, {_WORDS} as w from {table_name})"""
+
+
+ORACLES: dict[str, str] = {
+    "op7_decontamination": f"""
+with d as ({_shingles("doc_id", "documents", 5)}), b as ({_shingles("item_id", "benchmark", 5)}),
+n as (select item_id, count(*) as n_shingles from b group by item_id),
+m as (select doc_id, item_id, count(*) as n_shared from d join b using (s) group by doc_id, item_id)
+select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from m join n using (item_id) where 100 * n_shared >= 80 * n_shingles""",
+}
