@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality_rules, token_files
+from . import decontaminate, line_dedup, near_dedup, packing, quality_model, quality_rules, token_files
 from .cluster import table
 
 
@@ -15,6 +15,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -49,7 +53,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
