@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality_model, quality_rules, token_files
+from . import decontaminate, html_text, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, token_counts, token_files
 from .cluster import table
 
 
@@ -15,6 +15,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_lm_score, op3_token_counts, op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
@@ -69,4 +82,33 @@ with d as ({_shingles("doc_id", "documents", 5)}), b as ({_shingles("item_id", "
 n as (select item_id, count(*) as n_shingles from b group by item_id),
 m as (select doc_id, item_id, count(*) as n_shared from d join b using (s) group by doc_id, item_id)
 select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from m join n using (item_id) where 100 * n_shared >= 80 * n_shingles""",
+    "op2_lm_score": f"""
+with t as (select doc_id, w, len(w) as m from (select doc_id, {_WORDS} as w from documents)),
+p as (select doc_id, m, unnest(w) as b, unnest(list_concat([null], w[1:m - 1])) as a from t where m > 0),
+uni as (select b, count(*) as c from p group by b), uni_own as (select doc_id, b, count(*) as c from p group by doc_id, b),
+bi as (select a, b, count(*) as c from p where a is not null group by a, b), bi_own as (select doc_id, a, b, count(*) as c from p where a is not null group by doc_id, a, b),
+n as (select sum(m) as n from t),
+x as (select p.doc_id, p.a is not null as has, n.n - p.m as others, u.c - uo.c as c1, coalesce(bi.c - bo.c, 0) as c2, coalesce(h.c - ho.c, 0) as ctx
+  from p cross join n join uni u using (b) join uni_own uo on uo.doc_id = p.doc_id and uo.b = p.b
+  left join bi on bi.a = p.a and bi.b = p.b left join bi_own bo on bo.doc_id = p.doc_id and bo.a = p.a and bo.b = p.b
+  left join uni h on h.b = p.a left join uni_own ho on ho.doc_id = p.doc_id and ho.b = p.a),
+s as (select doc_id, count(*) as k, sum(case when c2 > 0 and ctx > 0 then ln(c2 / ctx)
+  else case when c1 > 0 then ln(c1 / others) else -ln(others + 1.0) end + case when has then ln(0.4) else 0 end end) as s from x group by doc_id)
+select t.doc_id, cast(t.m as bigint) as n_tokens, round(coalesce(s, 0.0), 3) as log_score from t left join s using (doc_id)""",
+    "op9_line_dedup": r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key, max(doc_id) as keeper from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+m as (select k.doc_id, k.pos, k.line, f.keeper is not null and f.keeper <> k.doc_id as gone from k left join f using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from m group by doc_id""",
+    "op10_near_dedup": f"""
+with recursive s as ({_shingles("doc_id", "documents", 2)}), n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (s) where x.doc_id < y.doc_id group by 1, 2),
+e as (select a, b from i join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)),
+g as (select a, b from e union all select b, a from e),
+r as (select doc_id as v, doc_id as c from documents union select g.b, r.c from r join g on g.a = r.v where r.c < g.b),
+m as (select v, min(c) as component_id from r group by v)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+from documents d left join n using (doc_id) join m on m.v = d.doc_id""",
 }
