@@ -72,7 +72,7 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 
 
 def _shingles(of: str, table_name: str, k: int) -> str:
-    return f"""select distinct {of}, unnest(case when len(w) >= {k} then list_transform(range(1, len(w) - {k - 2}), i -> array_to_string(w[i:i + {k - 1}], ' '))
+    return f"""select distinct {of}, unnest(case when len(w) >= {k} then list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))
         when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from (select {of}, {_WORDS} as w from {table_name})"""
 
 
