@@ -25,6 +25,12 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     query.awaitTermination()
 
 
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Drains what is there and writes the whole aggregate, replacing the last one."""
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def ingest_stream(stream: DataFrame, target: str, checkpoint: str, order: str) -> None:
     """Exact two-key ingest against all history: each micro-batch is inserted where both keys are new."""
 
@@ -57,7 +63,7 @@ def late_counts(stream: DataFrame, time: str, delay: str) -> DataFrame:
 
 
 def session_gate(stream: DataFrame, idle: str = "30 days") -> DataFrame:
-    """The first triggered event of each session (session_id, event_id, ts, kind); a session's state ends after idle time.
+    """The first triggered event of each session (session_id, event_id, ts, kind); a session's state ends after idle event time.
 
     In one micro-batch "first" is the least (ts, event_id); across batches it is arrival.
     """
@@ -67,18 +73,12 @@ def session_gate(stream: DataFrame, idle: str = "30 days") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
+        rows = pd.concat(list(frames), ignore_index=True)
         fired = state.exists
-        best = None
-        for f in frames:
-            if not fired and len(f):
-                row = f.sort_values(["ts", "event_id"]).iloc[:1]
-                if best is None or tuple(row[["ts", "event_id"]].iloc[0]) < tuple(best[["ts", "event_id"]].iloc[0]):
-                    best = row
+        state.update((True,))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms)
         if not fired:
-            state.update((True,))
-        state.setTimeoutDuration(ms)
-        if best is not None:
-            yield best[["session_id", "event_id", "ts", "kind"]]
+            yield rows.sort_values(["ts", "event_id"]).iloc[:1][["session_id", "event_id", "ts", "kind"]]
 
-    rows = stream.where("kind is not null and coalesce(session_id, '') <> ''").select("session_id", "event_id", "ts", "kind")
-    return rows.groupBy("session_id").applyInPandasWithState(first, "session_id string, event_id bigint, ts timestamp, kind string", "fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.where("kind is not null and coalesce(session_id, '') <> ''").select("session_id", "event_id", "ts", "kind").withWatermark("ts", idle)
+    return rows.groupBy("session_id").applyInPandasWithState(first, "session_id string, event_id bigint, ts timestamp, kind string", "fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
