@@ -9,14 +9,19 @@ documents is compared exhaustively; larger ones branch on, to ``DEPTH`` at most.
 choices a node a pair at the threshold 0.8 expects one common child, so it survives
 with a probability that ``survival`` gives, and the trees together reach the target recall.
 
-A node that is still large at the last level holds documents that agree almost
-everywhere. Its members are first compared with one pivot; members that end up in
-another component than the pivot are then compared with all members of other
-components that the triangle inequality of the Jaccard distance allows. So no pair
-within one component is ever expanded there, and none between components is lost.
+Small nodes are compared in two rounds. First all members meet one pivot, the least
+doc_id. Then members in different components meet each other. So the pairs within a group
+of copies are never expanded, and no link between components is lost.
+
+Nodes that are still large at the last level hold documents that agree almost everywhere.
+Overlapping ones are joined to dense groups, so each document stands there once. All of a
+group meet its most central member; those that are left meet the most central of
+themselves; what is then still outside the main component (few) is held against the whole
+group in blocks, with exact sets, and only links between components come out.
 
 Candidates pass a sketch test with a margin of over four standard deviations and are
-then confirmed on the full sets.
+then confirmed on the full sets. Sets are taken from the texts again for the documents
+of candidate pairs only; their ids are broadcast up to ``IDS_BOUND``, joined beyond.
 
 Null or empty texts have an empty set and are linked with nothing. Rows that share a
 doc_id are one node. Rows without doc_id stay out of all links and are kept.
@@ -40,6 +45,8 @@ POSITIONS = 64
 SMALL, DEPTH, RECALL = 48, 5, 0.9999
 #: Of 64 four-bit minwise values, so many may differ; 52 agree on average at similarity 0.8, with a deviation of 3.1.
 SKETCH_DIFFERS = 26
+IDS_BOUND = 1_000_000
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def survival(similarity: float, depth: int) -> float:
@@ -97,6 +104,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc, items) of the named documents, from their whole texts."""
+    ids = F.broadcast(ids) if ids.count() <= IDS_BOUND else ids
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").alias("_text")).join(ids, "doc", "left_semi")
 
     def run(batches):
@@ -140,18 +148,18 @@ def _expand(rows: DataFrame, roots: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "doc bigint, node bigint")
 
 
-def _differs():
-    """How many of the 64 four-bit values of sketches x and y differ."""
+def _differs(columns: list[tuple[str, str]]):
+    """How many of the 64 four-bit values of two sketches differ."""
     out = []
-    for j in range(4):
-        x = F.col(f"x.s{j}").bitwiseXOR(F.col(f"y.s{j}"))
-        any_bit = reduce(lambda a, b: a.bitwiseOR(b), [x, *(F.shiftrightunsigned(x, i) for i in (1, 2, 3))])
+    for a, b in columns:
+        x = F.col(a).bitwiseXOR(F.col(b))
+        any_bit = reduce(lambda p, q: p.bitwiseOR(q), [x, *(F.shiftrightunsigned(x, i) for i in (1, 2, 3))])
         out.append(F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111))))
-    return reduce(lambda a, b: a + b, out)
+    return reduce(lambda p, q: p + q, out)
 
 
-def _sizes_allow(percent: int):
-    return (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+def _sizes_allow(a: str, b: str, percent: int):
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,37 +177,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = cut(some.groupBy("fa", "fb").agg(F.min(F.struct("doc", "n", "s0", "s1", "s2", "s3", "sig")).alias("r")).select("fa", "fb", "r.*"))
     brief = reps.select("doc", "n", "s0", "s1", "s2", "s3")
 
-    leaves, dense = [], None
+    nodes = []
     level = _expand(reps.select("doc", "sig"), trees_for(percent / 100, DEPTH, RECALL))
     for depth in range(1, DEPTH + 1):
         level = cut(level)
         sizes = level.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
         held = cut(level.join(sizes, "node"))
-        leaves.append(held.where(F.col("c") <= SMALL).select("doc", "node"))
-        dense = held.where(F.col("c") > SMALL).select("doc", "node")
-        if depth == DEPTH or dense.isEmpty():
+        large = held.where(F.col("c") > SMALL)
+        nodes.append(held.where(F.col("c") <= SMALL).select("doc", "node", "c"))
+        if depth == DEPTH or large.isEmpty():
+            nodes.append(large.select("doc", "node", "c"))
             break
-        level = _expand(dense.join(reps.select("doc", "sig"), "doc").select("doc", "sig", "node"))
-
-    member = reduce(DataFrame.unionByName, leaves).join(brief, "doc").repartition("node")
-    near = member.alias("x").join(member.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.doc") < F.col("y.doc")) & _sizes_allow(percent) & (_differs() <= SKETCH_DIFFERS))
-    pairs = near.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    crowded = not dense.isEmpty()
-    if crowded:
-        pivots = dense.groupBy("node").agg(F.min("doc").alias("pivot"))
-        dense = cut(dense.join(pivots, "node"))
-        pairs = pairs.unionByName(dense.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-    pairs = cut(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = _full_sets(docs, ids, k)
-    checked = cut(_verify(pairs, sets, percent))
-    links = checked.where("linked").select("a", "b")
-    comps = cut(connected_components(links))
-    if crowded:
-        more = _between_components(dense, brief, checked, comps, percent)
-        if not more.isEmpty():
-            found = _verify(more, sets, percent).where("linked").select("a", "b")
-            comps = cut(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)))
+        level = _expand(large.join(reps.select("doc", "sig"), "doc").select("doc", "sig", "node"))
+
+    # First round: every member with its node's pivot; in dense groups with the group's.
+    member = cut(reduce(DataFrame.unionByName, nodes).join(brief, "doc"))
+    groups = cut(_dense_groups(member.where(F.col("c") > SMALL)))
+    member = member.where(F.col("c") <= SMALL)
+    pivots = member.groupBy("node").agg(F.min(F.struct("doc", "n", *SKETCH)).alias("p")).select("node", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), *(F.col(f"p.{c}").alias(f"p{c}") for c in SKETCH))
+    member = member.join(pivots, "node")
+    fits = _sizes_allow("n", "pn", percent) & (_differs([(c, f"p{c}") for c in SKETCH]) <= SKETCH_DIFFERS)
+    stars = member.where((F.col("doc") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    pairs = cut(stars.unionByName(_star(groups)).distinct())
+    sets = _full_sets(docs, _ids(pairs), k)
+    linked = lambda pairs, sets: _verify(pairs, sets, percent).where("linked").select("a", "b")
+    comps = cut(connected_components(linked(pairs, sets)))
+    merge = lambda comps, found: cut(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)))
+
+    # Second round: members of different components.
+    if not groups.isEmpty():
+        outside = cut(_outside(groups, comps))
+        if not outside.isEmpty():
+            comps = merge(comps, cut(linked(_star(outside), sets)))
+            comps = merge(comps, cut(_blocked_links(groups, comps, sets, percent)))
+    member = member.drop("pn", *(f"p{c}" for c in SKETCH)).join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    more = cut(_small_nodes(member, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        rest = _ids(more).join(sets.select("doc"), "doc", "left_anti")
+        comps = merge(comps, linked(more, sets.unionByName(_full_sets(docs, cut(rest), k))))
 
     named = reps.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("fa", "fb", F.coalesce("component", "doc").alias("component"))
     out = all_sets.select("doc", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
@@ -208,20 +223,86 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _between_components(dense: DataFrame, brief: DataFrame, checked: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a dense node that lie in different components and may be linked, by distance to the node's pivot."""
-    comp = comps.withColumnRenamed("node", "doc")
-    far = checked.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "distance")
-    at = dense.join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc")).join(far, ["pivot", "doc"], "left").withColumn("distance", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
-    main = at.where("doc = pivot").select("node", F.col("component").alias("main"))
-    at = at.join(main, "node")
-    mixed = at.groupBy("node").agg(F.max(F.col("component") != F.col("main")).alias("mixed")).where("mixed").select("node")
-    reach = 1 - percent / 100
-    at = cut(at.join(mixed, "node", "left_semi").join(brief, "doc").withColumn("bin", F.floor(F.col("distance") / reach)))
-    stray = at.where("component <> main").withColumn("near", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    on = (F.col("x.node") == F.col("y.node")) & (F.col("x.near") == F.col("y.bin")) & (F.col("x.component") != F.col("y.component"))
-    on = on & (F.abs(F.col("x.distance") - F.col("y.distance")) <= reach + 1e-9) & _sizes_allow(percent) & (_differs() <= SKETCH_DIFFERS)
-    return cut(stray.alias("x").join(at.alias("y"), on).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+
+
+def _near(on, percent: int):
+    return on & (F.col("x.component") != F.col("y.component")) & _sizes_allow("x.n", "y.n", percent) & (_differs([(f"x.{c}", f"y.{c}") for c in SKETCH]) <= SKETCH_DIFFERS)
+
+
+def _pair(x: DataFrame, y: DataFrame, on) -> DataFrame:
+    return x.alias("x").join(y.alias("y"), on).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+
+
+def _small_nodes(member: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in nodes of 3 to SMALL members, the pivot's aside: those are done."""
+    rest = member.where((F.col("c") > 2) & (F.col("c") <= SMALL) & (F.col("doc") != F.col("pivot"))).select("node", "doc", "component", "n", *SKETCH)
+    return _pair(rest, rest, _near((F.col("x.node") == F.col("y.node")) & (F.col("x.doc") < F.col("y.doc")), percent))
+
+
+BLOCK = 1024
+
+
+def _dense_groups(large: DataFrame) -> DataFrame:
+    """(doc, group, degree) of the members of large nodes; overlapping nodes make one group. degree: nodes it is in."""
+    first = large.groupBy("node").agg(F.min("doc").alias("first"))
+    edges = large.join(first, "node").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    joined = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    return joined.join(large.groupBy("doc").agg(F.count("*").alias("degree")), "doc")
+
+
+def _star(groups: DataFrame) -> DataFrame:
+    """Pairs of each group's most central member with all others."""
+    center = groups.groupBy("group").agg(F.max(F.struct("degree", (-F.col("doc")).alias("d"))).alias("m")).select("group", (-F.col("m.d")).alias("center"))
+    return groups.join(center, "group").where("doc <> center").select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b"))
+
+
+def _labelled(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    return groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
+def _main(labelled: DataFrame) -> DataFrame:
+    """(group, main, blocks): the component most of a group is in, and how many blocks the group makes."""
+    sizes = labelled.groupBy("group", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("group").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("x"), F.sum("c").alias("all"))
+    return main.select("group", (-F.col("x.m")).alias("main"), F.ceil(F.col("all") / BLOCK).cast("bigint").alias("blocks"))
+
+
+def _outside(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    labelled = _labelled(groups, comps)
+    return labelled.join(_main(labelled), "group").where("component <> main").select("doc", "group", "degree")
+
+
+def _blocked_links(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the members outside a group's main component with members of other components, one a component and block."""
+    labelled = cut(_labelled(groups, comps))
+    main = cut(_main(labelled))
+    rows = labelled.join(main, "group").join(sets.dropDuplicates(["doc"]), "doc")
+    mixed = labelled.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("group")
+    rows = rows.join(mixed, "group", "left_semi")
+    held = rows.select("group", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "doc", "component", "items")
+    asked = rows.where("component <> main").select(F.col("group").alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("bl"), F.col("doc").alias("d"), F.col("component").alias("c"), F.col("items").alias("i"))
+
+    def links(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            flat = right.column("items").combine_chunks()
+            size = flat.value_lengths().to_numpy()
+            at = np.cumsum(size) - size
+            values = flat.flatten().to_numpy()
+            doc, comp = right.column("doc").to_numpy(), right.column("component").to_numpy()
+            for d, c, items in zip(left.column("d").to_pylist(), left.column("c").to_pylist(), left.column("i"), strict=True):
+                own = np.sort(items.values.to_numpy())
+                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                inter = np.add.reduceat(hit.astype(np.int64), at)
+                good = np.flatnonzero((100 * inter >= percent * (size + len(own) - inter)) & (comp != c))
+                first = np.unique(comp[good], return_index=True)[1]
+                out_a += [d] * len(first)
+                out_b += doc[good[first]].tolist()
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return asked.groupBy("g", "bl").cogroup(held.groupBy("group", "block")).applyInArrow(links, "a bigint, b bigint")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
