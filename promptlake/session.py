@@ -7,13 +7,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch. Documents can be long: the default of 10,000 would be tens of megabytes in each Python worker.
+BATCH_ROWS = "2000"
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers of a local session import this library; a cluster gets it by --py-files."""
+    """Lets Python workers of a local session import this library (a cluster gets it by --py-files) and bounds Arrow batches."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
     return spark
