@@ -52,7 +52,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, CHUNK + 4096)
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", _INV)):

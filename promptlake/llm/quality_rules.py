@@ -196,7 +196,7 @@ def judge(stats: DataFrame, params: DataFrame, limit: float) -> DataFrame:
     """stats with base_failed, distance and kept; each row by the finest estimate there is."""
     if params.count() <= PARAM_ROWS_BOUND:
         held = params.agg(F.collect_set("key").alias("_held"))
-        keyed = stats.crossJoin(F.broadcast(held)).withColumn("key", F.element_at(F.filter(_levels(), lambda k: F.array_contains("_held", k)), 1)).drop("_held")
+        keyed = stats.crossJoin(F.broadcast(held)).withColumn("key", F.try_element_at(F.filter(_levels(), lambda k: F.array_contains("_held", k)), F.lit(1))).drop("_held")
     else:
         keyed = stats
         for i in range(3):
