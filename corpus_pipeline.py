@@ -19,6 +19,7 @@ from promptlake.session import prepare
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie far off their language and source go."""
+    prepare(spark)
     return quality_rules.kept_documents(docs)
 
 

@@ -95,7 +95,8 @@ def test_near_duplicates_of_nothing(nothing):
 def test_one_of_each_keeps_columns(docs):
     out = near_dedup.one_of_each(docs)
     assert out.columns == docs.columns
-    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 1, 4, 5, 6, 7, 9, 10, 11, 13, 14, 15] or 2 not in [r["doc_id"] for r in out.collect()]
+    kept = [r["doc_id"] for r in out.collect()]
+    assert kept.count(1) == 2 and None in kept and not {2, 8} & set(kept) and {4, 5, 6, 13, 15} <= set(kept)
 
 
 def test_components(spark):
