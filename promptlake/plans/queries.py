@@ -651,11 +651,27 @@ def answer_citations(spark, sf_dir):
 # -- composite ----------------------------------------------------------------------------------
 
 
-@query()
+def _cells_sql(section: str, row: str, columns: tuple[str, ...], of: str) -> str:
+    names, values = ", ".join(f"'{c}'" for c in columns), ", ".join(f"{c}::double" for c in columns)
+    return f"select '{section}' as section, {row} as \"row\", unnest([{names}]) as col, round(unnest([{values}]), 9) as value from ({ORACLES[of]})"
+
+
+_STYLE_CELLS = _cells_sql("style", "measure", ("human", "machine"), "stats_table")
+_RUBRIC_CELLS = _cells_sql("rubric", "rule", ("human_mean", "machine_mean", "coverage"), "rubric_summary")
+_FIT_CELLS = _cells_sql("fit", "'all'", ("eligible", "coverage", "underpowered", "overpowered"), "fit_summary")
+_COUNT_CELLS = [_cells_sql("totals", "'window'", ("prompts", "sessions"), "window_totals"), _cells_sql("sources", "source", ("prompts", "sessions"), "counts_by_source")]
+_VOLUME_CELLS = f"select 'volumes' as section, source as \"row\", concat('w', week) as col, n::double as value from ({ORACLES['weekly_volumes']})"
+
+
+def _all_cells(parts: list[str]) -> str:
+    return "select * from (" + " union all ".join(parts) + ") where value is not null"
+
+
+@query(_all_cells([*_COUNT_CELLS, _STYLE_CELLS, _RUBRIC_CELLS, _FIT_CELLS]), cte="")
 def report_cells(spark, sf_dir):
-    return reports.cells(reports.report(prompts(spark, sf_dir)))
+    return reports.cells(reports.report(prompts(spark, sf_dir))).withColumn("value", F.round("value", 9))
 
 
-@query()
+@query(_all_cells([_VOLUME_CELLS, _STYLE_CELLS, _RUBRIC_CELLS, _FIT_CELLS]), cte="")
 def dash_cells(spark, sf_dir):
-    return reports.cells(reports.dashboard(prompts(spark, sf_dir), NOW))
+    return reports.cells(reports.dashboard(prompts(spark, sf_dir), NOW)).withColumn("value", F.round("value", 9))
