@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 own, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder(path).encode([t or "" for t in b.column(1).slice(lo, 1024).to_pylist()])):
+                for i, ids in enumerate(encoder(path, added=True).encode([t or "" for t in b.column(1).slice(lo, 1024).to_pylist()])):
                     ids += end
                     n = len(ids) // 4
                     at = 0

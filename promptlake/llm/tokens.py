@@ -4,10 +4,15 @@ A tokenizer of the two known kinds encodes each pre-token on its own, so ids are
 up by pre-token in a bounded cache and the library encodes only what is new. Texts with
 characters outside a set for which the splitting below is plainly the same as the
 library's are encoded whole by the library. Other tokenizers always take that way.
+
+The library gives an added token's own id where a text spells it out. With ``added``
+that is kept, and texts that hold such a spelling are encoded whole by the library;
+without it the spelling is ordinary text.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -26,24 +31,30 @@ _ODD = re.compile(f"[^{_PLAIN}]")
 _BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 _WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
 
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each path and Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder for each path, mode and Python worker."""
+    if (path, added) not in _loaded:
+        _loaded[path, added] = Encoder(path, added)
+    return _loaded[path, added]
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # Any case and any white space, for tokens that are looked up in normalized texts.
+        spelled = [r"\s+".join(map(re.escape, re.split(r"\s+", t["content"]))) for t in spec.get("added_tokens") or () if t["content"]]
+        self.added = re.compile("|".join(spelled), re.I) if added and spelled else None
+        # How all of them begin, as far as that has neither case nor white space; finding it is cheap.
+        lead = os.path.commonprefix([t["content"] for t in spec.get("added_tokens") or () if t["content"]])
+        self.lead = "".join(itertools.takewhile(lambda c: c.lower() == c.upper() and not c.isspace(), lead))
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         inner = [x.get("type") for x in pre.get("pretokenizers", ())]
         self.rule, self.lower = None, False
@@ -70,7 +81,8 @@ class Encoder:
         return out + self._group(group)
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        split = [self.rule.findall(t.lower() if self.lower else t) if self.rule and not _ODD.search(t) else None for t in texts]
+        plain = [self.rule and not _ODD.search(t) and not (self.added and self.lead in t and self.added.search(t)) for t in texts]
+        split = [self.rule.findall(t.lower() if self.lower else t) if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = list(set().union(*(s for s in split if s)).difference(self.cache))
