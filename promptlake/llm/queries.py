@@ -24,6 +24,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"))
 
 
+def op2_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With trigrams; the SQL twin of op2_lm_score is fixed to bigrams."""
+    out = lm_score.score(table(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -66,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_lm_score, op3_token_counts, op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_lm_score, op2_lm_score_order3, op3_token_counts, op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
