@@ -602,8 +602,12 @@ def _index(spark, sf_dir):
     return d, search.postings(d), search.corpus_stats(d)
 
 
-def _questions(spark, sf_dir, first: int, n: int):
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id < 20").select(F.col("item_id").alias("query"), search.terms("text").alias("w"))
+def _items(spark, sf_dir, which: str = "item_id < 20"):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(which).select(F.col("item_id").alias("query"), search.terms("text").alias("w"))
+
+
+def _questions(spark, sf_dir, first: int, n: int, which: str = "item_id < 20"):
+    b = _items(spark, sf_dir, which)
     return b.where(F.size("w") >= 5).select("query", F.concat_ws(" ", F.slice("w", first, n)).alias("question"))
 
 
@@ -648,6 +652,42 @@ def answer_citations(spark, sf_dir):
     return search.cited(used, search.phrase_search(index, stats, asked, 12))
 
 
+# The four above ask the first twenty items, as their twins do; these ask every item.
+
+
+def _every_item(name: str) -> str:
+    return ORACLES[name].replace(" where item_id < 20", "")
+
+
+@query(_every_item("search_phrase"), cte="")
+def search_phrase_every_item(spark, sf_dir):
+    _, index, stats = _index(spark, sf_dir)
+    return search.phrase_search(index, stats, _questions(spark, sf_dir, 2, 4, "true"), 12).withColumn("score", F.round("score", 6))
+
+
+@query(_every_item("search_all_terms"), cte="")
+def search_all_terms_every_item(spark, sf_dir):
+    _, index, stats = _index(spark, sf_dir)
+    q = _items(spark, sf_dir, "true").where(F.size("w") >= 5)
+    return search.all_terms_search(index, stats, q.select("query", F.concat_ws(" ", F.col("w")[0], F.col("w")[2]).alias("question"))).withColumn("score", F.round("score", 6))
+
+
+@query(_every_item("answer_fallback"), cte="")
+def answer_fallback_every_item(spark, sf_dir):
+    d, index, stats = _index(spark, sf_dir)
+    asked = _questions(spark, sf_dir, 2, 4, "true")
+    hits = search.phrase_search(index, stats, asked, 12)
+    return search.fallback_answers(asked, hits, d.select("doc", X.snippet("text").alias("snippet")))
+
+
+@query(_every_item("answer_citations"), cte="")
+def answer_citations_every_item(spark, sf_dir):
+    _, index, stats = _index(spark, sf_dir)
+    asked = _questions(spark, sf_dir, 2, 4, "true")
+    used = asked.select("query", F.array(*map(F.lit, (2, 1, 99, 1, 0))).alias("used_refs"))
+    return search.cited(used, search.phrase_search(index, stats, asked, 12))
+
+
 # -- composite ----------------------------------------------------------------------------------
 
 

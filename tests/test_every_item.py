@@ -1,0 +1,18 @@
+"""The retrieval queries over every item ask more than the first twenty."""
+
+import os
+
+import pytest
+
+from promptlake.operators import search
+from promptlake.plans import queries
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="driver tables absent")
+def test_every_item_is_asked(spark):
+    items = spark.read.parquet(f"{D}/benchmark.parquet").select("item_id", search.terms("text").alias("w")).where("size(w) >= 5")
+    want = {r["item_id"] for r in items.collect()}
+    got = {r["query"] for r in queries.QUERIES["answer_fallback_every_item"](spark, D).collect()}
+    assert got == want and max(got) >= 20
