@@ -3,9 +3,9 @@
 Texts are handled as the concatenated UTF-8 bytes that Arrow already holds, so one
 numpy pass covers many documents. Words are maximal runs of bytes other than
 ``[\\x20\\x09-\\x0D]``; that test is safe on bytes because those values never occur
-inside a multi-byte UTF-8 sequence. A word's identity is a 64-bit polynomial hash over
-a random byte table, finished with an avalanche step; all sets and counts in the
-operators are over these hashes.
+inside a multi-byte UTF-8 sequence. A word's identity is a 64-bit multilinear hash: a
+random value for each byte times a random weight for its place, summed and finished with
+an avalanche step; all sets and counts in the operators are over these hashes.
 
 A null text counts as an empty one. Batches are cut into chunks of about one
 megabyte at document borders, so memory depends on the chunk or on the longest single
@@ -23,7 +23,6 @@ import pyarrow.compute as pc
 CHUNK = 1 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
@@ -41,25 +40,43 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5EED)) | np.uint64(1)
-_BYTE_LINE = _BYTE.copy()
-_BYTE_LINE[10] = 0
-_BYTE[SEPARATOR] = 0
-_BYTE_FOLD = _BYTE.copy()
-_BYTE_FOLD[65:91] = _BYTE[97:123]
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + 4096)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INV)):
-                out = np.full(size, base, dtype=np.uint64)
-                out[0] = 1
-                _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"], _powers["down"]
+BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5EED)) | np.uint64(1)
+_BYTE_WORD = BYTE.copy()
+_BYTE_WORD[SEPARATOR] = 0
+_BYTE_FOLD = _BYTE_WORD.copy()
+_BYTE_FOLD[65:91] = _BYTE_WORD[97:123]
+
+_weights: dict[int, np.ndarray] = {}
+
+
+def weights(n: int, seed: int = 0) -> np.ndarray:
+    """At least n random odd 64-bit numbers, the same ones for each seed."""
+    if seed not in _weights or len(_weights[seed]) < n:
+        _weights[seed] = mix(np.arange(max(n, 4096), dtype=np.uint64) ^ mix(np.array(seed + 0x9E37, dtype=np.uint64))) | np.uint64(1)
+    return _weights[seed]
+
+
+def span_hashes(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """Hash of every span [starts, ends) of data; spans are in order and do not overlap. Without ends they reach to the next start."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    tiles = ends is None
+    ends = np.append(starts[1:], len(data)) if tiles else ends
+    size = ends - starts
+    if tiles and not starts[0]:
+        byte = data
+    else:
+        byte = data[np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)]
+    first = np.cumsum(size) - size
+    place = np.arange(len(byte)) - np.repeat(first, size)
+    with np.errstate(over="ignore"):
+        x = table[byte]
+        x *= weights(int(size.max()), seed)[place]
+        run = np.zeros(len(starts), dtype=np.uint64)
+        full = np.flatnonzero(size)
+        if len(full):
+            run[full] = np.add.reduceat(x, first[full])
+        return mix(run)
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -88,14 +105,6 @@ def totals(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return run[bounds[1:]] - run[bounds[:-1]]
 
 
-def _segments(table: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    up, down = _power(len(data))
-    with np.errstate(over="ignore"):
-        x = table[data]
-        x *= up[: len(x)]
-        return mix(np.add.reduceat(x, starts) * down[starts]) if len(starts) else np.zeros(0, dtype=np.uint64)
-
-
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     solid = ~SEPARATOR[data]
     before = np.ones(len(data) + 1, dtype=bool)
@@ -107,7 +116,7 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the word offsets of the documents. fold: A-Z count as a-z."""
     starts = word_starts(data, offsets)
-    return _segments(_BYTE_FOLD if fold else _BYTE, data, starts), np.searchsorted(starts, offsets)
+    return span_hashes(_BYTE_FOLD if fold else _BYTE_WORD, data, starts), np.searchsorted(starts, offsets)
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +126,8 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[offsets[:-1]] = True
     first = first[: len(data)]
     starts = np.flatnonzero(first)
-    return starts, _segments(_BYTE_LINE, data, starts), np.searchsorted(starts, offsets)
+    begins = starts + (data[starts] == 10)
+    return starts, span_hashes(BYTE, data, begins, np.append(starts[1:], len(data))), np.searchsorted(starts, offsets)
 
 
 def owners(bounds: np.ndarray) -> np.ndarray:

@@ -54,18 +54,12 @@ def line_keys(data: np.ndarray, offsets: np.ndarray):
     solid = np.flatnonzero(~K.SEPARATOR[data])
     i, j = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     has = j > i
-    lo, hi = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    lo, hi = starts.copy(), starts.copy()
     lo[has], hi[has] = solid[i[has]], solid[j[has] - 1] + 1
-    up, down = K._power(n + 1)
-    hashes = []
-    with np.errstate(over="ignore"):
-        for table in (_A, _B):
-            run = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(table[data] * up[:n], out=run[1:])
-            hashes.append(K.mix((run[hi] - run[lo]) * down[lo]))
+    h1, h2 = (K.span_hashes(table, data, lo, hi, seed) for seed, table in ((1, _A), (2, _B)))
     run = np.zeros(n + 1, dtype=np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=run[1:])
-    return starts, ends, hashes[0], hashes[1], run[hi] - run[lo], np.concatenate([[0], np.cumsum(per_doc)])
+    return starts, ends, h1, h2, run[hi] - run[lo], np.concatenate([[0], np.cumsum(per_doc)])
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Documents are tokenised where they lie and cut into pieces; the first piece of a long
 document is the shorter one. The plan needs only how many pieces have each length, at
-most ``capacity`` numbers. From the longest length down, combinations of one, two or
-three other lengths that fill the gap exactly are looked up by their sum and used as
-often as the counts allow; what is left goes by best fit. The plan is a bounded list of
+most ``capacity`` numbers. From the longest length down, one, two or three other lengths
+that fill the gap exactly are found in an index of sums and used as often as the counts
+allow; what is left goes by best fit. The plan is a bounded list of
 intervals over each length's pieces, so every piece finds its place from its rank
 within its length: a running number inside its partition plus the counts of the
 partitions before. Nothing is sorted and no length is gathered, however common.
@@ -34,39 +34,73 @@ CAPACITY = 2048
 # -- the plan, over counts of lengths -----------------------------------------------------
 
 
+class _Sums:
+    """Index of the sums of one, two and three available lengths.
+
+    A sum's entries are made when it is first asked for. Counts only fall, so an entry that
+    is used up never comes back and is dropped for good.
+    """
+
+    def __init__(self, n: np.ndarray):
+        self.n = n
+        self.two: dict[int, list[int]] = {}
+        self.three: dict[int, list[int]] = {}
+
+    def _pair(self, total: int, held: int = 0) -> tuple[int, int] | None:
+        """Two lengths of that sum that are there beside one of length held."""
+        n = self.n
+        if total not in self.two:
+            x = np.arange((total + 1) // 2, total)
+            self.two[total] = x[(n[x] > 0) & (n[total - x] > 0)].tolist()
+        entries = self.two[total]
+        while entries and (n[entries[-1]] < 1 + (2 * entries[-1] == total) or not n[total - entries[-1]]):
+            entries.pop()
+        for x in reversed(entries):
+            y = total - x
+            if n[x] >= 1 + (x == y) + (x == held) and n[y] >= 1 + (x == y) + (y == held):
+                return x, y
+        return None
+
+    def find(self, total: int, size: int) -> tuple[int, ...] | None:
+        """So many lengths of that sum, the first as long as possible."""
+        n = self.n
+        if size == 1:
+            return (total,) if n[total] else None
+        if size == 2:
+            return self._pair(total)
+        if total not in self.three:
+            x = np.arange((total + 2) // 3, total - 1)
+            self.three[total] = x[n[x] > 0].tolist()
+        entries = self.three[total]
+        while entries:
+            x = entries[-1]
+            rest = self._pair(total - x, x) if n[x] else None
+            if rest:
+                return x, *rest
+            entries.pop()
+        return None
+
+
 def _fill_exactly(n: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Uses up counts n (by length) in combinations that sum to capacity; (lengths, times)."""
     out = []
-
-    def use(combo: tuple[int, ...]) -> None:
-        times = min(int(n[x]) // k for x, k in Counter(combo).items())
-        if times:
-            for x in combo:
-                n[x] -= times
-            out.append((combo, times))
-
     if n[capacity]:
-        use((capacity,))
+        out.append(((capacity,), int(n[capacity])))
+        n[capacity] = 0
+    sums = _Sums(n)
     for length in range(capacity - 1, 0, -1):
-        gap = capacity - length
-        if n[length] and gap <= length:
-            use((length, gap))
-        if n[length]:  # two others: index of sums of two
-            a = np.arange((gap + 1) // 2, min(gap - 1, length) + 1)
-            for x in a[(n[a] > 0) & (n[gap - a] > 0)][::-1]:
-                use((length, int(x), int(gap - x)))
-                if not n[length]:
+        for size in (1, 2, 3):
+            while n[length]:
+                n[length] -= 1  # one is held; the rest may be partners
+                others = sums.find(capacity - length, size)
+                n[length] += 1
+                if not others:
                     break
-        if n[length]:  # three others: each first one, with the sums of two for the rest
-            for x in range(min(gap - 2, length), (gap + 2) // 3 - 1, -1):
-                if not n[x] or not n[length]:
-                    continue
-                rest = gap - x
-                b = np.arange((rest + 1) // 2, min(rest - 1, x) + 1)
-                for y in b[(n[b] > 0) & (n[rest - b] > 0)][::-1]:
-                    use((length, x, int(y), int(rest - y)))
-                    if not n[length] or not n[x]:
-                        break
+                combo = (length, *others)
+                times = min(int(n[x]) // k for x, k in Counter(combo).items())
+                for x in combo:
+                    n[x] -= times
+                out.append((combo, times))
     return out
 
 
@@ -126,7 +160,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 own, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder(path, added=True).encode([t or "" for t in b.column(1).slice(lo, 1024).to_pylist()])):
+                for i, ids in enumerate(encoder(path, added=True).encoded(b.column(1).slice(lo, 1024))):
                     ids += end
                     n = len(ids) // 4
                     at = 0

@@ -135,15 +135,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
         types = None
         for b in batches:
             types = types or [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(b.schema.field(0).type), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            for lo in range(0, b.num_rows, 512):
-                got = encoder(tokenizer, added=True).encode([t or "" for t in b.column(1).slice(lo, 512).to_pylist()])
-                for d, x in zip(b.column(0).slice(lo, 512).to_pylist(), got, strict=True):
-                    doc.append(d)
-                    ids.append(x + end)
-                    total += len(x) // 4 + 1
-                    if total >= SEGMENT:
-                        yield flush()
-                        segment, before, doc, ids, total = segment + 1, before + total, [], [], 0
+            for d, x in zip(b.column(0).to_pylist(), encoder(tokenizer, added=True).encoded(b.column(1)), strict=True):
+                doc.append(d)
+                ids.append(x + end)
+                total += len(x) // 4 + 1
+                if total >= SEGMENT:
+                    yield flush()
+                    segment, before, doc, ids, total = segment + 1, before + total, [], [], 0
         if doc:
             yield flush()
 
