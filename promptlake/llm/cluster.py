@@ -1,35 +1,97 @@
-"""Shared storage for lineage cuts, and small helpers of the operators."""
+"""Shared storage between the steps of an operator, and joins that common keys do not overload."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys with more than one part in so many of all rows are handled apart; so there are at most so many of them.
+HOT_KEYS = 1_000
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (local tests) a folder of our own."""
+    """The cluster's shared folder; only where none is named and the master is local, a folder of our own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="promptlake-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables between the steps of one operator, in the shared folder: reliable against lost executors, gone at the end.
+
+    Each ``cut`` is written as Parquet and read back. Its shuffle files go when it is written,
+    its own files with ``drop`` or when the block ends. What an operator returns must be
+    kept outside (``keep``) or read from elsewhere.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+        self.n = 0
+
+    def __enter__(self) -> Scratch:
+        self.clean = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.clean is None:
+            self.spark.conf.unset(_CLEAN)
+        else:
+            self.spark.conf.set(_CLEAN, self.clean)
+        remove(self.spark, self.path)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.path}/{self.n}", self.n + 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        self.held = [*getattr(self, "held", []), out]  # an id must not be used again
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables that no later step reads."""
+        for df in frames:
+            remove(self.spark, self.paths.pop(id(df)))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, read back from the shared folder: reliable against lost executors.
+    """The rows, read back from a checkpoint in the shared folder.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes it once nothing refers to it.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+keep = cut
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined by key with table, whose column ``size`` says how many of the ``total`` rows have the key.
 
-    Spark's cleaner removes the shuffle files of a lineage once the driver has collected
-    it, which a loop of small jobs does not bring about by itself; so it is asked to.
+    The at most ``HOT_KEYS`` keys with over one part in ``HOT_KEYS`` of the rows meet by broadcast,
+    so that no task gets such a key's rows; all others shuffle.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-    return out
+    hot = F.broadcast(table.where(F.col(size) > total / HOT_KEYS))
+    even = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(size) <= total / HOT_KEYS), key)
+    return even.unionByName(rows.join(hot, key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

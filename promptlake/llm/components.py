@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import Scratch, keep
 
 ROUNDS = 60
+EDGES_A_PART = 250_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,28 +18,36 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node in edges (a, b: bigint); the component is its least node.
 
     A hub's rows are pre-aggregated for its minimum, and the join that spreads the
-    minimum can be split by AQE, so no neighbourhood is gathered. Self-loops and
-    repeated edges change nothing.
+    minimum can be split by AQE, so no neighbourhood is gathered. Edges are dealt to as many
+    partitions as their number asks for; what fits one is not shuffled at all. Self-loops
+    and repeated edges change nothing.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if scratch is None:
+        with Scratch(edges.sparkSession) as own:
+            return keep(connected_components(edges, own))
+    e = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(e)
     for _ in range(ROUNDS):
         if not before[0]:
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        dealt = e.coalesce(math.ceil(before[0] / EDGES_A_PART))
+        both = dealt.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
-        after = _state(e)
+        # Each node's edges move to the least of them, and that one stays.
+        moved = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        new = scratch.cut(moved.where("u <> v").distinct())
+        scratch.drop(e)
+        e, after = new, _state(new)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    pairs = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x"))
+    return pairs.select("x.node", "x.component").groupBy("node").agg(F.min("component").alias("component"))

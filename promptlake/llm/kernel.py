@@ -41,6 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5EED)) | np.uint64(1)
+_BYTE_LINE = BYTE.copy()
+_BYTE_LINE[10] = 0
 _BYTE_WORD = BYTE.copy()
 _BYTE_WORD[SEPARATOR] = 0
 _BYTE_FOLD = _BYTE_WORD.copy()
@@ -126,8 +128,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[offsets[:-1]] = True
     first = first[: len(data)]
     starts = np.flatnonzero(first)
-    begins = starts + (data[starts] == 10)
-    return starts, span_hashes(BYTE, data, begins, np.append(starts[1:], len(data))), np.searchsorted(starts, offsets)
+    return starts, span_hashes(_BYTE_LINE, data, starts), np.searchsorted(starts, offsets)
 
 
 def owners(bounds: np.ndarray) -> np.ndarray:

@@ -1,13 +1,14 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 Each document is the set of its distinct k-word shingles (A-Z lower-cased). Documents
-with one set collapse to a representative first. Representatives walk down ``TREES``
-independent random trees: a node chooses one position of the MinHash signature, and a
-second one with probability 1/4, by a hash of the node itself; a child is a chosen
-position with the document's minwise token there. A node with at most ``SMALL``
-documents is compared exhaustively; larger ones branch on, to ``DEPTH`` at most. At 1.25
-choices a node a pair at the threshold 0.8 expects one common child, so it survives
-with a probability that ``survival`` gives, and the trees together reach the target recall.
+with one set collapse to a representative first. Representatives walk down independent
+random trees: a node chooses one position of the MinHash signature, and a second one with
+probability 1/4, by a hash of the node itself; a child is a chosen position with the
+document's minwise token there. A node with at most ``SMALL`` documents is compared
+exhaustively; larger ones branch on, to ``DEPTH`` at most. At 1.25 choices a node a pair at
+the threshold 0.8 expects one common child. All trees choose from the same ``POSITIONS``
+minwise values, so ``recall`` averages over how many of those a pair shares, and the number of
+trees is the least that reaches ``RECALL`` at the threshold.
 
 Small nodes are compared in two rounds. First all members meet one pivot, the least
 doc_id. Then members in different components meet each other. So the pairs within a group
@@ -16,15 +17,20 @@ of copies are never expanded, and no link between components is lost.
 Nodes that are still large at the last level hold documents that agree almost everywhere.
 Overlapping ones are joined to dense groups, so each document stands there once. All of a
 group meet its most central member; those that are left meet the most central of
-themselves; what is then still outside the main component (few) is held against the whole
-group in blocks, with exact sets, and only links between components come out.
+themselves; what is then still outside the main component is held against the whole group
+by blocks on both sides, pruned by size and sketch and then compared with exact sets, and
+only links between components come out. A task holds two blocks of a bounded number of
+documents and shingles, whatever the group. A large group of documents that are just
+below the threshold still costs the square of its size in time, not in memory or rows.
 
 Candidates pass a sketch test with a margin of over four standard deviations and are
 then confirmed on the full sets. Sets are taken from the texts again for the documents
 of candidate pairs only; their ids are broadcast up to ``IDS_BOUND``, joined beyond.
+Documents that many pairs share are copied to several tasks, each with a part of the pairs.
 
 Null or empty texts have an empty set and are linked with nothing. Rows that share a
-doc_id are one node. Rows without doc_id stay out of all links and are kept.
+doc_id are one node. Rows without doc_id stay out of all links and are kept. Other columns
+of the input, whatever their names, take no part; ``one_of_each`` returns them as they were.
 """
 
 from __future__ import annotations
@@ -38,14 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .cluster import cut
+from .cluster import Scratch, keep, spread_join
 from .components import connected_components
 
 POSITIONS = 64
-SMALL, DEPTH, RECALL = 48, 5, 0.9999
+SMALL, DEPTH, RECALL = 48, 5, 0.999
 #: Of 64 four-bit minwise values, so many may differ; 52 agree on average at similarity 0.8, with a deviation of 3.1.
 SKETCH_DIFFERS = 26
 IDS_BOUND = 1_000_000
+BLOCK, BLOCK_ITEMS = 1024, 2_000_000
+PAIRS_A_COPY, HUBS = 1_000, 50_000
 SKETCH = ("s0", "s1", "s2", "s3")
 
 
@@ -58,8 +66,14 @@ def survival(similarity: float, depth: int) -> float:
     return p
 
 
-def trees_for(similarity: float, depth: int, recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
+def recall(similarity: float, depth: int, trees: int) -> float:
+    """Chance that a pair shares a node in some tree, over how many of the common minwise values it agrees in."""
+    ways = ((math.comb(POSITIONS, i) * similarity**i * (1 - similarity) ** (POSITIONS - i), i / POSITIONS) for i in range(POSITIONS + 1))
+    return sum(p * (1 - (1 - survival(agree, depth)) ** trees) for p, agree in ways)
+
+
+def trees_for(similarity: float, depth: int, target: float) -> int:
+    return next(t for t in range(1, 1000) if recall(similarity, depth, t) >= target)
 
 
 # -- sets --------------------------------------------------------------------------------
@@ -102,7 +116,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text")).mapInArrow(run, _SETS)
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def _full_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(doc, items) of the named documents, from their whole texts."""
     ids = F.broadcast(ids) if ids.count() <= IDS_BOUND else ids
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").alias("_text")).join(ids, "doc", "left_semi")
@@ -113,7 +127,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 items = pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), items], names=["doc", "items"])
 
-    return cut(named.mapInArrow(run, "doc bigint, items array<bigint>"))
+    return scratch.cut(named.mapInArrow(run, "doc bigint, items array<bigint>"))
 
 
 # -- trees -------------------------------------------------------------------------------
@@ -163,68 +177,88 @@ def _sizes_allow(a: str, b: str, percent: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of pairs (a, b) by their full sets."""
-    left, right = sets.select(F.col("doc").alias("a"), F.col("items").alias("ia")), sets.select(F.col("doc").alias("b"), F.col("items").alias("ib"))
-    both = pairs.join(left, "a").join(right, "b")
-    inter, total = F.size(F.array_intersect("ia", "ib")), F.size("ia") + F.size("ib")
-    return both.select("a", "b", inter.alias("i"), total.alias("t")).select("a", "b", (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("distance"), (100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).alias("linked"))
+    """The linked ones of pairs (a, b), by their full sets."""
+    total = pairs.count()
+    # A document a with many pairs is copied; there are at most HUBS of these.
+    each = max(PAIRS_A_COPY, total // HUBS)
+    hubs = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("*") / each).cast("int").alias("copies")).where("copies > 1"))
+    dealt = pairs.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"), F.lit(0)).alias("copy"))
+    left = sets.select(F.col("doc").alias("a"), F.col("items").alias("ia")).join(hubs, "a", "left")
+    left = left.select("a", "ia", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)).alias("copy"))
+    both = dealt.join(left, ["a", "copy"]).join(sets.select(F.col("doc").alias("b"), F.col("items").alias("ib")), "b")
+    inter = F.size(F.array_intersect("ia", "ib"))
+    both = both.select("a", "b", inter.alias("i"), (F.size("ia") + F.size("ib")).alias("t"))
+    return both.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept for every row of docs."""
-    all_sets = cut(signatures(docs, k))
-    some = all_sets.where("n > 0 and doc is not null")
-    reps = cut(some.groupBy("fa", "fb").agg(F.min(F.struct("doc", "n", "s0", "s1", "s2", "s3", "sig")).alias("r")).select("fa", "fb", "r.*"))
-    brief = reps.select("doc", "n", "s0", "s1", "s2", "s3")
+    with Scratch(docs.sparkSession) as scratch:
+        return keep(_groups(docs, k, percent, scratch))
 
+
+def _tree_nodes(reps: DataFrame, percent: int, scratch: Scratch) -> list[DataFrame]:
+    """(doc, node, c) of the nodes that are compared; c: members of the node."""
     nodes = []
     level = _expand(reps.select("doc", "sig"), trees_for(percent / 100, DEPTH, RECALL))
     for depth in range(1, DEPTH + 1):
-        level = cut(level)
-        sizes = level.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        held = cut(level.join(sizes, "node"))
+        level = scratch.cut(level)
+        sizes = scratch.cut(level.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"))
+        held = scratch.cut(spread_join(level, sizes, "node", "c", level.count()))
+        scratch.drop(level, sizes)
         large = held.where(F.col("c") > SMALL)
         nodes.append(held.where(F.col("c") <= SMALL).select("doc", "node", "c"))
         if depth == DEPTH or large.isEmpty():
             nodes.append(large.select("doc", "node", "c"))
-            break
+            return nodes
         level = _expand(large.join(reps.select("doc", "sig"), "doc").select("doc", "sig", "node"))
+    return nodes
+
+
+def _groups(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    all_sets = scratch.cut(signatures(docs, k))
+    some = all_sets.where("n > 0 and doc is not null")
+    reps = scratch.cut(some.groupBy("fa", "fb").agg(F.min(F.struct("doc", "n", *SKETCH, "sig")).alias("r")).select("fa", "fb", "r.*"))
+    member = scratch.cut(reduce(DataFrame.unionByName, _tree_nodes(reps, percent, scratch)).join(reps.select("doc", "n", *SKETCH), "doc"))
+    labels = lambda links: scratch.cut(connected_components(links, scratch))
+    merge = lambda comps, found: labels(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     # First round: every member with its node's pivot; in dense groups with the group's.
-    member = cut(reduce(DataFrame.unionByName, nodes).join(brief, "doc"))
-    groups = cut(_dense_groups(member.where(F.col("c") > SMALL)))
+    groups = scratch.cut(_dense_groups(member.where(F.col("c") > SMALL), scratch))
     member = member.where(F.col("c") <= SMALL)
     pivots = member.groupBy("node").agg(F.min(F.struct("doc", "n", *SKETCH)).alias("p")).select("node", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), *(F.col(f"p.{c}").alias(f"p{c}") for c in SKETCH))
     member = member.join(pivots, "node")
     fits = _sizes_allow("n", "pn", percent) & (_differs([(c, f"p{c}") for c in SKETCH]) <= SKETCH_DIFFERS)
     stars = member.where((F.col("doc") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-    pairs = cut(stars.unionByName(_star(groups)).distinct())
-    sets = _full_sets(docs, _ids(pairs), k)
-    linked = lambda pairs, sets: _verify(pairs, sets, percent).where("linked").select("a", "b")
-    comps = cut(connected_components(linked(pairs, sets)))
-    merge = lambda comps, found: cut(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)))
+    pairs = scratch.cut(stars.unionByName(_star(groups)).distinct())
+    sets = _full_sets(docs, _ids(pairs), k, scratch)
+    comps = labels(_verify(pairs, sets, percent))
 
     # Second round: members of different components.
     if not groups.isEmpty():
-        outside = cut(_outside(groups, comps))
+        outside = scratch.cut(_outside(groups, comps))
         if not outside.isEmpty():
-            comps = merge(comps, cut(linked(_star(outside), sets)))
-            comps = merge(comps, cut(_blocked_links(groups, comps, sets, percent)))
+            comps = merge(comps, _verify(_star(outside), sets, percent))
+            comps = merge(comps, _blocked_links(groups, comps, sets, percent, scratch))
     member = member.drop("pn", *(f"p{c}" for c in SKETCH)).join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    more = cut(_small_nodes(member, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = scratch.cut(_small_nodes(member, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        rest = _ids(more).join(sets.select("doc"), "doc", "left_anti")
-        comps = merge(comps, linked(more, sets.unionByName(_full_sets(docs, cut(rest), k))))
-
-    named = reps.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("fa", "fb", F.coalesce("component", "doc").alias("component"))
-    out = all_sets.select("doc", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
-    out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id"))
+        rest = scratch.cut(_ids(more).join(sets.select("doc"), "doc", "left_anti"))
+        comps = merge(comps, _verify(more, sets.unionByName(_full_sets(docs, rest, k, scratch)), percent))
+
+    named = reps.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("fa", "fb", F.coalesce("component", "doc").alias("component"), F.lit(1).alias("one"))
+    # All copies of one text have one fingerprint, so the few common ones are handled apart.
+    common = some.groupBy("fa", "fb").agg(F.count("*").alias("rows"))
+    named = scratch.cut(named.drop("one").join(common, ["fa", "fb"]).withColumn("print", F.struct("fa", "fb")).drop("fa", "fb"))
+    full = all_sets.where("n > 0 and doc is not null").select("doc", "n", F.struct("fa", "fb").alias("print"))
+    out = spread_join(full, named, "print", "rows", full.count()).select("doc", "n", "component")
+    rest = all_sets.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component"))
+    out = out.unionByName(rest).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
 
 
 def _near(on, percent: int):
@@ -241,71 +275,82 @@ def _small_nodes(member: DataFrame, percent: int) -> DataFrame:
     return _pair(rest, rest, _near((F.col("x.node") == F.col("y.node")) & (F.col("x.doc") < F.col("y.doc")), percent))
 
 
-BLOCK = 1024
+# -- dense groups --------------------------------------------------------------------------
 
 
-def _dense_groups(large: DataFrame) -> DataFrame:
-    """(doc, group, degree) of the members of large nodes; overlapping nodes make one group. degree: nodes it is in."""
-    first = large.groupBy("node").agg(F.min("doc").alias("first"))
-    edges = large.join(first, "node").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    joined = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("group"))
-    return joined.join(large.groupBy("doc").agg(F.count("*").alias("degree")), "doc")
+def _dense_groups(large: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, group, n, sketch, degree) of the members of large nodes; overlapping nodes make one group. degree: nodes it is in."""
+    first = large.groupBy("node").agg(F.min("doc").alias("first"), F.first("c").alias("size"))
+    edges = spread_join(large.select("doc", "node"), first, "node", "size", large.count()).select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    joined = connected_components(edges, scratch).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    return joined.join(large.groupBy("doc", "n", *SKETCH).agg(F.count("*").alias("degree")), "doc")
 
 
 def _star(groups: DataFrame) -> DataFrame:
-    """Pairs of each group's most central member with all others."""
-    center = groups.groupBy("group").agg(F.max(F.struct("degree", (-F.col("doc")).alias("d"))).alias("m")).select("group", (-F.col("m.d")).alias("center"))
-    return groups.join(center, "group").where("doc <> center").select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b"))
+    """Pairs of each group's most central member with all others, that member first."""
+    center = groups.groupBy("group").agg(F.max(F.struct("degree", (-F.col("doc")).alias("d"))).alias("m"), F.count("*").alias("size")).select("group", (-F.col("m.d")).alias("center"), "size")
+    return spread_join(groups, center, "group", "size", groups.count()).where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b"))
 
 
 def _labelled(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    return groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-
-
-def _main(labelled: DataFrame) -> DataFrame:
-    """(group, main, blocks): the component most of a group is in, and how many blocks the group makes."""
-    sizes = labelled.groupBy("group", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("group").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("x"), F.sum("c").alias("all"))
-    return main.select("group", (-F.col("x.m")).alias("main"), F.ceil(F.col("all") / BLOCK).cast("bigint").alias("blocks"))
+    """groups with component, main (the component most of the group is in), blocks and ask (blocks of those outside main)."""
+    named = groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = named.groupBy("group", "component").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    blocks = lambda rows, items: F.greatest(F.ceil(rows / BLOCK), F.ceil(items / BLOCK_ITEMS), F.lit(1)).cast("int")
+    main = sizes.groupBy("group").agg(F.max(F.struct("c", (-F.col("component")).alias("m"), "items")).alias("x"), F.sum("c").alias("rows"), F.sum("items").alias("items"))
+    main = main.select("group", (-F.col("x.m")).alias("main"), "rows", blocks(F.col("rows"), F.col("items")).alias("blocks"), blocks(F.col("rows") - F.col("x.c"), F.col("items") - F.col("x.items")).alias("ask"))
+    return spread_join(named, main, "group", "rows", groups.count())
 
 
 def _outside(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    labelled = _labelled(groups, comps)
-    return labelled.join(_main(labelled), "group").where("component <> main").select("doc", "group", "degree")
+    return _labelled(groups, comps).where("component <> main").select("doc", "group", "degree")
 
 
-def _blocked_links(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blocked_links(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of the members outside a group's main component with members of other components, one a component and block."""
-    labelled = cut(_labelled(groups, comps))
-    main = cut(_main(labelled))
-    rows = labelled.join(main, "group").join(sets.dropDuplicates(["doc"]), "doc")
-    mixed = labelled.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("group")
-    rows = rows.join(mixed, "group", "left_semi")
-    held = rows.select("group", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "doc", "component", "items")
-    asked = rows.where("component <> main").select(F.col("group").alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("bl"), F.col("doc").alias("d"), F.col("component").alias("c"), F.col("items").alias("i"))
+    labelled = scratch.cut(_labelled(groups, comps))
+    mixed = labelled.where("component <> main").select("group").distinct()
+    rows = scratch.cut(labelled.join(mixed, "group", "left_semi").join(sets, "doc").select("group", "doc", "component", "main", "blocks", "ask", "n", *SKETCH, "items"))
+    block = lambda of: F.pmod(F.xxhash64("doc"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    columns = ["doc", "component", "n", *SKETCH, "items"]
+    held = rows.select("group", block("blocks").alias("block"), every("ask").alias("part"), *columns)
+    asked = rows.where("component <> main").select("group", every("blocks").alias("block"), block("ask").alias("part"), *columns)
 
     def links(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out_a, out_b = [], []
         if left.num_rows and right.num_rows:
             flat = right.column("items").combine_chunks()
             size = flat.value_lengths().to_numpy()
-            at = np.cumsum(size) - size
             values = flat.flatten().to_numpy()
             doc, comp = right.column("doc").to_numpy(), right.column("component").to_numpy()
-            for d, c, items in zip(left.column("d").to_pylist(), left.column("c").to_pylist(), left.column("i"), strict=True):
+            sketches = [np.stack([t.column(c).to_numpy() for c in SKETCH], axis=1).view(np.uint64) for t in (left, right)]
+            for row, (d, c, items) in enumerate(zip(left.column("doc").to_pylist(), left.column("component").to_pylist(), left.column("items"), strict=True)):
                 own = np.sort(items.values.to_numpy())
-                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
-                inter = np.add.reduceat(hit.astype(np.int64), at)
-                good = np.flatnonzero((100 * inter >= percent * (size + len(own) - inter)) & (comp != c))
+                x = sketches[1] ^ sketches[0][row]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                differs = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
+                near = (comp != c) & (100 * size >= percent * len(own)) & (100 * len(own) >= percent * size) & (differs <= SKETCH_DIFFERS)
+                at = np.flatnonzero(near)
+                if not len(at):
+                    continue
+                some = values[np.repeat(near, size)]
+                hit = own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some
+                inter = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[at]) - size[at])
+                good = at[100 * inter >= percent * (size[at] + len(own) - inter)]
                 first = np.unique(comp[good], return_index=True)[1]
                 out_a += [d] * len(first)
                 out_b += doc[good[first]].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return asked.groupBy("g", "bl").cogroup(held.groupBy("group", "block")).applyInArrow(links, "a bigint, b bigint")
+    by = ("group", "block", "part")
+    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(links, "a bigint, b bigint")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that a smaller doc_id stands for; all columns stay."""
+    inner = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)))
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    left = inner.join(gone, F.col(f"_c{docs.columns.index('doc_id')}").cast("bigint") == F.col("_gone"), "left_anti")
+    return left.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
