@@ -2,15 +2,23 @@
 
 Statistics of every whole text are transformed to a vector per document. For every
 language and source a minimum-covariance-determinant (MCD) estimate of location and
-scatter is found by concentration steps: the share ``COVER`` of rows nearest to the
-present estimate gives the next one. Documents far away by Mahalanobis distance are
-rejected. Every step is a grouped aggregation over all rows; quantiles come from exact
-counts over fixed bins, so no group is gathered in a task and no statistic is sampled.
+scatter is sought: of the subsets that hold the share ``COVER`` of the rows, the one whose
+scatter has the least determinant. It is found by concentration steps, in which the rows
+nearest to the present estimate give the next one, from three fixed starts (medians, lower
+quartiles, and mean with full covariance), each until its determinant stands still; the
+least determinant of all wins. The scatter has ``FLOOR`` added to its diagonal, so that
+statistics that are constant in a cell do not make every determinant zero. Documents far
+away by Mahalanobis distance are rejected.
+
+Every step is a grouped aggregation over all rows; quantiles come from exact counts over
+fixed bins, so no group is gathered in a task and no statistic is sampled.
 
 A cell (language, source) with fewer than ``LEAST`` rows takes the estimate of its
 language, and that the estimate of all rows; with fewer than ``LEAST`` rows in all,
 only the base rules decide. Nulls in lang or source form a cell of their own. Null and
-empty texts have no words and fail the base rules. Repeated rows count as often as they occur.
+empty texts have no words and fail the base rules. Repeated rows count as often as they
+occur. Other columns of the input, whatever their names, take no part; ``kept_documents``
+returns them as they were.
 """
 
 from __future__ import annotations
@@ -23,17 +31,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernel as K
-from .cluster import cut
+from .cluster import Scratch, keep
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct")
 LEAST = 60
 COVER = 0.75
-STEPS = 3
-#: Squared distance of rejection: far beyond the 0.9999 quantile of chi-square with six degrees (27.9).
-LIMIT = 40.0
+#: A start ends when a step lowers the determinant by less than this share, or after so many steps.
+STILL, STEPS = 1e-3, 12
+STARTS = ("median", "quartile", "mean")
+#: Chance of rejection of a clean document if the statistics were normal; small, as their tails are heavier.
+REJECT = 5e-7
 #: Least standard deviation of each transformed statistic: what clean short texts show by chance.
 FLOOR = (0.07, 0.05, 0.15, 0.15, 0.06, 0.06)
 P = len(FLOOR)
@@ -105,24 +114,24 @@ def _vector() -> list:
     return [F.log(chars / n), share("n_symbols", chars), share("n_dup_lines", lines), share("n_repeat_words", n), share("n_upper", chars), share("n_punct", chars)]
 
 
-def _quantiles(rows: DataFrame, value, qs: dict[str, float], per_unit: int) -> DataFrame:
-    """Quantiles of value by key, as the upper edge of a bin of 1 / per_unit: exact counts, few rows."""
-    counts = rows.select("key", F.floor(value * per_unit).alias("bin")).groupBy("key", "bin").count()
-    upto = Window.partitionBy("key").orderBy("bin")
-    ranked = counts.withColumn("upto", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(Window.partitionBy("key")))
-    return ranked.groupBy("key").agg(*(F.min(F.when(F.col("upto") >= F.col("all") * q, (F.col("bin") + 1) / per_unit)).alias(n) for n, q in qs.items()))
-
-
 def _chi2_6(x: float) -> float:
     return 1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8)
 
 
-def _consistency() -> float:
-    lo, hi = 0.0, 60.0
-    for _ in range(80):
+def _chi2_6_quantile(q: float) -> float:
+    lo, hi = 0.0, 200.0
+    for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _chi2_6(mid) < COVER else (lo, mid)
-    x = lo
+        lo, hi = (mid, hi) if _chi2_6(mid) < q else (lo, mid)
+    return lo
+
+
+#: Squared distance of rejection, 39.8.
+LIMIT = _chi2_6_quantile(1 - REJECT)
+
+
+def _consistency() -> float:
+    x = _chi2_6_quantile(COVER)
     return COVER / (_chi2_6(x) - math.exp(-x / 2) * (x / 2) ** 3 / 6)  # chi-square with eight degrees at x
 
 
@@ -130,35 +139,80 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _joined(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """rows with their key's estimate; one row per cell is broadcast only up to a checked count."""
-    return rows.join(F.broadcast(params) if params.count() <= PARAM_ROWS_BOUND else params, "key", "left")
+_M = [f"m{i}" for i in range(P)]
+_Q = [f"q{i}{j}" for i, j in _pairs()]
+_PARAMS = ", ".join(["key string", "start string", "det double", *(f"{c} double" for c in (*_M, *_Q))])
+#: Bins of log(1 + squared distance) and of the statistics, for quantiles.
+DISTANCE_BINS, VALUE_BINS = 200, 500
+
+
+def _small(params: DataFrame) -> DataFrame:
+    """Estimates are broadcast up to a checked number of rows only."""
+    return F.broadcast(params) if params.count() <= PARAM_ROWS_BOUND else params
+
+
+def _distance(of=F.col):
+    d = [F.col(f"x{i}") - of(f"m{i}") for i in range(P)]
+    return reduce(lambda a, b: a + b, (d[i] * d[j] * of(f"q{i}{j}") * (1 if i == j else 2) for i, j in _pairs()))
 
 
-def _distance():
-    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
-    return reduce(lambda a, b: a + b, (d[i] * d[j] * F.col(f"q{i}{j}") * (1 if i == j else 2) for i, j in _pairs()))
+def _bin(distance):
+    return F.floor(F.log1p(F.least(distance, F.lit(1e6))) * DISTANCE_BINS).cast("int")
 
 
-def _estimate(rows: DataFrame, inside) -> DataFrame:
-    """Location and inverse scatter by key over the rows inside."""
-    rows = rows.where(inside)
-    sums = rows.groupBy("key").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"m{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _pairs()))
+def _quantile_bins(counts: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
+    """The bin of each quantile, from rows (by, bin, count); a key has a bounded number of bins."""
+    held = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("h"))
+    total = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, x: a + x["count"])
+
+    def at(q: float):
+        step = lambda a, x: F.struct((a["upto"] + x["count"]).alias("upto"), F.when(a["upto"] < q * F.col("total"), x["bin"]).otherwise(a["bin"]).alias("bin"))
+        return F.aggregate("h", F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(0).alias("bin")), step)["bin"]
+
+    return held.withColumn("total", total).select(*by, *(at(q).alias(n) for n, q in qs.items()))
+
+
+def _estimates(sums: DataFrame) -> DataFrame:
+    """Location, inverse scatter and its determinant, from sums by key and start."""
     factor, floor = _consistency(), np.diag(np.square(FLOOR))
 
     def invert(frames):
         for f in frames:
             out = []
             for r in f.to_dict("records"):
-                mean = np.array([r[f"m{i}"] for i in range(P)]) / r["n"]
+                mean = np.array([r[c] for c in _M]) / r["n"]
                 cov = np.zeros((P, P))
                 for i, j in _pairs():
                     cov[i, j] = cov[j, i] = r[f"q{i}{j}"] / r["n"] - mean[i] * mean[j]
-                inv = np.linalg.inv(cov * factor + floor)
-                out.append([r["key"], *mean, *(inv[i, j] for i, j in _pairs())])
-            yield pd.DataFrame(out, columns=["key", *(f"m{i}" for i in range(P)), *(f"q{i}{j}" for i, j in _pairs())])
+                scatter = cov * factor + floor
+                inv = np.linalg.inv(scatter)
+                out.append([r["key"], r["start"], float(np.linalg.det(scatter)), *mean, *(inv[i, j] for i, j in _pairs())])
+            yield pd.DataFrame(out, columns=["key", "start", "det", *_M, *_Q])
 
-    return sums.mapInPandas(invert, ", ".join(["key string", *(f"m{i} double" for i in range(P)), *(f"q{i}{j} double" for i, j in _pairs())]))
+    return sums.mapInPandas(invert, _PARAMS)
+
+
+def _sums() -> list:
+    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"m{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _pairs())]
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three estimates of each key to begin with; the determinant of the first two does not count."""
+    tall = rows.select("key", F.posexplode(F.array(*(F.col(f"x{i}") for i in range(P)))).alias("i", "x"))
+    counts = tall.groupBy("key", "i", F.floor(F.col("x") * VALUE_BINS).cast("int").alias("bin")).count()
+    value = {c: (F.col(c) + 1) / VALUE_BINS for c in ("q1", "q2", "q3")}
+    quartiles = _quantile_bins(counts, ["key", "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    wide = quartiles.select("key", "i", value["q1"].alias("quartile"), value["q2"].alias("median"), ((value["q3"] - value["q1"]) / 1.349).alias("sd"))
+    of = lambda i, c: F.max(F.when(F.col("i") == i, c))
+    centred = [
+        wide.groupBy("key").agg(
+            *(of(i, F.col(start)).alias(f"m{i}") for i in range(P)),
+            *((F.lit(1.0) / of(i, F.col("sd") * F.col("sd") + F.lit(FLOOR[i] ** 2)) if i == j else F.lit(0.0)).alias(f"q{i}{j}") for i, j in _pairs()),
+        ).select("key", F.lit(start).alias("start"), F.lit(float("inf")).alias("det"), *_M, *_Q)
+        for start in STARTS[:2]
+    ]
+    mean = _estimates(rows.groupBy("key").agg(*_sums()).withColumn("start", F.lit(STARTS[2])))
+    return reduce(DataFrame.unionByName, centred).unionByName(mean.withColumn("det", F.lit(float("inf"))))
 
 
 def _levels():
@@ -166,45 +220,41 @@ def _levels():
     return F.array(F.concat(lang, F.lit("\n"), source), lang, F.lit(""))
 
 
-def fit(stats: DataFrame) -> DataFrame:
+def fit(stats: DataFrame, scratch: Scratch) -> DataFrame:
     """The MCD estimate of every cell, language and of all rows (key) that rests on LEAST rows or more.
 
     stats: _lang, _source, n_words and the statistics x0 to x5, one row per document.
     """
-    fit = stats.where("n_words > 0").select(F.explode(_levels()).alias("key"), *(f"x{i}" for i in range(P)))
-
-    # Start: medians, with the quartile range or the floor as scale.
-    tall = fit.select(F.expr("stack(%d, %s) as (i, x)" % (P, ", ".join(f"{i}, x{i}" for i in range(P)))), F.col("key").alias("cell"))
-    tall = tall.select(F.concat_ws("\t", F.col("i").cast("string"), "cell").alias("key"), "x")
-    start = _quantiles(tall, F.col("x"), {"q1": 0.25, "q2": 0.5, "q3": 0.75}, 500)
-    start = start.select(F.split("key", "\t")[0].cast("int").alias("i"), F.expr("substring(key, instr(key, '\t') + 1)").alias("key"), "q2", ((F.col("q3") - F.col("q1")) / 1.349).alias("sd"))
-    of = lambda i, c: F.max(F.when(F.col("i") == i, c))
-    params = cut(
-        start.groupBy("key").agg(
-            *(of(i, F.col("q2")).alias(f"m{i}") for i in range(P)),
-            *((F.lit(1.0) / of(i, F.col("sd") * F.col("sd") + F.lit(FLOOR[i] ** 2)) if i == j else F.lit(0.0)).alias(f"q{i}{j}") for i, j in _pairs()),
-        )
-    )
-    for _ in range(STEPS):
-        near = _joined(fit, params).withColumn("d", F.least(_distance(), F.lit(1e6)))
-        edge = cut(_quantiles(near, F.log1p(F.col("d")), {"edge": COVER}, 200))
-        params = cut(_estimate(_joined(near, edge), F.floor(F.log1p("d") * 200) < F.col("edge") * 200))
-    return cut(fit.groupBy("key").count().where(F.col("count") >= LEAST).join(params, "key").drop("count"))
+    rows = stats.where("n_words > 0").select(F.explode(_levels()).alias("key"), *(f"x{i}" for i in range(P)))
+    enough = scratch.cut(rows.groupBy("key").count().where(F.col("count") >= LEAST).select("key"))
+    rows = rows.join(_small(enough), "key", "left_semi")
+    active = scratch.cut(_starts(rows))
+    done = []
+    for step in range(STEPS):
+        near = rows.join(_small(active), "key").select("key", "start", _bin(_distance()).alias("bin"))
+        edge = _quantile_bins(near.groupBy("key", "start", "bin").count(), ["key", "start"], {"edge": COVER})
+        edged = scratch.cut(active.join(edge, ["key", "start"]))
+        inside = rows.join(_small(edged), "key").where(_bin(_distance()) <= F.col("edge"))
+        new = scratch.cut(_estimates(inside.select("key", "start", *(f"x{i}" for i in range(P))).groupBy("key", "start").agg(*_sums())))
+        before = active.select("key", "start", F.col("det").alias("before"))
+        both = scratch.cut(new.join(before, ["key", "start"]))
+        falls = F.col("det") < (1 - STILL) * F.col("before")
+        done.append(both.where(~falls) if step < STEPS - 1 else both)
+        active = both.where(falls).drop("before")
+        if active.isEmpty():
+            break
+    best = reduce(DataFrame.unionByName, done).groupBy("key").agg(F.min(F.struct("det", "start", *_M, *_Q)).alias("p"))
+    return best.select("key", "p.*")
 
 
 def judge(stats: DataFrame, params: DataFrame, limit: float) -> DataFrame:
     """stats with base_failed, distance and kept; each row by the finest estimate there is."""
-    if params.count() <= PARAM_ROWS_BOUND:
-        held = params.agg(F.collect_set("key").alias("_held"))
-        keyed = stats.crossJoin(F.broadcast(held)).withColumn("key", F.try_element_at(F.filter(_levels(), lambda k: F.array_contains("_held", k)), F.lit(1))).drop("_held")
-    else:
-        keyed = stats
-        for i in range(3):
-            mark = params.select(F.col("key").alias(f"_key{i}"), F.lit(True).alias(f"_ok{i}"))
-            keyed = keyed.withColumn(f"_key{i}", _levels()[i]).join(mark, f"_key{i}", "left")
-        keyed = keyed.withColumn("key", F.coalesce(*(F.when(F.col(f"_ok{i}"), F.col(f"_key{i}")) for i in range(3))))
+    keyed, levels = stats.withColumn("_levels", _levels()), _small(params.select("key", F.struct(*_M, *_Q).alias("p")))
+    for i in range(3):
+        keyed = keyed.join(levels.select(F.col("key").alias(f"_key{i}"), F.col("p").alias(f"_p{i}")), F.col("_levels")[i] == F.col(f"_key{i}"), "left")
+    keyed = keyed.withColumn("_p", F.coalesce("_p0", "_p1", "_p2"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = _joined(keyed, params).withColumn("distance", _distance()).withColumn("base_failed", failed)
+    scored = keyed.withColumn("distance", _distance(lambda c: F.col("_p")[c])).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
 
 
@@ -215,12 +265,14 @@ def _stats(docs: DataFrame, keep: dict) -> DataFrame:
 
 def verdicts(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """doc_id, COUNTS, base_failed, distance (squared; null without an estimate) and kept for every row of docs."""
-    stats = cut(_stats(docs, {"_id": "doc_id"}))
-    return judge(stats, fit(stats), limit).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "distance", "kept")
+    with Scratch(docs.sparkSession) as scratch:
+        stats = scratch.cut(_stats(docs, {"_id": "doc_id"}))
+        return keep(judge(stats, scratch.cut(fit(stats, scratch)), limit).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "distance", "kept"))
 
 
 def kept_documents(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """The documents that pass, with all their columns. Texts are counted twice and never shuffled."""
-    params = fit(cut(_stats(docs, {})))
-    keep = {f"_c{i}": c for i, c in enumerate(docs.columns)}
-    return judge(_stats(docs, keep), params, limit).where("kept").select(*(F.col(k).alias(c) for k, c in keep.items()))
+    with Scratch(docs.sparkSession) as scratch:
+        params = keep(fit(scratch.cut(_stats(docs, {})), scratch))
+    names = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    return judge(_stats(docs, names), params, limit).where("kept").select(*(F.col(k).alias(c) for k, c in names.items()))
