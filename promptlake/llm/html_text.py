@@ -3,27 +3,31 @@
 A page is a sequence of tokens: start tags, told apart by their path of enclosing
 elements and classes, and texts with the path they stand in. On each host the tokens
 whose occurrence vectors over the pages agree (as often on every page) form an
-equivalence class. The vector is kept as an order-free hash over (page, count), so the
-classes come from grouped aggregation however many pages a host has. A class is valid if
-it has enough tokens, occurs on enough pages and its tokens stand in one order on every page.
-Valid classes nest by their paths and make the host's template.
-
-What lies between template tokens are slots. A text that is itself a template token is
-fixed wording of the host; other texts are slot contents. Of these the main text is what
-stands in the page's article (or, failing one, anywhere), outside slots whose enclosing
-elements are menus, headers, footers, sidebars, notices, adverts, forms or comments, and
-outside blocks that are mostly links.
-
-Hosts with fewer than ``LEAST_PAGES`` pages have no template; there the elements decide
-alone. Texts inside an article are never taken for fixed wording, since copies of one
-article can fill a host. Null html gives an empty text; a null url is a host of its own;
-repeated rows are pages of their own.
+equivalence class. The vector is kept as a hash over (page, count), so the classes come
+from grouped aggregation however many pages a host has. A class is valid if it has enough
+tokens, occurs on enough pages and its tokens stand in one order on every page.
+
+On a page the classes nest by position: a class whose tokens all stand in one gap of another
+is inside it, and classes that interleave count as one. The gaps are the slots. A text that is itself a template token is
+fixed wording of the host; other texts are slot contents. The main text is chosen among the
+slots: those that hold the page's article (article or main element, or what says to be one) or, failing
+one, those that are not mostly links. In them the template decides first. As a second
+filter, blocks go whose enclosing elements are menus, headers, footers, sidebars,
+notices, adverts, forms or comments.
+
+Texts inside an article are fixed wording only from ``ARTICLE_SUPPORT`` of the host's pages on,
+since near copies of one article can fill a host. Pages are counted by distinct html, so
+that repeated rows and exact copies count once; each row still gets its text. Hosts with
+fewer than ``LEAST_PAGES`` distinct pages have no template; there the elements decide alone.
+Null or empty html gives an empty text; a null url is a host of its own. Other columns of
+the input, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from itertools import pairwise
 
 import numpy as np
@@ -31,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import Scratch, keep
 
 LEAST_PAGES = 4
-SUPPORT = 0.6
+SUPPORT, ARTICLE_SUPPORT = 0.6, 0.8
+MOSTLY = 0.6
 CLASS_SIZE = 3
 TOKENS_BOUND = 2_000_000
 
@@ -94,11 +99,11 @@ def hash_text(text: str) -> int:
     return (zlib.crc32(raw) << 32 | zlib.adler32(raw)) & 0x7FFFFFFFFFFFFFFF
 
 
-def parse(page: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str, Element, bool]]]:
-    """Tokens (hash, position, text?) and blocks (text, innermost element, mostly links?) of a page, in order."""
+def parse(page: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str, Element, float]]]:
+    """Tokens (hash, position, text?) and blocks (text, innermost element, share in links) of a page, in order."""
     stack: list[Element] = [Element("", "", None)]
     tokens: list[tuple[int, int, bool]] = []
-    blocks: list[tuple[str, Element, bool]] = []
+    blocks: list[tuple[str, Element, float]] = []
     held: list[str] = []
     linked = total = 0
     home = stack[-1]
@@ -109,7 +114,7 @@ def parse(page: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str, Eleme
         held.clear()
         if text:
             tokens.append((hash_text(f"{home.path}\n{text}"), len(tokens), True))
-            blocks.append((text, home, linked > 0.6 * total))
+            blocks.append((text, home, linked / max(total, 1)))
         linked = total = 0
 
     def text(raw: str) -> None:
@@ -162,22 +167,57 @@ def parse(page: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str, Eleme
     return tokens, blocks
 
 
-def main_text(blocks: list[tuple[str, Element, bool]], fixed: np.ndarray) -> str:
-    """The main text of parsed blocks. fixed: sorted hashes of the host's template tokens."""
-    inside = [b for b in blocks if b[1].article and not b[1].outside]
-    if inside:
-        return "\n\n".join(t for t, _, _ in inside)
-    out = []
-    for t, element, links in blocks:
-        if element.outside or links:
-            continue
-        if len(fixed):
-            h = hash_text(f"{element.path}\n{t}")
-            i = int(np.searchsorted(fixed, h))
-            if i < len(fixed) and fixed[i] == h:
-                continue
-        out.append(t)
-    return "\n\n".join(out)
+def slots(positions: list[int], classes: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """The slot (innermost class, gap in it) of each position in ends. positions, classes: the template tokens of a page, in order.
+
+    The class is named by its first position on the page, -1 outside of all.
+    """
+    span: dict[int, list[int]] = {}
+    for p, c in zip(positions, classes, strict=True):
+        span.setdefault(c, [p, p])[1] = p
+    tree: list[list] = []  # [first, last, classes]; interleaving classes are joined
+    for c, (first, last) in sorted(span.items(), key=lambda x: (x[1][0], -x[1][1])):
+        for node in reversed(tree):
+            if node[0] < first < node[1] < last:
+                node[1] = last
+                node[2].add(c)
+                break
+        else:
+            tree.append([first, last, {c}])
+    out, held, to = [], [], 0
+    marks: dict[int, list[int]] = {}
+    owner = {c: i for i, node in enumerate(tree) for c in node[2]}
+    for p, c in zip(positions, classes, strict=True):
+        marks.setdefault(owner[c], []).append(p)
+    for p in ends:
+        while to < len(tree) and tree[to][0] <= p:
+            held.append(to)
+            to += 1
+        held = [i for i in held if tree[i][1] >= p]
+        inner = max(held, key=lambda i: tree[i][0], default=None)
+        out.append((-1, to) if inner is None else (tree[inner][0], bisect_right(marks[inner], p)))
+    return out
+
+
+def main_text(tokens: list[tuple[int, int, bool]], blocks: list[tuple[str, Element, float]], template: np.ndarray, classes: np.ndarray) -> str:
+    """The main text of a parsed page. template: sorted hashes of the host's template tokens; classes: their classes."""
+    fixed = np.zeros(len(tokens), dtype=bool)
+    if len(template):
+        own = np.array([t[0] for t in tokens], dtype=np.int64)
+        at = np.minimum(np.searchsorted(template, own), len(template) - 1)
+        fixed = template[at] == own
+    text_at = [i for i, t in enumerate(tokens) if t[2]]
+    marks = np.flatnonzero(fixed)
+    slot = slots(marks.tolist(), classes[at[marks]].tolist() if len(marks) else [], text_at)
+    content = [(s, b) for i, s, b in zip(text_at, slot, blocks, strict=True) if not fixed[i] and not b[1].outside]
+    if any(b[1].article for _, b in content):
+        return "\n\n".join(b[0] for _, b in content if b[1].article)
+    links: dict[tuple, list[float]] = {}
+    for s, b in content:
+        x = links.setdefault(s, [0.0, 0.0])
+        x[0] += b[2] * len(b[0])
+        x[1] += len(b[0])
+    return "\n\n".join(b[0] for s, b in content if links[s][0] <= MOSTLY * links[s][1])
 
 
 # -- templates ----------------------------------------------------------------------------
@@ -188,64 +228,69 @@ def _host(url):
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, n, at): each page's tokens, how often and where first."""
+    """(host, page, token, n, at, inside): each page's tokens, how often, where first, and whether they are texts in its article."""
 
     def run(batches):
         for b in batches:
-            host, page, token, n, at = [], [], [], [], []
+            row, token, n, at, inside = [], [], [], [], []
             for i, source in enumerate(b.column(2).to_pylist()):
-                seen: dict[int, list[int]] = {}
-                for h, position, _ in parse(source or "")[0]:
-                    seen.setdefault(h, [0, position])[0] += 1
-                host += [i] * len(seen)
+                seen: dict[int, list] = {}
+                tokens, blocks = parse(source or "")
+                article = iter([x[1].article for x in blocks])
+                for h, position, is_text in tokens:
+                    in_article = next(article) if is_text else False
+                    seen.setdefault(h, [0, position, in_article])[0] += 1
+                row += [i] * len(seen)
                 token += seen
                 n += [x[0] for x in seen.values()]
                 at += [x[1] for x in seen.values()]
-            page = b.column(1).take(pa.array(host, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(host, pa.int64())), page, pa.array(token, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.int32())], names=["host", "page", "token", "n", "at"])
+                inside += [x[2] for x in seen.values()]
+            of = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(token, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.int32()), pa.array(inside, pa.bool_())], names=["host", "page", "token", "n", "at", "inside"])
 
-    return pages.mapInArrow(run, "host bigint, page bigint, token bigint, n int, at int")
+    return pages.mapInArrow(run, "host bigint, page bigint, token bigint, n int, at int, inside boolean")
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, token) of the valid equivalence classes. pages: host, page (hashes) and html."""
-    tokens = cut(_tokens(pages))
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, token, class) of the valid equivalence classes. pages: host, page (hash of its html) and html."""
+    tokens = scratch.cut(_tokens(pages).dropDuplicates(["host", "page", "token"]))
     sizes = tokens.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
-    frequent = vectors.join(sizes, "host").where(F.col("on") >= F.greatest(F.lit(3), SUPPORT * F.col("pages"))).drop("pages")
-    frequent = cut(frequent)
-    large = frequent.groupBy("host", "vector").agg(F.count("*").alias("size")).where(F.col("size") >= CLASS_SIZE).drop("size")
-    member = cut(frequent.join(large, ["host", "vector"]).select("host", "token", "vector"))
+    vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.max("inside").alias("inside"))
+    support = F.when(F.col("inside"), ARTICLE_SUPPORT).otherwise(SUPPORT)
+    frequent = scratch.cut(vectors.join(sizes, "host").where(F.col("on") >= F.greatest(F.lit(3), support * F.col("pages"))).select("host", "token", "class"))
+    large = frequent.groupBy("host", "class").agg(F.count("*").alias("size")).where(F.col("size") >= CLASS_SIZE).drop("size")
+    member = scratch.cut(frequent.join(large, ["host", "class"]))
     # Ordered: each page has the class's tokens in one and the same order.
     placed = tokens.select("host", "page", "token", "at").join(member, ["host", "token"])
-    orders = placed.groupBy("host", "vector", "page").agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])).alias("order"))
-    valid = orders.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "vector")
-    return member.join(valid, ["host", "vector"]).select("host", "token")
+    orders = placed.groupBy("host", "class", "page").agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])).alias("order"))
+    valid = orders.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "class")
+    return member.join(valid, ["host", "class"]).select("host", "token", "class")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     base = pages.select("page_id", "url", F.col("html").alias("_html"), F.xxhash64(_host(F.col("url"))).alias("_host"))
-    hashed = base.select(F.col("_host").alias("host"), F.xxhash64("page_id", "url", "_html").alias("page"), F.col("_html").alias("html"))
-    fixed = cut(templates(hashed))
-    by_host = fixed.groupBy("host").agg(F.array_sort(F.collect_list("token")).alias("_fixed"))
-    by_host = F.broadcast(by_host) if fixed.count() <= TOKENS_BOUND else by_host
-    both = base.join(by_host, F.col("_host") == F.col("host"), "left").select("page_id", "url", "_html", "_fixed")
+    with Scratch(pages.sparkSession) as scratch:
+        found = templates(base.select(F.col("_host").alias("host"), F.xxhash64("_html").alias("page"), F.col("_html").alias("html")), scratch)
+        by_host = keep(found.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("token", "class"))).alias("t")).select("host", F.col("t.token").alias("_token"), F.col("t.class").alias("_class"), F.size("t").alias("_n")))
+    small = by_host.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"] <= TOKENS_BOUND
+    by_host = by_host.drop("_n")
+    both = base.join(F.broadcast(by_host) if small else by_host, F.col("_host") == F.col("host"), "left").select("page_id", "url", "_html", "_token", "_class")
 
     def run(batches):
         for b in batches:
             texts = []
-            for source, known in pairwise_columns(b.column(2), b.column(3)):
-                texts.append(main_text(parse(source)[1], known) if source else "")
+            for source, token, kind in zip(b.column(2).to_pylist(), _lists(b.column(3)), _lists(b.column(4)), strict=True):
+                texts.append(main_text(*parse(source), token, kind) if source else "")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
 
 
-def pairwise_columns(sources: pa.Array, fixed: pa.Array):
-    """Each page's html with its host's template tokens."""
-    flat = fixed.flatten().to_numpy(zero_copy_only=False)
-    edge = np.concatenate([[0], np.cumsum(fixed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-    for source, (a, b) in zip(sources.to_pylist(), pairwise(edge), strict=True):
-        yield source, flat[a:b]
+def _lists(column: pa.Array):
+    """Each row's list as an array; an empty one for null."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    edge = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    for a, b in pairwise(edge):
+        yield flat[a:b]

@@ -292,8 +292,8 @@ def test_decontamination(spark, docs, nothing):
 
 
 def test_main_text(spark):
-    page = """<html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li>Menu</li></ul></nav>{top}<article><header><h1>Head &amp; line</h1></header>
-<p>One <a href="#">two</a>\n three&nbsp;four<div class="sidebar widget">side</div><p>five < 6 and <i>seven</i> {n}</p><form><p>Name<input></form><section id="comments"><p>nice post</p></section></article><footer>f</footer><!-- <p>no</p> --><script>if(a<b){"<p>"}</script></body>"""
+    page = """<html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li>Menu</li></ul></nav>{top}<article><header><h1>Head &amp; line {n}</h1></header>
+<p>One {n} <a href="#">two</a>\n three&nbsp;four<div class="sidebar widget">side</div><p>five < 6 and <i>seven</i> {n}</p><form><p>Name<input></form><section id="comments"><p>nice post</p></section></article><footer>f</footer><!-- <p>no</p> --><script>if(a<b){"<p>"}</script></body>"""
     soup = '<html><body><div id="menu">m</div><div>Welcome to this site, dear reader</div><div class="story"><p>Story {n} is told here</p></div><div class="foot">All rights reserved by us</div></body></html>'
     data = [(i, f"http://a.example/{i}", page.replace("{n}", str(i)).replace("{top}", '<div class="cookie-notice">We use cookies</div>')) for i in range(5)]
     data += [(100 + i, f"http://b.example/{i}", soup.replace("{n}", str(i))) for i in range(6)]
@@ -301,7 +301,7 @@ def test_main_text(spark):
     pages = spark.createDataFrame(data, "page_id bigint, url string, html string").withColumn("host", F.lit(1)).withColumn("token", F.lit("clash"))
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
     for i in range(5):
-        assert got[i]["text"] == f"Head & line\n\nOne two three four\n\nfive < 6 and seven {i}"
+        assert got[i]["text"] == f"Head & line {i}\n\nOne {i} two three four\n\nfive < 6 and seven {i}"
         assert got[i]["n_chars"] == len(got[i]["text"])
     for i in range(6):
         assert got[100 + i]["text"] == f"Story {i} is told here"
