@@ -12,7 +12,9 @@ Documents send only the hashes of their long lines to the shards and probe the a
 neither lines nor texts are joined with each other. A shard that a very common line
 makes hot is probed by several tasks, each with a copy of its arrays.
 
-Null and empty texts are one empty line. Rows with one doc_id count as one document.
+Null and empty texts are one empty line. Rows with one doc_id count as one document. Other
+columns of the input, whatever their names, take no part and stay; only input columns with
+the names of the two counts are replaced by them.
 Rows without a doc_id are counted as one document that never keeps a frequent line
 while another document has it.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .cluster import cut, parts
+from .cluster import Scratch, keep, parts
 
 MIN_CHARS, MIN_DOCS = 20, 3
 KEYS_A_SHARD = 200_000
@@ -149,19 +151,20 @@ def _probe(key: tuple, lines: pa.Table, shards: pa.Table) -> pa.Table:
 def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, lost): the hashes of the lines that each document loses."""
     spark = docs.sparkSession
-    rows = cut(line_rows(docs, min_chars))
-    once = rows.groupBy("h1", "h2", "doc").count()
-    keys = cut(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.coalesce(F.max("doc"), F.lit(_NONE + 1)).alias("keeper")).where(F.col("n_docs") >= min_docs))
-    n = max(parts(spark), math.ceil(keys.count() / KEYS_A_SHARD))
-    shard = F.pmod(F.xxhash64("h1"), F.lit(n))
-    shards = keys.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, _SHARD)
-    target = max(LINES_A_PROBE, 2 * math.ceil(rows.count() / n))
-    load = cut(rows.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / target).cast("bigint").alias("copies")))
-    small = F.broadcast(load) if n <= 1_000_000 else load
-    asked = rows.withColumn("shard", shard).join(small, "shard").withColumn("copy", F.pmod(F.xxhash64("doc", "h2"), F.col("copies"))).drop("copies")
-    index = shards.join(small, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).drop("copies")
-    lost = asked.groupBy("shard", "copy").cogroup(index.groupBy("shard", "copy")).applyInArrow(_probe, "doc bigint, h2 bigint")
-    return lost.groupBy("doc").agg(F.collect_set("h2").alias("lost"))
+    with Scratch(spark) as scratch:
+        rows = scratch.cut(line_rows(docs, min_chars))
+        once = rows.groupBy("h1", "h2", "doc").count()
+        keys = scratch.cut(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.coalesce(F.max("doc"), F.lit(_NONE + 1)).alias("keeper")).where(F.col("n_docs") >= min_docs))
+        n = max(parts(spark), math.ceil(keys.count() / KEYS_A_SHARD))
+        shard = F.pmod(F.xxhash64("h1"), F.lit(n))
+        shards = keys.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, _SHARD)
+        target = max(LINES_A_PROBE, 2 * math.ceil(rows.count() / n))
+        load = scratch.cut(rows.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / target).cast("bigint").alias("copies")))
+        small = F.broadcast(load) if n <= 1_000_000 else load
+        asked = rows.withColumn("shard", shard).join(small, "shard").withColumn("copy", F.pmod(F.xxhash64("doc", "h2"), F.col("copies"))).drop("copies")
+        index = shards.join(small, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).drop("copies")
+        lost = asked.groupBy("shard", "copy").cogroup(index.groupBy("shard", "copy")).applyInArrow(_probe, "doc bigint, h2 bigint")
+        return keep(lost.groupBy("doc").agg(F.collect_set("h2").alias("lost")))
 
 
 # -- documents ---------------------------------------------------------------------------
@@ -189,8 +192,9 @@ def _rewrite(texts: pa.Array, lost: pa.Array, min_chars: int) -> tuple[list[str]
     return out, n_lines, n_dropped
 
 
-def dedupe_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with the rewritten text, and n_lines (before) and n_dropped at the end."""
+def dedupe_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the rewritten text, and at the end how many lines there were and how many are dropped."""
+    docs = docs.drop(*counts)
     names, fields = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     at = names.index("text")
     lost = dropped(docs, min_chars, min_docs)
@@ -205,4 +209,16 @@ def dedupe_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
             columns[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=[*(f"_c{i}" for i in range(len(names))), "_n", "_d"])
 
-    return both.mapInArrow(run, schema).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped"))
+    return both.mapInArrow(run, schema).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)), F.col("_n").alias(counts[0]), F.col("_d").alias(counts[1]))
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """docs with the rewritten text alone; a column n_chars of a text that lost lines follows it."""
+    lost = "lost"
+    while lost.lower() in (c.lower() for c in docs.columns):
+        lost += "_"
+    out = dedupe_lines(docs, counts=(f"{lost}_of", lost))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(lost) > 0, size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

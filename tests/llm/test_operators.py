@@ -125,6 +125,27 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.dedupe_lines(nothing).count() == 0
 
 
+def test_clashing_columns(docs):
+    """Extra columns with the names of an operator's own ones stay as they are."""
+    wide = docs.select("*", *(F.lit("mine").alias(c) for c in ("n_lines", "n_dropped", "lost", "_gone", "_doc", "component", "copies", "key", "_levels", "x0")))
+    out = line_dedup.kept_lines(wide)
+    assert out.columns == wide.columns
+    texts = {(r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.dedupe_lines(docs).collect()}
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {t[:2] for t in texts}
+    assert all(r["n_lines"] == r["n_dropped"] == r["lost"] == "mine" and (r["n_chars"] == len(r["text"]) or not any(t[0] == r["doc_id"] and t[2] for t in texts)) for r in out.collect())
+    assert line_dedup.dedupe_lines(wide).columns == [*(c for c in wide.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped"]
+    for whole in (near_dedup.one_of_each(wide), quality_rules.kept_documents(wide)):
+        assert whole.columns == wide.columns and {r["_gone"] for r in whole.collect()} == {"mine"}
+
+
+def test_periodic_lines_differ(spark):
+    """A Thue-Morse line and its complement, which weak hashes do not tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    got = line_dedup.dedupe_lines(spark.createDataFrame([(1, one), (2, one), (3, two)], "doc_id bigint, text string")).collect()
+    assert all(r["n_dropped"] == 0 for r in got)
+
+
 # -- quality ----------------------------------------------------------------------------------
 
 
@@ -249,9 +270,11 @@ def test_token_counts(docs, nothing, tokenizer):
 # -- language model, benchmark, pages ---------------------------------------------------------
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_score(spark, docs, nothing, order, monkeypatch):
-    monkeypatch.setattr(lm_score, "BATCH_BYTES", 4000)
+@pytest.mark.parametrize(("order", "batch", "bits"), [(1, 4000, 6), (2, 4000, 6), (3, 4000, 6), (2, 12000, 1), (3, 20000, 2)])
+def test_lm_score(spark, docs, nothing, order, batch, bits, monkeypatch):
+    """The last two have more batches than meet at once, so totals go through several levels."""
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", batch)
+    monkeypatch.setattr(lm_score, "BITS", bits)
     texts = [(i, words(r[1])) for i, r in enumerate(rows())]
     count = [collections.Counter(tuple(w[i : i + n]) for _, w in texts for i in range(len(w) - n + 1)) for n in range(order + 1)]
     total = sum(len(w) for _, w in texts)
