@@ -2,7 +2,10 @@
 
 Each stage works on all that its predecessor kept. All but the last return the columns
 of documents; the last returns the packed pieces. ``run`` writes every stage as Parquet in the
-cluster's shared folder and reads it again for the next one.
+cluster's shared folder, reads it again for the next one and deletes it when that is written.
+
+Extra columns of the documents, whatever their names, pass through all stages but the last.
+Rows without doc_id are documents of their own that no other stands for.
 """
 
 from __future__ import annotations
@@ -10,10 +13,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from promptlake.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
-from promptlake.llm.cluster import checkpoint_dir, table
+from promptlake.llm.cluster import checkpoint_dir, remove, table
 from promptlake.session import prepare
 
 
@@ -25,11 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them; n_chars follows the text."""
-    out = line_dedup.dedupe_lines(docs)
-    if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return line_dedup.kept_lines(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +57,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     home = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{home}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
