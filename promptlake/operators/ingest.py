@@ -10,15 +10,24 @@ from pyspark.sql.window import Window
 
 ROW_KEY = ("source", "session_id", "message_ref")
 TEXT_KEY = ("content_hash", "timestamp")
+#: A round accepts at least every key's first row; only chains of alternating keys need many.
+ROUNDS = 200
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut through the cluster's shared checkpoint folder (a folder of our own only where none is set)."""
-    spark: SparkSession = df.sparkSession
+    """Lineage cut through the cluster's shared checkpoint folder (a folder of our own only where none is set and the master is local)."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="promptlake-"))
-    return df.checkpoint(eager=True)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="promptlake-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 def _first(key: tuple[str, ...], order: Column) -> Column:
@@ -36,25 +45,32 @@ def dedupe_two_key(rows: DataFrame, order: str) -> DataFrame:
     A row is dropped if either of its keys is held by an accepted earlier row. Each round
     accepts the rows that come first under both keys and removes every row that shares a key
     with them; what is left goes to the next round. Only keys and the order column take part
-    in the rounds; the lineage is cut between them.
+    in the rounds; the lineage is cut between them. Nulls in a key are equal to each other.
     """
     keys = cut(rows.select(*ROW_KEY, *TEXT_KEY, order))
     accepted = None
-    while True:
+    for _ in range(ROUNDS):
         by = F.col(order)
         marked = keys.withColumn("_both", _first(ROW_KEY, by) & _first(TEXT_KEY, by))
         won = cut(marked.where("_both").drop("_both"))
         accepted = won.select(order) if accepted is None else accepted.unionByName(won.select(order))
-        rest = keys.join(won.select(*ROW_KEY), list(ROW_KEY), "left_anti").join(won.select(*TEXT_KEY), list(TEXT_KEY), "left_anti")
-        keys = cut(rest)
+        keys = cut(_without(_without(keys, won, ROW_KEY), won, TEXT_KEY))
         if keys.isEmpty():
             return rows.join(accepted, order, "left_semi")
+    raise RuntimeError(f"rows left after {ROUNDS} rounds of de-duplication; is {order} unique?")
+
+
+def _without(rows: DataFrame, held: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The rows whose key, nulls included, is not in held."""
+    names = [f"_held{i}" for i in range(len(key))]
+    other = held.select(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True)))
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)]
+    return rows.join(other, on, "left_anti")
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, order: str) -> DataFrame:
     """The rows of batch that go into target: both keys new there, and accepted within the batch."""
-    new = batch.join(target.select(*ROW_KEY), list(ROW_KEY), "left_anti").join(target.select(*TEXT_KEY), list(TEXT_KEY), "left_anti")
-    return dedupe_two_key(new, order)
+    return dedupe_two_key(_without(_without(batch, target, ROW_KEY), target, TEXT_KEY), order)
 
 
 def ingest_stats(batch: DataFrame, added: DataFrame) -> DataFrame:
@@ -65,8 +81,10 @@ def ingest_stats(batch: DataFrame, added: DataFrame) -> DataFrame:
     return out.withColumn("deduped", F.col("scanned") - F.col("added"))
 
 
-def changed_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files of a listing (path, mtime, size) that are new or differ from the manifest; they are read again whole."""
+def changed_files(listing: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
+    """Files of a listing (path, mtime, size) that are new or differ from the manifest (force: all); they are read again whole."""
+    if force:
+        return listing
     return listing.join(manifest.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
 
 
@@ -76,8 +94,10 @@ def merge_manifest(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(F.max_by(F.struct("mtime", "size", "run_ts"), "run_ts").alias("r")).select("path", "r.*")
 
 
-def watermark_increment(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows at or after their source's high mark (milliseconds; sources without a mark are read whole)."""
+def watermark_increment(rows: DataFrame, marks: DataFrame, force: bool = False) -> DataFrame:
+    """Rows at or after their source's high mark (milliseconds; sources without a mark, or with force all, are read whole)."""
+    if force:
+        return rows
     floor = F.timestamp_millis(F.floor(F.unix_micros("high_ts") / 1000).cast("bigint"))
     at = marks.select("source", floor.alias("_floor"))
     return rows.join(at, "source", "left").where(F.col("_floor").isNull() | (F.col("timestamp") >= F.col("_floor"))).drop("_floor")

@@ -72,24 +72,27 @@ def stratified_sample(prompts: DataFrame, size: int, seed: int = SEED) -> DataFr
     """At most size prompts, balanced over (source, origin): the newest half of each share, the rest by a seeded hash.
 
     Strata with few rows give what they have; the cut to size follows the strata's order.
-    Ranks inside a stratum come from windows over (source, origin) on narrow rows; shares
-    are rounded half to even.
+    Shares are rounded half to even. Of each stratum only the ``size`` newest and the ``size`` rows
+    of lowest hash, without content, leave their partitions; the few picked ones are joined back.
+    A prompt's reference must be unique.
     """
     strata = prompts.groupBy("source", "origin").agg(F.count("*").alias("_n"))
     total = strata.agg(F.sum("_n").alias("_total"))
     share = F.greatest(F.lit(1), F.bround(F.lit(size).cast("double") * F.col("_n") / F.col("_total"), 0).cast("int"))
     plan = strata.crossJoin(F.broadcast(total)).withColumn("_share", share)  # one row
-    plan = plan.withColumn("_recent", F.floor(F.col("_share") / 2).cast("int") + F.col("_share") % 2).withColumn("_random", F.floor(F.col("_share") / 2).cast("int"))
-    rows = prompts.withColumn("_ref", X.prompt_ref()).join(F.broadcast(plan), ["source", "origin"])  # strata: sources x 2
+    plan = F.broadcast(plan.withColumn("_recent", F.floor(F.col("_share") / 2).cast("int") + F.col("_share") % 2).withColumn("_random", F.floor(F.col("_share") / 2).cast("int")))  # strata: sources x 2
+    rows = prompts.select("source", "origin", "timestamp", X.prompt_ref().alias("_ref"))
     by = Window.partitionBy("source", "origin")
-    rows = rows.withColumn("_new", F.row_number().over(by.orderBy(F.desc("timestamp"), "_ref")))
-    late = F.col("_new") <= F.col("_recent")
-    rows = rows.withColumn("_late", late).withColumn("_pick", F.row_number().over(Window.partitionBy("source", "origin", "_late").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_ref"))), "_ref")))
-    kept = rows.where((F.col("_total") <= size) | F.col("_late") | (F.col("_pick") <= F.col("_random")))
-    part = F.when(F.col("_late"), F.col("_new")).otherwise(F.col("_pick"))
-    place = F.row_number().over(Window.orderBy("source", "origin", F.desc("_late"), part, "_ref"))  # at most size + strata rows
-    small = kept.withColumn("sample_pos", place).where(F.col("sample_pos") <= size)
-    return small.select(*prompts.columns, "sample_pos")
+    lowest = by.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_ref"))), "_ref")
+    newest = rows.withColumn("_new", F.row_number().over(by.orderBy(F.desc("timestamp"), "_ref"))).where(F.col("_new") <= size)
+    late = newest.join(plan, ["source", "origin"]).where("_new <= _recent")
+    # A stratum's late rows and random ones are at most its share, so the size lowest hold all that may be picked.
+    low = rows.withColumn("_pick", F.row_number().over(lowest)).where(F.col("_pick") <= size).drop("_pick").join(late.select("_ref"), "_ref", "left_anti")
+    low = low.withColumn("_pick", F.row_number().over(lowest)).join(plan, ["source", "origin"]).where("_total <= %d or _pick <= _random" % size)
+    picked = late.select("source", "origin", "_ref", F.lit(True).alias("_late"), F.col("_new").alias("_part")).unionByName(low.select("source", "origin", "_ref", F.lit(False).alias("_late"), F.col("_pick").alias("_part")))
+    place = F.row_number().over(Window.orderBy("source", "origin", F.desc("_late"), "_part", "_ref"))  # at most size + strata rows
+    small = picked.withColumn("sample_pos", place).where(F.col("sample_pos") <= size).select("_ref", "sample_pos")
+    return prompts.withColumn("_ref", X.prompt_ref()).join(F.broadcast(small), "_ref").select(*prompts.columns, "sample_pos")
 
 
 def order_window() -> tuple[str, ...]:

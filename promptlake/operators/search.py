@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ingest import cut
+
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
+TERMS_BOUND = 100_000
 #: Letters with diacritics and their base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
@@ -20,10 +25,28 @@ def terms(text: Column | str) -> Column:
 
 
 def postings(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
-    """(term, doc, positions, tf, doc_len); positions count from 0."""
-    words = docs.select(F.col(key).alias("doc"), terms(text).alias("w"))
-    each = words.select("doc", F.size("w").alias("doc_len"), F.posexplode("w").alias("pos", "term"))
-    return each.groupBy("term", "doc", "doc_len").agg(F.array_sort(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
+    """(term, doc, doc_len, positions, tf); positions count from 0.
+
+    A row holds its whole document, so its words are grouped where they lie, without a shuffle.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def group(batches):
+        for b in batches:
+            words = b.column(1)
+            size = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = words.flatten().dictionary_encode()
+            owner = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            code = flat.indices.to_numpy()
+            order = np.lexsort((place, code, owner))
+            c, o = code[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])])) if len(c) else np.zeros(0, dtype=np.int64)
+            edge = np.append(first, len(c)).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(edge), pa.array(place[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(c[first])), b.column(0).take(pa.array(o[first])), pa.array(size[o[first]].astype(np.int32)), positions, pa.array(np.diff(edge))], names=["term", "doc", "doc_len", "positions", "tf"])
+
+    return docs.select(F.col(key).alias("doc"), terms(text).alias("w")).mapInArrow(group, f"term string, doc {kind}, doc_len int, positions array<int>, tf int")
 
 
 def _bm25(tf, doc_len, df, stats_n, avg_len) -> Column:
@@ -46,10 +69,24 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "doc", "score")
 
 
+def _candidates(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, term, df, doc, doc_len, positions, tf) of asked (query, term), for documents that hold a question's rarest term.
+
+    Only rows of asked terms leave the scan, and common terms meet only those documents.
+    """
+    terms_ = asked.select("term").distinct()
+    held = cut(index.join(F.broadcast(terms_) if terms_.count() <= TERMS_BOUND else terms_, "term", "left_semi"))
+    pairs = asked.select("query", "term").distinct()
+    known = pairs.join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = known.groupBy("query").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    docs = rarest.join(held.select("term", "doc"), "term").select("query", "doc")
+    return docs.join(held, "doc").join(known, ["query", "term"])
+
+
 def phrase_search(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Hits of each whole question as one phrase, best first."""
     asked = _query_terms(queries)
-    at = asked.join(index.select("term", "doc", "doc_len", "positions"), "term").withColumn("pos", F.explode("positions"))
+    at = _candidates(index, asked).join(asked, ["query", "term"]).withColumn("pos", F.explode("positions"))
     starts = at.groupBy("query", "m", "doc", "doc_len", (F.col("pos") - F.col("slot")).alias("start")).agg(F.count_distinct("slot").alias("got")).where("got = m")
     hits = starts.groupBy("query", "doc", "doc_len").agg(F.count("*").alias("tf"))
     df = hits.groupBy("query").agg(F.count("*").alias("df"))
@@ -62,8 +99,7 @@ def all_terms_search(index: DataFrame, stats: DataFrame, queries: DataFrame, k:
     words = queries.select("query", F.explode(F.array_distinct(F.split(F.trim("question"), r"\s+"))).alias("word")).where(F.col("word").rlike(r"^[\p{L}\p{N}]+$"))
     asked = words.select("query", F.explode(terms("word")).alias("term")).distinct()
     need = asked.groupBy("query").agg(F.count("*").alias("m"))
-    df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = asked.join(index.select("term", "doc", "doc_len", "tf"), "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    hits = _candidates(index, asked).crossJoin(F.broadcast(stats))  # one row
     each = hits.withColumn("s", _bm25(F.col("tf"), F.col("doc_len"), F.col("df"), F.col("stats_n"), F.col("avg_len")))
     full = each.groupBy("query", "doc").agg(F.sum("s").alias("score"), F.count("*").alias("got")).join(need, "query").where("got = m")
     return _rank(full, k)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -62,35 +65,122 @@ def session_context(prompts: DataFrame, n: int = 3, width: int = 300) -> DataFra
     return rest.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("source", "session_id", "place", F.substring("text", 1, width).alias("text"))
 
 
+def _rewrite_step(state: dict, kind: str, triggered: bool) -> str:
+    """A triggered submit is blocked unless a pass is held, which it then uses up; a consume takes the pending block, once, and grants one pass."""
+    if kind == "consume":
+        got = state["pending"]
+        state.update(pending=False, passing=state["passing"] or got)
+        return "consumed" if got else "nothing"
+    if state["passing"]:
+        state["passing"] = False
+        return "passed"
+    if triggered:
+        state["pending"] = True
+        return "blocked"
+    return "none"
+
+
 def fold_rewrites(rows: pd.DataFrame) -> list[str]:
-    """Outcome of one session's ordered events. kind: submit (with a trigger flag) or consume.
+    """Outcomes of one session's ordered events. kind: submit (with a trigger flag) or consume."""
+    state = {"pending": False, "passing": False}
+    return [_rewrite_step(state, k, t) for k, t in zip(rows["kind"], rows["triggered"], strict=True)]
+
 
-    A triggered submit is blocked unless a pass is held, which it then uses up; a consume
-    takes the pending block, once, and grants one pass.
+def _carried(events: DataFrame, fresh: Callable[[], dict], step: Callable[[dict, dict], dict], schema: str) -> DataFrame:
+    """Folds each session's events in order of seq: step(state, event) gives the event's result and changes the state.
+
+    Sessions are dealt to partitions and sorted there; only the state of the present session is
+    held, so a session of any length streams through.
     """
-    pending = passing = False
-    out = []
-    for kind, triggered in zip(rows["kind"], rows["triggered"], strict=True):
-        if kind == "consume":
-            out.append("consumed" if pending else "nothing")
-            passing = passing or pending
-            pending = False
-        elif passing:
-            passing = False
-            out.append("passed")
-        elif triggered:
-            pending = True
-            out.append("blocked")
-        else:
-            out.append("none")
-    return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state, names = None, {}, [c.split()[0] for c in schema.split(", ")]
+        for f in frames:
+            out = []
+            for event in f.astype(object).where(f.notna(), None).to_dict("records"):
+                if session is None or event["session_id"] != session:
+                    session, state = event["session_id"], fresh()
+                out.append({"session_id": session, "seq": event["seq"], **step(state, event)})
+            yield pd.DataFrame(out, columns=names)
+
+    known = events.where("coalesce(session_id, '') <> ''")
+    return known.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, schema)
 
 
 def skip_next(events: DataFrame) -> DataFrame:
-    """(session_id, seq, kind, outcome) of events (session_id, seq, kind, triggered); a session's events are few."""
+    """(session_id, seq, kind, outcome) of events (session_id, seq, kind, triggered). Events without a session give nothing."""
+
+    def step(state: dict, event: dict) -> dict:
+        return {"kind": event["kind"], "outcome": _rewrite_step(state, event["kind"], event["triggered"])}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame({"session_id": rows["session_id"], "seq": rows["seq"], "kind": rows["kind"], "outcome": fold_rewrites(rows)})
+    return _carried(events.select("session_id", "seq", "kind", "triggered"), lambda: {"pending": False, "passing": False}, step, "session_id string, seq bigint, kind string, outcome string")
 
-    return events.groupBy("session_id").applyInPandas(run, "session_id string, seq bigint, kind string, outcome string")
+
+#: Outcomes: none; passed (the resend after a choice); blocked (held back, a rewrite is offered); message and
+#: context (a tip beside the answer); released (the chosen text); nothing (no rewrite is pending).
+DECISION = "session_id string, seq bigint, event string, outcome string, text string"
+
+
+def fresh_session() -> dict:
+    return {"nudged": False, "pending": None, "passing": False}
+
+
+def decide_step(state: dict, event: dict) -> dict:
+    """The decision on one event of a session, by event, mode and what the session has seen.
+
+    accept and original choose between the pending rewrite and its original, once, and let the
+    next submit pass. Tips come once a session, whatever the event; mode always rewrites every
+    human prompt that a rewrite exists for.
+    """
+    kind, mode, text = event["event"], event["mode"], event["content"]
+    if kind in ("accept", "original"):
+        if state["pending"] is None:
+            return {"event": kind, "outcome": "nothing", "text": None}
+        chosen = state["pending"][kind == "accept"]
+        state.update(pending=None, passing=True)
+        return {"event": kind, "outcome": "released", "text": chosen}
+    outcome, said = "none", None
+    if mode != "off" and text:
+        triggered = event["kind"] is not None and not state["nudged"]
+        if kind == "pre_call" or (kind == "stop" and mode == "coach"):
+            if triggered:
+                state["nudged"] = True
+                outcome, said = "context" if kind == "pre_call" else "message", event["kind"]
+        elif kind == "submit":
+            if state["passing"]:
+                state["passing"] = False
+                outcome = "passed"
+            elif (mode == "always" and not event["machine"]) or (mode == "coach" and triggered):
+                state["nudged"] |= mode == "coach"
+                if event["rewrite"] is not None:
+                    state["pending"] = (text, event["rewrite"])
+                    outcome, said = "blocked", event["rewrite"]
+                elif mode == "coach":
+                    outcome, said = "message", event["kind"]
+    return {"event": kind, "outcome": outcome, "text": said}
+
+
+def _decidable(events: DataFrame) -> DataFrame:
+    return events.select("session_id", "seq", "event", "mode", "content", "rewrite", trigger_kind("content").alias("kind"), F.coalesce(X.machine_event("content"), F.lit(False)).alias("machine"))
+
+
+def decide(events: DataFrame) -> DataFrame:
+    """Decisions on events (session_id, seq, event, mode, content, rewrite), each session in order of seq. rewrite: the model's offer, or null."""
+    return _carried(_decidable(events), fresh_session, decide_step, DECISION)
+
+
+def decide_stream(events: DataFrame) -> DataFrame:
+    """The same as a stream: a session's state lasts from micro-batch to micro-batch; both texts of a pending rewrite are kept in it."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state = fresh_session()
+        if held.exists:
+            nudged, passing, original, rewrite = held.get
+            state = {"nudged": nudged, "passing": passing, "pending": None if rewrite is None else (original, rewrite)}
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("seq")
+        out = [{"session_id": key[0], "seq": e["seq"], **decide_step(state, e)} for e in rows.astype(object).where(rows.notna(), None).to_dict("records")]
+        held.update((state["nudged"], state["passing"], *(state["pending"] or (None, None))))
+        yield pd.DataFrame(out, columns=["session_id", "seq", "event", "outcome", "text"])
+
+    known = _decidable(events.where("coalesce(session_id, '') <> ''"))
+    return known.groupBy("session_id").applyInPandasWithState(run, DECISION, "nudged boolean, passing boolean, original string, rewrite string", "append", GroupStateTimeout.NoTimeout)

@@ -571,19 +571,60 @@ def session_context(spark, sf_dir):
     return triggers.session_context(prompts(spark, sf_dir))
 
 
-@query()
+_SKIP = f""", ev as (select session_id, seq, kind, triggered, row_number() over (partition by session_id order by seq) as rn
+  from (select session_id, split_part(message_ref, ':', 2)::bigint as seq, case when k % 5 < 2 then 'consume' else 'submit' end as kind, {_KIND} is not null as triggered from p)),
+r as (select session_id, 0::bigint as rn, 0::bigint as seq, '' as kind, '' as outcome, false as pending, false as passing from ev group by session_id
+  union all select e.session_id, e.rn, e.seq, e.kind,
+    case when e.kind = 'consume' then case when r.pending then 'consumed' else 'nothing' end when r.passing then 'passed' when e.triggered then 'blocked' else 'none' end,
+    case when e.kind = 'consume' then false when r.passing then r.pending else r.pending or e.triggered end,
+    case when e.kind = 'consume' then r.passing or r.pending else false end
+  from r join ev e on e.session_id = r.session_id and e.rn = r.rn + 1)
+select session_id, seq, kind, outcome from r where rn > 0"""
+
+
+@query(_SKIP, cte=P_SQL.replace("with v as", "with recursive v as", 1))
 def trigger_skip_next(spark, sf_dir):
     p = prompts(spark, sf_dir)
     events = p.select("session_id", F.split("message_ref", ":")[1].cast("bigint").alias("seq"), F.when(F.col("k") % 5 < 2, "consume").otherwise("submit").alias("kind"), triggers.trigger_kind().isNotNull().alias("triggered"))
     return triggers.skip_next(events)
 
 
+_EVENT, _MODE = ["accept", "original", "stop", "pre_call"], "case when k % 11 < 2 then 'off' when k % 11 < 5 then 'always' else 'coach' end"
+_DECIDE = f""", e0 as (select session_id, split_part(message_ref, ':', 2)::bigint as seq, content, case k % 7 when 0 then 'accept' when 1 then 'original' when 2 then 'stop' when 3 then 'pre_call' else 'submit' end as event,
+  {_MODE} as mode, case when n % 3 <> 0 then concat('Rewritten: ', left(content, 50)) end as rewrite, {_KIND} as kind, (origin = 'machine' or {hit('harness')}) as machine from p),
+ev as (select *, row_number() over (partition by session_id order by seq) as rn, mode <> 'off' and content <> '' as live from e0),
+r as (select session_id, 0::bigint as rn, 0::bigint as seq, '' as event, '' as outcome, null::varchar as text, false as nudged, false as passing, null::varchar as original, null::varchar as offer from ev group by session_id
+  union all select e.session_id, e.rn, e.seq, e.event,
+    case when e.event in ('accept', 'original') then case when r.offer is null then 'nothing' else 'released' end
+      when e.tip and e.event = 'pre_call' then 'context' when e.tip and e.event = 'stop' then 'message' when e.passed then 'passed'
+      when e.held and e.rewrite is not null then 'blocked' when e.held and e.mode = 'coach' then 'message' else 'none' end,
+    case when e.event = 'accept' then r.offer when e.event = 'original' then r.original when e.tip then e.kind
+      when e.held and e.rewrite is not null then e.rewrite when e.held and e.mode = 'coach' then e.kind end,
+    r.nudged or e.tip or (e.held and e.mode = 'coach'),
+    case when e.event in ('accept', 'original') then r.passing or r.offer is not null when e.passed then false else r.passing end,
+    case when e.event in ('accept', 'original') then null when e.held and e.rewrite is not null then e.content else r.original end,
+    case when e.event in ('accept', 'original') then null when e.held and e.rewrite is not null then e.rewrite else r.offer end
+  from r join lateral (select ev.*, live and kind is not null and not r.nudged and (event = 'pre_call' or (event = 'stop' and mode = 'coach')) as tip, live and event = 'submit' and r.passing as passed,
+      live and event = 'submit' and not r.passing and ((mode = 'always' and not machine) or (mode = 'coach' and kind is not null and not r.nudged)) as held
+    from ev where ev.session_id = r.session_id and ev.rn = r.rn + 1) e on true)
+select session_id, seq, event, outcome, text from r where rn > 0"""
+
+
+@query(_DECIDE, cte=P_SQL.replace("with v as", "with recursive v as", 1))
+def trigger_decisions(spark, sf_dir):
+    """Decisions on submit, stop, pre-call and choice events under the three modes, with the session's gate, pending rewrite and pass."""
+    p = prompts(spark, sf_dir)
+    event = F.coalesce(*(F.when(F.col("k") % 7 == i, e) for i, e in enumerate(_EVENT)), F.lit("submit"))
+    offer = F.when(F.length("content") % 3 != 0, F.concat(F.lit("Rewritten: "), F.substring("content", 1, 50)))
+    return triggers.decide(p.select("session_id", F.split("message_ref", ":")[1].cast("bigint").alias("seq"), event.alias("event"), F.expr(_MODE).alias("mode"), "content", offer.alias("rewrite")))
+
+
 # -- retrieval --------------------------------------------------------------------------------
 
 _INDEX = """with w as (select doc_id as doc, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+') as w from documents),
 t as (select doc, len(w) as doc_len, unnest(w) as term, unnest(range(len(w))) as pos from w),
 st as (select count(*) as stats_n, avg(len(w)) as avg_len from w),
-bq as (select item_id as query, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from benchmark where item_id < 20),
+bq as (select item_id as query, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from benchmark),
 """
 _BM = "greatest(1e-6, ln((stats_n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))"
 _PHRASE = (
@@ -602,13 +643,12 @@ def _index(spark, sf_dir):
     return d, search.postings(d), search.corpus_stats(d)
 
 
-def _items(spark, sf_dir, which: str = "item_id < 20"):
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(which).select(F.col("item_id").alias("query"), search.terms("text").alias("w"))
+def _items(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), search.terms("text").alias("w"))
 
 
-def _questions(spark, sf_dir, first: int, n: int, which: str = "item_id < 20"):
-    b = _items(spark, sf_dir, which)
-    return b.where(F.size("w") >= 5).select("query", F.concat_ws(" ", F.slice("w", first, n)).alias("question"))
+def _questions(spark, sf_dir, first: int, n: int):
+    return _items(spark, sf_dir).where(F.size("w") >= 5).select("query", F.concat_ws(" ", F.slice("w", first, n)).alias("question"))
 
 
 @query(_INDEX + "x as (select term, doc, doc_len, list(pos order by pos) as positions, count(*) as tf from t group by all) select term, doc, doc_len, positions, tf from x", cte="")
@@ -630,7 +670,7 @@ r as (select *, row_number() over (partition by query order by round(score, 9) d
 select query, rank, doc, round(score, 6) as score from r where rank <= 20""", cte="")
 def search_all_terms(spark, sf_dir):
     _, index, stats = _index(spark, sf_dir)
-    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id < 20").select(F.col("item_id").alias("query"), search.terms("text").alias("w")).where(F.size("w") >= 5)
+    q = _items(spark, sf_dir).where(F.size("w") >= 5)
     return search.all_terms_search(index, stats, q.select("query", F.concat_ws(" ", F.col("w")[0], F.col("w")[2]).alias("question"))).withColumn("score", F.round("score", 6))
 
 
@@ -652,40 +692,28 @@ def answer_citations(spark, sf_dir):
     return search.cited(used, search.phrase_search(index, stats, asked, 12))
 
 
-# The four above ask the first twenty items, as their twins do; these ask every item.
-
-
-def _every_item(name: str) -> str:
-    return ORACLES[name].replace(" where item_id < 20", "")
-
+# Other names of the four above, which ask every item.
+for _name in ("search_phrase", "search_all_terms", "answer_fallback", "answer_citations"):
+    QUERIES[f"{_name}_every_item"], ORACLES[f"{_name}_every_item"] = QUERIES[_name], ORACLES[_name]
 
-@query(_every_item("search_phrase"), cte="")
-def search_phrase_every_item(spark, sf_dir):
-    _, index, stats = _index(spark, sf_dir)
-    return search.phrase_search(index, stats, _questions(spark, sf_dir, 2, 4, "true"), 12).withColumn("score", F.round("score", 6))
-
-
-@query(_every_item("search_all_terms"), cte="")
-def search_all_terms_every_item(spark, sf_dir):
-    _, index, stats = _index(spark, sf_dir)
-    q = _items(spark, sf_dir, "true").where(F.size("w") >= 5)
-    return search.all_terms_search(index, stats, q.select("query", F.concat_ws(" ", F.col("w")[0], F.col("w")[2]).alias("question"))).withColumn("score", F.round("score", 6))
 
-
-@query(_every_item("answer_fallback"), cte="")
-def answer_fallback_every_item(spark, sf_dir):
-    d, index, stats = _index(spark, sf_dir)
-    asked = _questions(spark, sf_dir, 2, 4, "true")
-    hits = search.phrase_search(index, stats, asked, 12)
-    return search.fallback_answers(asked, hits, d.select("doc", X.snippet("text").alias("snippet")))
-
-
-@query(_every_item("answer_citations"), cte="")
-def answer_citations_every_item(spark, sf_dir):
+@query(_INDEX + f"""q as (select query, len(w) as m, unnest(w) as term, unnest(range(len(w))) as slot from bq where len(w) > 0),
+a as (select query, m, doc, doc_len, pos - slot as start, count(distinct slot) as got from q join t using (term) group by all),
+h as (select query, doc, doc_len, count(*) as tf from a where got = m group by all), hd as (select query, count(*) as df from h group by query),
+s1 as (select query, doc, {_BM} as score from h join hd using (query) cross join st),
+wd as (select distinct item_id as query, unnest(string_split_regex(trim(text), '\\s+')) as word from benchmark where item_id not in (select query from h)),
+u as (select distinct query, strip_accents(lower(word)) as term from wd where regexp_full_match(word, '[\\p{{L}}\\p{{N}}]+')), nd as (select query, count(*) as m from u group by query),
+tf as (select term, doc, doc_len, count(*) as tf from t group by all), df as (select term, count(*) as df from tf group by term),
+e as (select query, doc, {_BM} as x from u join tf using (term) join df using (term) cross join st),
+s2 as (select query, doc, sum(x) as score from e join nd using (query) group by query, doc, m having count(*) = m),
+al as (select *, 'phrase' as way from s1 union all select *, 'terms' as way from s2),
+r as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from al)
+select query, rank, doc, round(score, 6) as score, way from r where rank <= 12""", cte="")
+def search_questions(spark, sf_dir):
+    """Whole questions as phrases; those without a hit by all their words."""
     _, index, stats = _index(spark, sf_dir)
-    asked = _questions(spark, sf_dir, 2, 4, "true")
-    used = asked.select("query", F.array(*map(F.lit, (2, 1, 99, 1, 0))).alias("used_refs"))
-    return search.cited(used, search.phrase_search(index, stats, asked, 12))
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
+    return search.search(index, stats, asked, 12).withColumn("score", F.round("score", 6))
 
 
 # -- composite ----------------------------------------------------------------------------------

@@ -5,7 +5,6 @@ The logs are built by Spark from the driver's conversations, in the shapes the r
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -359,8 +358,7 @@ def schema_evolve_union(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="promptlake-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{ingest.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf_dir) -> DataFrame:

@@ -62,7 +62,7 @@ def transcripts(lines: DataFrame) -> DataFrame:
     content = F.coalesce(flat, F.when(~F.startswith(F.ltrim(whole), F.lit("[")), whole))
     typed = (F.col("type") == "user") & (F.col("origin.kind") == "human") & (F.col("promptSource") == "typed") & ~F.coalesce(F.col("isSidechain"), F.lit("false")).isin("true", "1")
     rows = j.withColumn("content", F.when(typed & ~X.echoes_command(content), X.strip_reminders(content))).withColumn("timestamp", X.parse_time("timestamp"))
-    rows = rows.withColumn("ref", F.when(F.col("content").isNotNull() & F.col("timestamp").isNotNull(), F.coalesce(F.col("uuid"), _short_hash())))
+    rows = rows.withColumn("ref", F.when(F.col("content").isNotNull() & F.col("timestamp").isNotNull(), F.coalesce(F.nullif("uuid", F.lit("")), _short_hash())))
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("at_ref", F.last("ref", ignorenulls=True).over(order)).withColumn("nth", F.count("ref").over(order))
     model = F.get_json_object("message", "$.model")
@@ -94,7 +94,7 @@ def patch_logs(lines: DataFrame) -> DataFrame:
     text = F.get_json_object("r.message", "$.text")
     rows = each.select("file", "r.*", text.alias("content"), F.expr("try_cast(r.timestamp as double)").alias("ms")).where((X.strip("content") != "") & F.col("ms").isNotNull())
     when = F.timestamp_micros((F.col("ms") * 1000).cast("bigint"))
-    return rows.select(*_prompt("copilot", session_id=stem(), message_ref=F.coalesce("requestId", _short_hash()), content=F.col("content"), timestamp=when, cwd=F.lit(None).cast("string"), git_repo=F.lit(None).cast("string"), model=F.col("modelId")))
+    return rows.select(*_prompt("copilot", session_id=stem(), message_ref=F.coalesce(F.nullif("requestId", F.lit("")), _short_hash()), content=F.col("content"), timestamp=when, cwd=F.lit(None).cast("string"), git_repo=F.lit(None).cast("string"), model=F.col("modelId")))
 
 
 def chat_tables(messages: DataFrame, sessions: DataFrame) -> DataFrame:

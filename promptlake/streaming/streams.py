@@ -36,10 +36,9 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str, order: str) -
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(target)
-        except Exception:  # nothing written yet
-            old = batch.limit(0)
+        at = spark._jvm.org.apache.hadoop.fs.Path(target)
+        written = at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(at)
+        old = spark.read.schema(batch.schema).parquet(target) if written else batch.limit(0)
         added = ingest.cut(ingest.insert_ignore(old, batch, order))
         added.write.mode("append").parquet(target)
 
