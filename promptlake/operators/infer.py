@@ -75,13 +75,74 @@ def infer(requests: DataFrame, judge: Callable[[list[str]], list[str | None]], t
 def stub_judge(blocks: list[str]) -> list[str]:
     """A deterministic judge: the score of each numbered prompt is its length modulo 5, over 4."""
     import json
+
+    return [json.dumps({n: {rule: (len(t) + i) % 5 / 4 for i, rule in enumerate(JUDGED)} for n, t in _numbered(block)}) for block in blocks]
+
+
+def _numbered(block: str) -> list[tuple[str, str]]:
+    import re
+
+    return re.findall(r'(?s)(?:^|\n\n)(\d+)\. """(.*?)"""(?=\n\n\d+\. """|\Z)', block)
+
+
+def stub_digest(blocks: list[str]) -> list[str]:
+    """A deterministic model for patterns: text lengths modulo 4, and the share of texts of 200 characters or more."""
+    import json
+
+    texts = [[t for _, t in _numbered(b)] for b in blocks]
+    return [json.dumps({"patterns": sorted({f"length {len(t) % 4}" for t in x}), "topics": [{"topic": "long", "share": sum(len(t) >= 200 for t in x) / max(len(x), 1)}]}) for x in texts]
+
+
+def stub_answer(blocks: list[str]) -> list[str]:
+    """A deterministic model for answers: cites the second excerpt, then the first."""
+    import json
     import re
 
-    answers = []
+    out = []
     for block in blocks:
-        found = re.findall(r'(?s)(?:^|\n\n)(\d+)\. """(.*?)"""(?=\n\n\d+\. """|\Z)', block)
-        answers.append(json.dumps({n: {rule: (len(t) + i) % 5 / 4 for i, rule in enumerate(JUDGED)} for n, t in found}))
-    return answers
+        excerpts = block.split("\n", 1)[1]
+        n = int(re.findall(r"(?:^|\n\n)\[(\d+)\] \(", excerpts)[-1])
+        out.append(json.dumps({"answer": f"answer from {n} excerpts of {len(excerpts)} characters", "used_refs": [2, 1] if n > 1 else [1]}))
+    return out
+
+
+def through_memo(requests: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """(key, payload, status) of requests (key, block): the memo's payload where there is one, else the model's."""
+    split = memo_split(requests, memo)
+    known = split.where("payload is not null").select("key", "payload", F.lit("ok").alias("status"))
+    return known.unionByName(infer(split.where("payload is null"), judge))
+
+
+def pattern_digests(batched: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """(batch, key, status, patterns, topics: topic and share) of each batch of prompts; failed batches have neither."""
+    keys = batch_keys(batched, "patterns-1")
+    asked = prompt_blocks(batched).join(keys, "batch").select("key", "block").repartition("key")
+    got = through_memo(asked, memo, judge).join(keys.select("batch", "key"), "key")
+    topics = F.from_json(F.get_json_object("payload", "$.topics"), "array<struct<topic:string,share:double>>")
+    share = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t["share"], F.lit(0.0))))
+    return got.select("batch", "key", "status", pattern_items(F.get_json_object("payload", "$.patterns")).alias("patterns"), F.transform(topics, lambda t: F.struct(t["topic"].alias("topic"), share(t).alias("share"))).alias("topics"))
+
+
+def merge_topics(digests: DataFrame) -> DataFrame:
+    """(topic, batches, share): each topic's mean share over the digests that name it."""
+    return digests.select(F.explode("topics").alias("t")).groupBy("t.topic").agg(F.count("*").alias("batches"), F.avg("t.share").alias("share"))
+
+
+def answers(questions: DataFrame, hits: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """(query, key, status, answer, used_refs) of questions (query, question) from hits (query, rank, ref, content).
+
+    The key covers question and excerpts. status: ok, failed (no usable answer twice), or none
+    (nothing found, so the model is not asked). Numbers outside the excerpts are dropped.
+    """
+    block = excerpt_blocks(hits)
+    counts = hits.groupBy("query").agg(F.max("rank").alias("n"))
+    asked = questions.join(block, "query").join(counts, "query").withColumn("block", F.concat("question", F.lit("\n"), "block"))
+    asked = asked.withColumn("key", F.sha2(F.concat("block", F.lit("answer-1"), F.lit(MODEL)), 256))
+    got = through_memo(asked.select("key", "block").distinct(), memo, judge)
+    refs = F.from_json(F.get_json_object("payload", "$.used_refs"), "array<int>")
+    out = questions.select("query").join(asked.select("query", "key", "n").join(got, "key"), "query", "left")
+    kept = F.filter(F.coalesce(refs, F.array().cast("array<int>")), lambda r: (r >= 1) & (r <= F.col("n")))
+    return out.select("query", "key", F.coalesce("status", F.lit("none")).alias("status"), F.get_json_object("payload", "$.answer").alias("answer"), kept.alias("used_refs"))
 
 
 def judge_scores(batched: DataFrame, keys: DataFrame, answers: DataFrame) -> DataFrame:

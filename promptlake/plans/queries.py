@@ -428,19 +428,25 @@ def rubric_applicable(spark, sf_dir):
     return rubric.summary(_scores(spark, sf_dir)).where("coverage > 0").select("rule", "coverage")
 
 
-_SIZE = 60
-_SAMPLE = f""", st as (select source, origin, count(*) as c from p where n >= 40 group by 1, 2), tt as (select sum(c) as t from st),
-pl as (select source, origin, t, greatest(1, round_even({_SIZE}::double * c / t, 0)::int) as share from st cross join tt),
+_SIZE, _PATTERNS = 150, 300
+
+
+def _sample_sql(size: int) -> str:
+    return f""", st as (select source, origin, count(*) as c from p where n >= 40 group by 1, 2), tt as (select sum(c) as t from st),
+pl as (select source, origin, t, greatest(1, round_even({size}::double * c / t, 0)::int) as share from st cross join tt),
 r1 as (select p.*, t, share, row_number() over (partition by p.source, p.origin order by ts desc, prompt_ref) as nw from p join pl using (source, origin) where p.n >= 40),
 r2 as (select *, nw <= share // 2 + share % 2 as late from r1),
 r3 as (select *, row_number() over (partition by source, origin, late order by md5('1337|' || prompt_ref), prompt_ref) as pk from r2),
-r4 as (select * from r3 where t <= {_SIZE} or late or pk <= share // 2),
-sa as (select * from (select *, row_number() over (order by source, origin, late desc, case when late then nw else pk end, prompt_ref) as sample_pos from r4) where sample_pos <= {_SIZE})
+r4 as (select * from r3 where t <= {size} or late or pk <= share // 2),
+sa as (select * from (select *, row_number() over (order by source, origin, late desc, case when late then nw else pk end, prompt_ref) as sample_pos from r4) where sample_pos <= {size})
 """
 
 
-def _sample(spark, sf_dir):
-    return rubric.stratified_sample(rubric.substantive(prompts(spark, sf_dir)), _SIZE)
+_SAMPLE = _sample_sql(_SIZE)
+
+
+def _sample(spark, sf_dir, size: int = _SIZE):
+    return rubric.stratified_sample(rubric.substantive(prompts(spark, sf_dir)), size)
 
 
 @query(_SAMPLE + "select sample_pos, prompt_ref from sa")
@@ -494,25 +500,33 @@ def judge_scores(spark, sf_dir):
     return _judged(spark, sf_dir).select("prompt_ref", "origin", "rule", "score")
 
 
-_DIGEST = """, di as (select batch, list_sort(list_distinct(list(concat('length ', n % 4)))) as patterns from ba group by batch)
+_DIGEST = _sample_sql(_PATTERNS) + f""", ba as (select *, (sample_pos - 1) // 25 as batch, {_CUT} as shown from sa),
+di as (select batch, list_sort(list_distinct(list(concat('length ', shown % 4)))) as patterns, avg((shown >= 200)::int) as long_share from ba group by batch)
 """
 
 
 def _digests(spark, sf_dir):
-    each = _batched(spark, sf_dir).select("batch", F.concat(F.lit("length "), (F.length("content") % 4).cast("string")).alias("pattern"))
-    return each.groupBy("batch").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
+    batched = ingest.cut(infer.batches(_sample(spark, sf_dir, _PATTERNS), 25))
+    memo = spark.createDataFrame([], "key string, payload string")
+    return ingest.cut(infer.pattern_digests(batched, memo, infer.stub_digest))
 
 
-@query(_KEYS + _DIGEST + "select batch, patterns from di")
+@query(_DIGEST + "select batch, patterns, round(long_share, 9) as long_share from di")
 def pattern_digests(spark, sf_dir):
-    return _digests(spark, sf_dir)
+    """Each batch of 25 prompts through the model; the stub's patterns are lengths modulo 4 and its topic the share of long texts."""
+    return _digests(spark, sf_dir).select("batch", "patterns", F.round(F.col("topics")[0]["share"], 9).alias("long_share"))
 
 
-@query(_KEYS + _DIGEST + "select pattern, count(distinct batch) as support from (select batch, unnest(patterns) as pattern from di) group by pattern")
+@query(_DIGEST + "select pattern, count(distinct batch) as support from (select batch, unnest(patterns) as pattern from di) group by pattern")
 def pattern_merge(spark, sf_dir):
     return infer.merge_patterns(_digests(spark, sf_dir))
 
 
+@query(_DIGEST + "select 'long' as topic, count(*) as batches, round(avg(long_share), 9) as share from di")
+def pattern_topics(spark, sf_dir):
+    return infer.merge_topics(_digests(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
 # -- model fit --------------------------------------------------------------------------------
 
 _FIT = f""", t as (select source, prompt_ref, model, {_tier()} as tier, {_DEMAND} as demand from p where origin = 'human' and n >= 40),
@@ -692,6 +706,23 @@ def answer_citations(spark, sf_dir):
     return search.cited(used, search.phrase_search(index, stats, asked, 12))
 
 
+_TALK = """, ct as (select doc_id as doc, case when length(coalesce(text, '')) > 800 then concat(left(text, 800), '...') else coalesce(text, '') end as f from documents),
+bl as (select query, string_agg(concat('[', rank, '] (', doc, ') ', f), chr(10) || chr(10) order by rank) as block, count(*) as n from hits join ct using (doc) group by query)
+"""
+
+
+@query(_PHRASE + _TALK + """select bq.query, case when n is null then 'none' else 'ok' end as status, case when n is not null then concat('answer from ', n, ' excerpts of ', length(block), ' characters') end as answer,
+  case when n is null then []::int[] when n >= 2 then [2, 1] else [1] end as used_refs from bq left join bl using (query) where len(bq.w) >= 5""", cte="")
+def answer_model(spark, sf_dir):
+    """Questions answered by the model from numbered excerpts; the stub cites the second and the first."""
+    d, index, stats = _index(spark, sf_dir)
+    asked = _questions(spark, sf_dir, 2, 4)
+    hits = search.phrase_search(index, stats, asked, 12)
+    excerpts = ingest.cut(hits.join(d, "doc").select("query", "rank", F.col("doc").alias("ref"), F.col("text").alias("content")))
+    memo = spark.createDataFrame([], "key string, payload string")
+    return infer.answers(asked, excerpts, memo, infer.stub_answer).select("query", "status", "answer", "used_refs")
+
+
 # Other names of the four above, which ask every item.
 for _name in ("search_phrase", "search_all_terms", "answer_fallback", "answer_citations"):
     QUERIES[f"{_name}_every_item"], ORACLES[f"{_name}_every_item"] = QUERIES[_name], ORACLES[_name]
