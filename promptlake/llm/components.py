@@ -35,9 +35,10 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         if not before[0]:
             break
         dealt = e.coalesce(math.ceil(before[0] / EDGES_A_PART))
-        both = dealt.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # The least of each node's neighbours and itself; edges lead from the greater node u to the lesser v.
+        least = dealt.groupBy("u").agg(F.min("v").alias("m"))
+        # A node v with greater neighbours sends them its least: that of its lesser neighbours, or itself.
+        large = dealt.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         # Each node's edges move to the least of them, and that one stays.
         moved = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
@@ -51,3 +52,12 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
     pairs = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x"))
     return pairs.select("x.node", "x.component").groupBy("node").agg(F.min("component").alias("component"))
+
+
+def merged(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (node, component) after further links (a, b): only the labels that the links join are worked on."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    top = scratch.cut(connected_components(edges, scratch))
+    named = comps.join(top.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return scratch.cut(named.unionByName(top.join(comps.select("node"), "node", "left_anti")))

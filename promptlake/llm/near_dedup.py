@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .cluster import Scratch, keep, spread_join
-from .components import connected_components
+from .components import connected_components, merged
 
 POSITIONS = 64
 SMALL, DEPTH, RECALL = 48, 5, 0.999
@@ -220,8 +220,6 @@ def _groups(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFram
     some = all_sets.where("n > 0 and doc is not null")
     reps = scratch.cut(some.groupBy("fa", "fb").agg(F.min(F.struct("doc", "n", *SKETCH, "sig")).alias("r")).select("fa", "fb", "r.*"))
     member = scratch.cut(reduce(DataFrame.unionByName, _tree_nodes(reps, percent, scratch)).join(reps.select("doc", "n", *SKETCH), "doc"))
-    labels = lambda links: scratch.cut(connected_components(links, scratch))
-    merge = lambda comps, found: labels(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     # First round: every member with its node's pivot; in dense groups with the group's.
     groups = scratch.cut(_dense_groups(member.where(F.col("c") > SMALL), scratch))
@@ -232,19 +230,19 @@ def _groups(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFram
     stars = member.where((F.col("doc") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
     pairs = scratch.cut(stars.unionByName(_star(groups)).distinct())
     sets = _full_sets(docs, _ids(pairs), k, scratch)
-    comps = labels(_verify(pairs, sets, percent))
+    comps = scratch.cut(connected_components(_verify(pairs, sets, percent), scratch))
 
     # Second round: members of different components.
     if not groups.isEmpty():
         outside = scratch.cut(_outside(groups, comps))
         if not outside.isEmpty():
-            comps = merge(comps, _verify(_star(outside), sets, percent))
-            comps = merge(comps, _blocked_links(groups, comps, sets, percent, scratch))
+            comps = merged(comps, _verify(_star(outside), sets, percent), scratch)
+            comps = merged(comps, scratch.cut(_blocked_links(groups, comps, sets, percent, scratch)), scratch)
     member = member.drop("pn", *(f"p{c}" for c in SKETCH)).join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     more = scratch.cut(_small_nodes(member, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         rest = scratch.cut(_ids(more).join(sets.select("doc"), "doc", "left_anti"))
-        comps = merge(comps, _verify(more, sets.unionByName(_full_sets(docs, rest, k, scratch)), percent))
+        comps = merged(comps, _verify(more, sets.unionByName(_full_sets(docs, rest, k, scratch)), percent), scratch)
 
     named = reps.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("fa", "fb", F.coalesce("component", "doc").alias("component"), F.lit(1).alias("one"))
     # All copies of one text have one fingerprint, so the few common ones are handled apart.

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from promptlake.llm.cluster import Scratch
 from promptlake.llm import components, decontaminate, html_text, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, token_counts, token_files
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -105,6 +106,23 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5} | {100 + i: 100 for i in range(31)}
 
 
+def test_components_of_random_graphs_and_merges(spark):
+    rng = np.random.default_rng(5)
+    for n in (30, 80):
+        edges = [tuple(map(int, e)) for e in rng.integers(0, 100, (n, 2))]
+        label = {v: v for e in edges for v in e}
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        frame = lambda some: spark.createDataFrame(some, "a bigint, b bigint")
+        alone = {v for a, b in edges if a == b for v in (a,)} - {v for a, b in edges if a != b for v in (a, b)}
+        want = {v: c for v, c in label.items() if v not in alone}
+        assert {r["node"]: r["component"] for r in components.connected_components(frame(edges)).collect()} == want
+        with Scratch(spark) as scratch:
+            comps = scratch.cut(components.connected_components(frame(edges[: n // 2]), scratch))
+            assert {r["node"]: r["component"] for r in components.merged(comps, frame(edges[n // 2 :]), scratch).collect()} == want
+
+
 # -- lines ------------------------------------------------------------------------------------
 
 
