@@ -87,11 +87,14 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: i
     """rows joined by key with table, whose column ``size`` says how many of the ``total`` rows have the key.
 
     The at most ``HOT_KEYS`` keys with over one part in ``HOT_KEYS`` of the rows meet by broadcast,
-    so that no task gets such a key's rows; all others shuffle.
+    so that no task gets such a key's rows; all others shuffle. Only these keys' hashes come to the driver.
     """
-    hot = F.broadcast(table.where(F.col(size) > total / HOT_KEYS))
-    even = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(size) <= total / HOT_KEYS), key)
-    return even.unionByName(rows.join(hot, key))
+    mark = F.xxhash64(key)
+    hot = [r["h"] for r in table.where(F.col(size) > total / HOT_KEYS).select(mark.alias("h")).collect()]
+    if not hot:
+        return rows.join(table, key)
+    common = mark.isin(hot)
+    return rows.where(~common).join(table.where(~common), key).unionByName(rows.where(common).join(F.broadcast(table.where(common)), key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
