@@ -161,6 +161,11 @@ def judge_scores(batched: DataFrame, keys: DataFrame, answers: DataFrame) -> Dat
     return good.select("prompt_ref", "origin", "timestamp", "rule", "score")
 
 
+def judged_prompts(scores: DataFrame) -> DataFrame:
+    """How many different prompts of each origin have a judged score."""
+    return scores.groupBy("origin").agg(F.count_distinct("prompt_ref").alias("prompts"))
+
+
 def pattern_items(raw: Column | str, limit: int = 5) -> Column:
     """JSON list items: strings kept, objects by their pattern, others dropped, the first few."""
     items = F.from_json(raw, "array<string>")

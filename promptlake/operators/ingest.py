@@ -103,6 +103,13 @@ def watermark_increment(rows: DataFrame, marks: DataFrame, force: bool = False)
     return rows.join(at, "source", "left").where(F.col("_floor").isNull() | (F.col("timestamp") >= F.col("_floor"))).drop("_floor")
 
 
+def late_counts(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """(source, late): the rows before their source's high mark, which the increment does not read."""
+    floor = F.timestamp_millis(F.floor(F.unix_micros("high_ts") / 1000).cast("bigint"))
+    both = rows.select("source", "timestamp").join(marks.select("source", floor.alias("_floor")), "source", "left")
+    return both.groupBy("source").agg(F.count_if(F.col("timestamp") < F.col("_floor")).alias("late"))
+
+
 def raise_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
     new = rows.groupBy("source").agg(F.max("timestamp").alias("high_ts"))
     return marks.select("source", "high_ts").unionByName(new).groupBy("source").agg(F.max("high_ts").alias("high_ts"))

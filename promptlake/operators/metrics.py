@@ -62,6 +62,13 @@ def counts_by_source(prompts: DataFrame) -> DataFrame:
     return each.unionByName(total)
 
 
+def table_info(prompts: DataFrame, memo: DataFrame) -> DataFrame:
+    """(item, n): rows of each source and of all, and the keys of the memo table."""
+    each = prompts.groupBy(F.col("source").alias("item")).agg(F.count("*").alias("n"))
+    rows = each.agg(F.lit("prompts").alias("item"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return each.unionByName(rows).unionByName(memo.agg(F.lit("memo").alias("item"), F.count_distinct("key").alias("n")))
+
+
 def window_totals(prompts: DataFrame) -> DataFrame:
     return prompts.agg(F.count("*").alias("prompts"), F.count_distinct("source", "session_id").alias("sessions"))
 

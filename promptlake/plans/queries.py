@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -500,6 +501,16 @@ def judge_scores(spark, sf_dir):
     return _judged(spark, sf_dir).select("prompt_ref", "origin", "rule", "score")
 
 
+@query(_KEYS + "select origin, count(distinct prompt_ref) as prompts from ba group by origin")
+def judged_prompts(spark, sf_dir):
+    return infer.judged_prompts(_judged(spark, sf_dir))
+
+
+@query(_KEYS + "select source as item, count(*) as n from p group by source union all select 'prompts', count(*) from p union all select 'memo', count(distinct key) from ke")
+def table_info(spark, sf_dir):
+    return metrics.table_info(prompts(spark, sf_dir), infer.batch_keys(_batched(spark, sf_dir)))
+
+
 _DIGEST = _sample_sql(_PATTERNS) + f""", ba as (select *, (sample_pos - 1) // 25 as batch, {_CUT} as shown from sa),
 di as (select batch, list_sort(list_distinct(list(concat('length ', shown % 4)))) as patterns, avg((shown >= 200)::int) as long_share from ba group by batch)
 """
@@ -774,3 +785,21 @@ def report_cells(spark, sf_dir):
 @query(_all_cells([_VOLUME_CELLS, _STYLE_CELLS, _RUBRIC_CELLS, _FIT_CELLS]), cte="")
 def dash_cells(spark, sf_dir):
     return reports.cells(reports.dashboard(prompts(spark, sf_dir), NOW)).withColumn("value", F.round("value", 9))
+
+
+_DOC_CELLS = _cells_sql("docs", "'all'", ("cwds", "without_docs", "docs"), "docs_summary")
+_PATTERN_CELLS = _cells_sql("patterns", "pattern", ("support",), "pattern_merge")
+
+
+@query(_all_cells([_VOLUME_CELLS, _STYLE_CELLS, _RUBRIC_CELLS, _FIT_CELLS, _DOC_CELLS]), cte="")
+def dash_cells_with_docs(spark, sf_dir):
+    frames = reports.dashboard(prompts(spark, sf_dir), NOW, _project_docs(spark, sf_dir), HOME)
+    return reports.cells(frames).withColumn("value", F.round("value", 9))
+
+
+@query(_all_cells([*_COUNT_CELLS, _STYLE_CELLS, _RUBRIC_CELLS, _FIT_CELLS, _PATTERN_CELLS]), cte="")
+def report_file(spark, sf_dir):
+    """The report with the model's patterns, written to a file and read back."""
+    path = f"{ingest.shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    reports.write(reports.cells(reports.report(prompts(spark, sf_dir), infer.merge_patterns(_digests(spark, sf_dir)))), path)
+    return reports.read(spark, path).withColumn("value", F.round("value", 9))

@@ -6,6 +6,7 @@ The logs are built by Spark from the driver's conversations, in the shapes the r
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,8 +218,8 @@ def src_export_tree(spark, sf_dir):
     return _rows(readers.exports(readers.route(export_files(spark, sf_dir)).where("kind = 'export'")))
 
 
-def _union(spark, sf_dir) -> DataFrame:
-    found, failed = readers.union_sources(
+def _sources(spark, sf_dir) -> tuple[DataFrame, dict[str, str]]:
+    return readers.union_sources(
         [
             ("claude-code", lambda: readers.transcripts(transcript_lines(spark, sf_dir))),
             ("copilot", lambda: readers.patch_logs(patch_lines(spark, sf_dir))),
@@ -226,6 +227,10 @@ def _union(spark, sf_dir) -> DataFrame:
             ("chatgpt", lambda: spark.read.parquet(f"{sf_dir}/no-such-export")),
         ]
     )
+
+
+def _union(spark, sf_dir) -> DataFrame:
+    found, failed = _sources(spark, sf_dir)
     assert set(failed) == {"chatgpt"}
     return found
 
@@ -244,6 +249,28 @@ def source_inventory(spark, sf_dir):
     return readers.inventory(_union(spark, sf_dir), list(SOURCES))
 
 
+_STATES = _UN + """, i as (select source, count(*) as prompts from un group by source),
+st as (select source, coalesce(prompts, 0) as prompts, case when source = 'chatgpt' then 'failed' when prompts is not null then 'read' else 'absent' end as state from (select unnest(['hermes', 'claude-code', 'copilot', 'codex', 'chatgpt', 'json-import']) as source) left join i using (source))
+"""
+
+
+def _states(spark, sf_dir) -> DataFrame:
+    found, failed = _sources(spark, sf_dir)
+    return readers.states(found, list(SOURCES), failed)
+
+
+@query(_STATES + "select source, state, prompts, case when state = 'failed' then 'PATH_NOT_FOUND' end as reason from st", cte="")
+def source_states(spark, sf_dir):
+    """One source has no file: it is failed, with its reason, and the others go on."""
+    out = _states(spark, sf_dir)
+    return out.select("source", "state", "prompts", F.regexp_extract("reason", r"^\[(\w+)", 1).alias("reason"))
+
+
+@query(_STATES + "select count(*) filter (where prompts > 0) as sources, count(*) filter (where state = 'failed') as stale from st", cte="")
+def source_health(spark, sf_dir):
+    return readers.health(_states(spark, sf_dir))
+
+
 # -- de-duplication and incremental state -------------------------------------------------------
 
 _KEYED = """, u as (select source, session_id, message_ref, content_hash, ts, k * 4 as ord from p
@@ -333,11 +360,34 @@ def manifest_merge(spark, sf_dir):
     return ingest.merge_manifest(_manifest(listing), listing.where("mtime % 2 = 1").withColumn("run_ts", F.lit(2)))
 
 
-@query(", h as (select source, max(ts) - 864000 as high from p where source <> 'codex' group by source) select p.source, message_ref, ts from p left join h using (source) where high is null or ts >= high")
+def _marks(p: DataFrame) -> DataFrame:
+    """High marks ten days before each source's last row; one source has none yet."""
+    return ingest.cut(p.where("source <> 'codex'").groupBy("source").agg(F.max("timestamp").alias("t")).select("source", F.timestamp_seconds(F.unix_seconds("t") - 864000).alias("high_ts")))
+
+
+_HIGH = ", h as (select source, max(ts) - 864000 as high from p where source <> 'codex' group by source) "
+
+
+@query(_HIGH + "select p.source, count(*) filter (where ts < high) as late from p left join h using (source) group by p.source")
+def watermark_late(spark, sf_dir):
+    p = prompts(spark, sf_dir)
+    return ingest.late_counts(p, _marks(p))
+
+
+@query(_FILES + _HIGH + "select 'files' as state, count(*) as forced, count(*) filter (where mtime % 5 < 3) as plain from fl union all select 'marks', count(*), count(*) filter (where high is null or ts >= high) from p left join h using (source)")
+def force_refresh(spark, sf_dir):
+    """What a forced run reads, against a plain one, under both kinds of state."""
+    p, listing = prompts(spark, sf_dir), _listing(spark, sf_dir)
+    old, marks = _manifest(listing), _marks(p)
+    read = {"files": lambda force: ingest.changed_files(listing, old, force), "marks": lambda force: ingest.watermark_increment(p, marks, force)}
+    sides = [f(force).select(F.lit(state).alias("state"), F.lit(force).alias("force")) for state, f in read.items() for force in (True, False)]
+    return reduce(DataFrame.unionByName, sides).groupBy("state").agg(F.count_if("force").alias("forced"), F.count_if(~F.col("force")).alias("plain"))
+
+
+@query(_HIGH + "select p.source, message_ref, ts from p left join h using (source) where high is null or ts >= high")
 def watermark_increment(spark, sf_dir):
     p = prompts(spark, sf_dir)
-    marks = ingest.cut(p.where("source <> 'codex'").groupBy("source").agg(F.max("timestamp").alias("t")).select("source", F.timestamp_seconds(F.unix_seconds("t") - 864000).alias("high_ts")))
-    return ingest.watermark_increment(p, marks).select("source", "message_ref", F.unix_seconds("timestamp").alias("ts"))
+    return ingest.watermark_increment(p, _marks(p)).select("source", "message_ref", F.unix_seconds("timestamp").alias("ts"))
 
 
 @query(", e as (select content_hash as key, ts as created_at, concat('v', n) as payload from p union all select content_hash, ts + 5, concat('w', n) from p where k % 2 = 0) select key, arg_max(payload, (created_at, payload)) as payload, max(created_at) as created_at from e group by key")

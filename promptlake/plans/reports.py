@@ -7,27 +7,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fit, metrics, rubric
+from ..operators import docs, fit, metrics, rubric
 
 
-def report(prompts: DataFrame) -> dict[str, DataFrame]:
+def report(prompts: DataFrame, patterns: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The frames of the report; merged patterns (pattern, support) only where a model gave some."""
+    more = {} if patterns is None else {"patterns": patterns.select(F.col("pattern").alias("row"), "support")}
     return {
         "totals": metrics.window_totals(prompts).withColumn("row", F.lit("window")),
         "sources": metrics.counts_by_source(prompts).withColumnRenamed("source", "row"),
         "style": metrics.stats_table(prompts).withColumnRenamed("measure", "row"),
         "rubric": rubric.summary(rubric.scores(rubric.substantive(prompts))).select(F.col("rule").alias("row"), "human_mean", "machine_mean", "coverage"),
         "fit": fit.summary(prompts).withColumn("row", F.lit("all")),
+        **more,
     }
 
 
-def dashboard(prompts: DataFrame, now: int) -> dict[str, DataFrame]:
+def dashboard(prompts: DataFrame, now: int, documents: DataFrame | None = None, home: str = "/") -> dict[str, DataFrame]:
+    """The frames of the dashboard; documents (dir, name) add the summary of those near the working directories."""
     frames = report(prompts)
+    more = {} if documents is None else {"docs": docs.summary(prompts.where("cwd is not null"), documents, home).withColumn("row", F.lit("all"))}
     volumes = metrics.weekly_volumes(prompts, now).groupBy("source").pivot("week", list(range(12))).agg(F.sum("n"))
     volumes = volumes.select(F.col("source").alias("row"), *(F.col(str(i)).alias(f"w{i}") for i in range(12)))
-    return {"volumes": volumes, "style": frames["style"], "rubric": frames["rubric"], "fit": frames["fit"]}
+    return {"volumes": volumes, "style": frames["style"], "rubric": frames["rubric"], "fit": frames["fit"], **more}
 
 
 def cells(frames: dict[str, DataFrame]) -> DataFrame:
@@ -38,3 +43,12 @@ def cells(frames: dict[str, DataFrame]) -> DataFrame:
         pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
         out.append(df.select(F.lit(section).alias("section"), "row", F.expr(f"stack({len(columns)}, {pairs}) as (col, value)")).where("value is not null"))
     return reduce(DataFrame.unionByName, out)
+
+
+def write(cells: DataFrame, path: str) -> None:
+    """The cells as one CSV file in order of section, row and column: sources, weeks, rules and patterns bound their number, not prompts."""
+    cells.coalesce(1).sortWithinPartitions("section", "row", "col").write.option("header", True).csv(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).schema("section string, row string, col string, value double").csv(path)

@@ -179,6 +179,18 @@ def inventory(prompts: DataFrame, kinds: list[str]) -> DataFrame:
     return known.join(seen, "source", "left").select("source", F.col("prompts").isNotNull().alias("available"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("prompts", F.lit(0)).alias("prompts"))
 
 
+def states(prompts: DataFrame, kinds: list[str], failed: dict[str, str]) -> DataFrame:
+    """The inventory with the state of each source: read, failed (with its reason) or absent."""
+    known = prompts.sparkSession.createDataFrame([(k, failed.get(k)) for k in kinds], "source string, reason string")
+    state = F.when(F.col("reason").isNotNull(), "failed").when(F.col("available"), "read").otherwise("absent")
+    return inventory(prompts, kinds).join(F.broadcast(known), "source").withColumn("state", state)  # a row for each kind of source
+
+
+def health(states: DataFrame) -> DataFrame:
+    """Sources that gave prompts and sources that failed: those keep their older rows, so they are stale."""
+    return states.agg(F.count_if(F.col("prompts") > 0).alias("sources"), F.count_if(F.col("state") == "failed").alias("stale"))
+
+
 def enabled(prompts: DataFrame, names: list[str], known: tuple[str, ...]) -> DataFrame:
     """Rows of the enabled sources; unknown names are an error."""
     unknown = sorted(set(names) - set(known))
