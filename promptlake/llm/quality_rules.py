@@ -146,9 +146,9 @@ _PARAMS = ", ".join(["key string", "start string", "det double", *(f"{c} double"
 DISTANCE_BINS, VALUE_BINS = 200, 500
 
 
-def _small(params: DataFrame) -> DataFrame:
-    """Estimates are broadcast up to a checked number of rows only."""
-    return F.broadcast(params) if params.count() <= PARAM_ROWS_BOUND else params
+def _small(params: DataFrame, rows: int | None = None) -> DataFrame:
+    """Estimates are broadcast up to a checked number of rows only; rows: a bound that is known already."""
+    return F.broadcast(params) if (params.count() if rows is None else rows) <= PARAM_ROWS_BOUND else params
 
 
 def _distance(of=F.col):
@@ -227,17 +227,18 @@ def fit(stats: DataFrame, scratch: Scratch) -> DataFrame:
     """
     rows = stats.where("n_words > 0").select(F.explode(_levels()).alias("key"), *(f"x{i}" for i in range(P)))
     enough = scratch.cut(rows.groupBy("key").count().where(F.col("count") >= LEAST).select("key"))
-    rows = rows.join(_small(enough), "key", "left_semi")
+    most = len(STARTS) * enough.count()
+    rows = rows.join(_small(enough, most), "key", "left_semi")
     active = scratch.cut(_starts(rows))
     done = []
     for step in range(STEPS):
-        near = rows.join(_small(active), "key").select("key", "start", _bin(_distance()).alias("bin"))
+        near = rows.join(_small(active, most), "key").select("key", "start", _bin(_distance()).alias("bin"))
         edge = _quantile_bins(near.groupBy("key", "start", "bin").count(), ["key", "start"], {"edge": COVER})
-        edged = scratch.cut(active.join(edge, ["key", "start"]))
-        inside = rows.join(_small(edged), "key").where(_bin(_distance()) <= F.col("edge"))
-        new = scratch.cut(_estimates(inside.select("key", "start", *(f"x{i}" for i in range(P))).groupBy("key", "start").agg(*_sums())))
+        edged = scratch.cut(edge.join(_small(active, most), ["key", "start"]))
+        inside = rows.join(_small(edged, most), "key").where(_bin(_distance()) <= F.col("edge"))
+        new = _estimates(inside.select("key", "start", *(f"x{i}" for i in range(P))).groupBy("key", "start").agg(*_sums()))
         before = active.select("key", "start", F.col("det").alias("before"))
-        both = scratch.cut(new.join(before, ["key", "start"]))
+        both = scratch.cut(new.join(_small(before, most), ["key", "start"]))
         falls = F.col("det") < (1 - STILL) * F.col("before")
         done.append(both.where(~falls) if step < STEPS - 1 else both)
         active = both.where(falls).drop("before")
