@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, token_counts, token_files
+from . import decontaminate, html_text, line_dedup, lm_score, near_dedup, packing, prefix_trie, quality_model, quality_rules, token_counts, token_files
 from .cluster import table
 
 
@@ -66,13 +66,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_lm_score, op2_lm_score_order3, op3_token_counts, op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_lm_score, op2_lm_score_order3, op3_token_counts, op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, op13_prefix_trie, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
@@ -82,7 +86,23 @@ def _shingles(of: str, table_name: str, k: int) -> str:
         when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from (select {of}, {_WORDS} as w from {table_name})"""
 
 
+_CRC32 = """list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast({0} as varchar), ''), lambda ch: ascii(ch)::bigint)), lambda acc, byte: list_reduce(list_concat([xor(acc, byte)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384)))"""
+
 ORACLES: dict[str, str] = {
+    "op13_prefix_trie": f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, md5(concat(coalesce(role, ''), chr(0), coalesce(text, '')))) - 1 as pos from conversations where conv_id is not null),
+c as (select conv_id, xor({_CRC32.format("conv_id")}, 4294967295) % 6 as h from (select distinct conv_id from t)),
+r as (select c.conv_id, 0 as own, pos, role, text from c join t on t.conv_id = c.conv_id - c.conv_id % 100 and pos < h union all select c.conv_id, 1, pos, role, text from c join t using (conv_id) where pos >= h),
+o as (select conv_id, row_number() over (partition by conv_id order by own, pos) as depth, md5(concat(role, chr(0), text)) as turn, length(text) as len from r),
+m as (select conv_id, depth, string_agg(turn, '') over (partition by conv_id order by depth) as key, len from o union all select conv_id, 0, '', 0 from c),
+last as (select conv_id, max(depth) as depth from m group by conv_id),
+e as (select m.depth, m.key, sha256(string_agg(conv_id, ',' order by conv_id)) as ends from m join last using (conv_id, depth) group by all),
+n as (select depth, key, min(conv_id) as owner, count(*) as n, (count(*) - 1) * min(len) as own, left(key, greatest(0, 32 * (depth - 1)::int)) as up from m group by depth, key),
+k as (select depth - 1 as depth, up as key, count(*) as children from n where depth > 0 group by all),
+x as (select n.*, coalesce(children, 0) as children, coalesce(ends, sha256('')) as ends from n left join k using (depth, key) left join e using (depth, key)),
+s as (select m.depth, m.key, sum((x.children = 0)::bigint) as leaves, sum(x.own) as saved from x join m on m.conv_id = x.owner and m.depth <= x.depth group by all)
+select x.owner as conv_id, x.depth::bigint as depth, p.owner as parent_conv_id, x.n as n_convs, x.children as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, x.ends as ends_sha256
+from x join s using (depth, key) left join n p on p.depth = x.depth - 1 and p.key = x.up""",
     "op7_decontamination": f"""
 with d as ({_shingles("doc_id", "documents", 5)}), b as ({_shingles("item_id", "benchmark", 5)}),
 n as (select item_id, count(*) as n_shingles from b group by item_id),
