@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, lm_score, near_dedup, packing, periodic_runs, prefix_trie, quality_model, quality_rules, token_counts, token_files
+from . import decontaminate, html_text, language_id, line_dedup, lm_score, near_dedup, packing, periodic_runs, prefix_trie, quality_model, quality_rules, token_counts, token_files
 from .cluster import table
 
 
@@ -70,6 +70,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs(table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_lm_score, op2_lm_score_order3, op3_token_counts, op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, op11_periodic_runs, op13_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_lm_score, op2_lm_score_order3, op3_token_counts, op4_quality_model, op5_best_fit_packing, op6_quality_rules, op7_decontamination, op8_token_files, op9_line_dedup, op10_near_dedup, op11_periodic_runs, op12_language_id, op13_prefix_trie, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
