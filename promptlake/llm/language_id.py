@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernel as K
+from .cluster import Scratch
 
 FOLDS, ORDERS = 5, (3, 4, 5)
 TRAIN_ROWS, GRAMS, LANGUAGES = 5_000, 60_000, 256
@@ -134,12 +135,16 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    spark = docs.sparkSession
+    with Scratch(docs.sparkSession) as scratch:
+        return _fit(docs, rows, scratch)
+
+
+def _fit(docs: DataFrame, rows: int, scratch: Scratch) -> Model:
     sample, languages = _sample(docs, rows)
     words = max(1, -(-len(languages) // 64))
     slots = np.zeros((SLOTS, words), dtype=np.uint64)
     if languages:
-        counts = gram_counts(sample)
+        counts = scratch.cut(gram_counts(sample))
         total = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row a language
         rated = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
         rated = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
