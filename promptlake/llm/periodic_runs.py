@@ -212,8 +212,10 @@ def _few_words(whole: Extensions, bounds: np.ndarray, d: np.ndarray, i: np.ndarr
 
 def _groups(sorted_: np.ndarray) -> tuple[list, list, list]:
     """Values, first rows and end rows of the runs of equal values."""
-    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, dtype=np.int64)
-    return sorted_[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_)).tolist()
+    if not len(sorted_):
+        return [], [], []
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_)]
 
 
 def rebuilt(ids: list[int | None], sizes: np.ndarray) -> np.ndarray:

@@ -99,3 +99,8 @@ def test_rows(spark):
 
 def test_nothing(spark):
     assert periodic_runs.runs(spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_no_runs_at_all(spark):
+    got = periodic_runs.runs(spark.createDataFrame([(1, "one two three", 1, "x"), (2, None, 1, "x")], KIND)).collect()
+    assert [(r["doc_id"], r["n_runs"], r["start"]) for r in got] == [(1, 0, None), (2, 0, None)]
