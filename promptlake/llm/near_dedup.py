@@ -17,11 +17,14 @@ of copies are never expanded, and no link between components is lost.
 Nodes that are still large at the last level hold documents that agree almost everywhere.
 Overlapping ones are joined to dense groups, so each document stands there once. All of a
 group meet its most central member; those that are left meet the most central of
-themselves; what is then still outside the main component is held against the whole group
-by blocks on both sides, pruned by size and sketch and then compared with exact sets, and
-only links between components come out. A task holds two blocks of a bounded number of
-documents and shingles, whatever the group. A large group of documents that are just
-below the threshold still costs the square of its size in time, not in memory or rows.
+themselves. What is then still outside the main component meets the rest of its group by its rarest
+shingles: two sets of that similarity share one of the first ``n - ceil(0.8 n) + 1`` in any
+common order, and the order here goes by a bounded sketch of how often a shingle occurs
+in such groups, so what a family of documents shares takes no part and a shingle that occurs
+once is not even sent. So a group sends a fixed part of its shingles, once, and no sets; what a
+large group exchanges is in proportion to it. Compared are only pairs that share a rare shingle so
+early in that order that enough others can follow; in a family whose members differ from each other
+by about the threshold these can still be many.
 
 Candidates pass a sketch test with a margin of over four standard deviations and are
 then confirmed on the full sets. Sets are taken from the texts again for the documents
@@ -52,7 +55,8 @@ SMALL, DEPTH, RECALL = 48, 5, 0.999
 #: Of 64 four-bit minwise values, so many may differ; 52 agree on average at similarity 0.8, with a deviation of 3.1.
 SKETCH_DIFFERS = 26
 IDS_BOUND = 1_000_000
-BLOCK, BLOCK_ITEMS = 1024, 2_000_000
+#: Counters of the sketch of shingle frequencies in dense groups, and the parts it is summed in.
+COUNTERS, COUNTER_PARTS = 1 << 20, 64
 PAIRS_A_COPY, HUBS = 1_000, 50_000
 SKETCH = ("s0", "s1", "s2", "s3")
 
@@ -237,7 +241,7 @@ def _groups(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFram
         outside = scratch.cut(_outside(groups, comps))
         if not outside.isEmpty():
             comps = merged(comps, _verify(_star(outside), sets, percent), scratch)
-            comps = merged(comps, scratch.cut(_blocked_links(groups, comps, sets, percent, scratch)), scratch)
+            comps = merged(comps, _verify(scratch.cut(_rare_pairs(groups, comps, sets, percent, scratch)), sets, percent), scratch)
     member = member.drop("pn", *(f"p{c}" for c in SKETCH)).join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     more = scratch.cut(_small_nodes(member, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
@@ -291,59 +295,80 @@ def _star(groups: DataFrame) -> DataFrame:
 
 
 def _labelled(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """groups with component, main (the component most of the group is in), blocks and ask (blocks of those outside main)."""
+    """groups with component and main, the component most of the group is in."""
     named = groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sizes = named.groupBy("group", "component").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
-    blocks = lambda rows, items: F.greatest(F.ceil(rows / BLOCK), F.ceil(items / BLOCK_ITEMS), F.lit(1)).cast("int")
-    main = sizes.groupBy("group").agg(F.max(F.struct("c", (-F.col("component")).alias("m"), "items")).alias("x"), F.sum("c").alias("rows"), F.sum("items").alias("items"))
-    main = main.select("group", (-F.col("x.m")).alias("main"), "rows", blocks(F.col("rows"), F.col("items")).alias("blocks"), blocks(F.col("rows") - F.col("x.c"), F.col("items") - F.col("x.items")).alias("ask"))
-    return spread_join(named, main, "group", "rows", groups.count())
+    sizes = named.groupBy("group", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("group").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("x"), F.sum("c").alias("rows"))
+    return spread_join(named, main.select("group", (-F.col("x.m")).alias("main"), "rows"), "group", "rows", groups.count())
 
 
 def _outside(groups: DataFrame, comps: DataFrame) -> DataFrame:
     return _labelled(groups, comps).where("component <> main").select("doc", "group", "degree")
 
 
-def _blocked_links(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of the members outside a group's main component with members of other components, one a component and block."""
+def _counter(items: np.ndarray) -> np.ndarray:
+    return (K.mix(items.view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _frequencies(rows: DataFrame) -> np.ndarray:
+    """How often each counter's shingles occur in rows (items): never less than any one of them does."""
+
+    def count(batches):
+        table = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            table += np.bincount(_counter(b.column(0).flatten().to_numpy()), minlength=COUNTERS)
+        some = np.flatnonzero(table)
+        edge = np.searchsorted(some, np.arange(0, COUNTERS + 1, COUNTERS // COUNTER_PARTS))
+        used = np.flatnonzero(np.diff(edge))
+        if len(used):
+            at = np.append(edge[:-1][used], len(some)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(some)), pa.ListArray.from_arrays(pa.array(at), pa.array(table[some]))], names=["part", "at", "n"])
+
+    def total(key: tuple, part: pa.Table) -> pa.Table:
+        at, where = np.unique(part.column("at").combine_chunks().flatten().to_numpy(), return_inverse=True)
+        n = np.bincount(where.reshape(-1), part.column("n").combine_chunks().flatten().to_numpy()).astype(np.int64)
+        return pa.table({"at": pa.array([at], pa.list_(pa.int64())), "n": pa.array([n], pa.list_(pa.int64()))})
+
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    parts = rows.select("items").mapInArrow(count, "part int, at array<bigint>, n array<bigint>").groupBy("part").applyInArrow(total, "at array<bigint>, n array<bigint>").toArrow()
+    if parts.num_rows:
+        out[parts.column("at").combine_chunks().flatten().to_numpy()] = parts.column("n").combine_chunks().flatten().to_numpy()
+    return out
+
+
+def _rare_tokens(rows: DataFrame, percent: int) -> DataFrame:
+    """(group, doc, component, main, n, sketch, token, place): the rarest shingles of each set of rows, as many as a link needs, without those that occur once."""
+    shared = rows.sparkSession.sparkContext.broadcast(_frequencies(rows))
+    kept = ["group", "doc", "component", "main", "n", *SKETCH]
+
+    def run(batches):
+        often = shared.value
+        for b in batches:
+            lists = b.column(len(kept))
+            size = lists.value_lengths().to_numpy()
+            items, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            n = often[_counter(items)]
+            order = np.lexsort((items, n, owner))
+            place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+            need = size - (percent * size + 99) // 100 + 1
+            early = (place < need[owner]) & (n[order] > 1)
+            use = order[early]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(owner[use])) for i in range(len(kept))), pa.array(items[use]), pa.array(place[early])], names=[*kept, "token", "place"])
+
+    kinds = ", ".join(f"{c} bigint" for c in [*kept, "token", "place"]).replace("group bigint", "`group` bigint")
+    return rows.select(*kept, "items").mapInArrow(run, kinds)
+
+
+def _rare_pairs(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of a member outside its group's main component and one of another component that share a rare shingle."""
     labelled = scratch.cut(_labelled(groups, comps))
     mixed = labelled.where("component <> main").select("group").distinct()
-    rows = scratch.cut(labelled.join(mixed, "group", "left_semi").join(sets, "doc").select("group", "doc", "component", "main", "blocks", "ask", "n", *SKETCH, "items"))
-    block = lambda of: F.pmod(F.xxhash64("doc"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    columns = ["doc", "component", "n", *SKETCH, "items"]
-    held = rows.select("group", block("blocks").alias("block"), every("ask").alias("part"), *columns)
-    asked = rows.where("component <> main").select("group", every("blocks").alias("block"), block("ask").alias("part"), *columns)
-
-    def links(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
-        if left.num_rows and right.num_rows:
-            flat = right.column("items").combine_chunks()
-            size = flat.value_lengths().to_numpy()
-            values = flat.flatten().to_numpy()
-            doc, comp = right.column("doc").to_numpy(), right.column("component").to_numpy()
-            sketches = [np.stack([t.column(c).to_numpy() for c in SKETCH], axis=1).view(np.uint64) for t in (left, right)]
-            for row, (d, c, items) in enumerate(zip(left.column("doc").to_pylist(), left.column("component").to_pylist(), left.column("items"), strict=True)):
-                own = np.sort(items.values.to_numpy())
-                x = sketches[1] ^ sketches[0][row]
-                x |= x >> np.uint64(1)
-                x |= x >> np.uint64(2)
-                differs = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
-                near = (comp != c) & (100 * size >= percent * len(own)) & (100 * len(own) >= percent * size) & (differs <= SKETCH_DIFFERS)
-                at = np.flatnonzero(near)
-                if not len(at):
-                    continue
-                some = values[np.repeat(near, size)]
-                hit = own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some
-                inter = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[at]) - size[at])
-                good = at[100 * inter >= percent * (size[at] + len(own) - inter)]
-                first = np.unique(comp[good], return_index=True)[1]
-                out_a += [d] * len(first)
-                out_b += doc[good[first]].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    by = ("group", "block", "part")
-    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(links, "a bigint, b bigint")
+    rows = scratch.cut(labelled.join(mixed, "group", "left_semi").join(sets, "doc"))
+    tokens = scratch.cut(_rare_tokens(rows, percent))
+    # What the first common shingle and all behind it can give must reach the overlap of a link.
+    follow = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    on = (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & ((100 + percent) * follow >= percent * (F.col("x.n") + F.col("y.n")))
+    return _pair(tokens.where("component <> main"), tokens, _near(on, percent)).distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
