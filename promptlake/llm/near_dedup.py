@@ -57,6 +57,8 @@ SKETCH_DIFFERS = 26
 IDS_BOUND = 1_000_000
 #: Counters of the sketch of shingle frequencies in dense groups, and the parts it is summed in.
 COUNTERS, COUNTER_PARTS = 1 << 20, 64
+#: Documents and shingles of a block when many pairs of a group are confirmed.
+BLOCK, BLOCK_ITEMS = 1024, 2_000_000
 PAIRS_A_COPY, HUBS = 1_000, 50_000
 SKETCH = ("s0", "s1", "s2", "s3")
 
@@ -195,6 +197,36 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
 
+def _verify_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b), by their full sets; a set goes once to each pair of blocks that asks for it, whatever the pairs there."""
+    named = _ids(pairs).join(sets.select("doc", F.size("items").alias("n")), "doc")
+    docs, items = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n = max(1, -(-docs // BLOCK), -(-items // BLOCK_ITEMS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).alias(f"of_{c}")
+    dealt = pairs.select("a", "b", block("a"), block("b"))
+    asked = dealt.select("of_a", "of_b", F.explode(F.array("a", "b")).alias("doc")).distinct().join(sets, "doc")
+
+    def links(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            lists = right.column("items").combine_chunks()
+            edge = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            flat = lists.flatten().to_numpy()
+            at = {d: i for i, d in enumerate(right.column("doc").to_pylist())}
+            a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+            for i in range(len(a)):
+                x, y = at[int(a[i])], at[int(b[i])]
+                p, q = flat[edge[x] : edge[x + 1]], flat[edge[y] : edge[y + 1]]
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * common >= percent * (len(p) + len(q) - common):
+                    out_a.append(int(a[i]))
+                    out_b.append(int(b[i]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    by = ("of_a", "of_b")
+    return dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(links, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept for every row of docs."""
     with Scratch(docs.sparkSession) as scratch:
@@ -241,7 +273,7 @@ def _groups(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFram
         outside = scratch.cut(_outside(groups, comps))
         if not outside.isEmpty():
             comps = merged(comps, _verify(_star(outside), sets, percent), scratch)
-            comps = merged(comps, _verify(scratch.cut(_rare_pairs(groups, comps, sets, percent, scratch)), sets, percent), scratch)
+            comps = merged(comps, scratch.cut(_verify_in_blocks(scratch.cut(_rare_pairs(groups, comps, sets, percent, scratch)), sets, percent)), scratch)
     member = member.drop("pn", *(f"p{c}" for c in SKETCH)).join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     more = scratch.cut(_small_nodes(member, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
