@@ -204,7 +204,7 @@ def _verify_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
     n = max(1, -(-docs // BLOCK), -(-items // BLOCK_ITEMS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).alias(f"of_{c}")
     dealt = pairs.select("a", "b", block("a"), block("b"))
-    asked = dealt.select("of_a", "of_b", F.explode(F.array("a", "b")).alias("doc")).distinct().join(sets, "doc")
+    asked = pairs.select(block("a").alias("at_a"), block("b").alias("at_b"), F.explode(F.array("a", "b")).alias("doc")).distinct().join(sets, "doc")
 
     def links(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out_a, out_b = [], []
@@ -223,8 +223,7 @@ def _verify_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
                     out_b.append(int(b[i]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    by = ("of_a", "of_b")
-    return dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(links, "a bigint, b bigint")
+    return dealt.groupBy("of_a", "of_b").cogroup(asked.groupBy("at_a", "at_b")).applyInArrow(links, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
