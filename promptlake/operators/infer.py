@@ -93,16 +93,18 @@ def stub_digest(blocks: list[str]) -> list[str]:
     return [json.dumps({"patterns": sorted({f"length {len(t) % 4}" for t in x}), "topics": [{"topic": "long", "share": sum(len(t) >= 200 for t in x) / max(len(x), 1)}]}) for x in texts]
 
 
-def stub_answer(blocks: list[str]) -> list[str]:
-    """A deterministic model for answers: cites the second excerpt, then the first."""
+def stub_answer(blocks: list[str]) -> list[str | None]:
+    """A deterministic model for answers, by the number and the length of the excerpts: cites the second and the first, is silent, empty or unsure at times."""
     import json
     import re
 
-    out = []
+    out: list[str | None] = []
     for block in blocks:
-        excerpts = block.split("\n", 1)[1]
-        n = int(re.findall(r"(?:^|\n\n)\[(\d+)\] \(", excerpts)[-1])
-        out.append(json.dumps({"answer": f"answer from {n} excerpts of {len(excerpts)} characters", "used_refs": [2, 1] if n > 1 else [1]}))
+        excerpts = block[block.index("\n[1] (") + 1 :]
+        n, size = int(re.findall(r"(?:^|\n\n)\[(\d+)\] \(", excerpts)[-1]), len(excerpts)
+        said = "" if size % 5 == 1 else f"answer from {n} excerpts of {size} characters"
+        refs = [2, "x", 99, 1, 0] if n > 1 else [1]
+        out.append("no json" if size % 5 == 2 else json.dumps({"answer": said, "used_refs": refs, "confident": size % 2 == 0}))
     return out
 
 
@@ -128,21 +130,41 @@ def merge_topics(digests: DataFrame) -> DataFrame:
     return digests.select(F.explode("topics").alias("t")).groupBy("t.topic").agg(F.count("*").alias("batches"), F.avg("t.share").alias("share"))
 
 
-def answers(questions: DataFrame, hits: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """(query, key, status, answer, used_refs) of questions (query, question) from hits (query, rank, ref, content).
+PARTIAL = "(partial: the excerpts answer this only in part)"
 
-    The key covers question and excerpts. status: ok, failed (no usable answer twice), or none
-    (nothing found, so the model is not asked). Numbers outside the excerpts are dropped.
+
+def answers(questions: DataFrame, hits: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]] | None, version: str = "answer-1") -> DataFrame:
+    """(query, key, status, answer, used_refs, confident) of questions (query, question) from hits (query, rank, ref, content, content_hash).
+
+    The key covers the question and the whole texts of its hits by their hashes, in order of rank. status:
+    ok; failed (no usable answer twice, an empty one, or no judge); none (nothing found, so
+    the model is not asked). Numbers that are no excerpt's are dropped.
     """
-    block = excerpt_blocks(hits)
-    counts = hits.groupBy("query").agg(F.max("rank").alias("n"))
-    asked = questions.join(block, "query").join(counts, "query").withColumn("block", F.concat("question", F.lit("\n"), "block"))
-    asked = asked.withColumn("key", F.sha2(F.concat("block", F.lit("answer-1"), F.lit(MODEL)), 256))
-    got = through_memo(asked.select("key", "block").distinct(), memo, judge)
-    refs = F.from_json(F.get_json_object("payload", "$.used_refs"), "array<int>")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content_hash"))), lambda x: x["content_hash"])
+    by_hit = hits.groupBy("query").agg(F.max("rank").alias("n"), F.array_join(ordered, "").alias("hashes"))
+    asked = questions.join(excerpt_blocks(hits), "query").join(by_hit, "query").withColumn("key", F.sha2(F.concat("question", "hashes", F.lit(version), F.lit(MODEL)), 256))
+    asked = asked.select("query", "key", "n", F.concat("question", F.lit("\n"), "block").alias("block"))
+    got = through_memo(asked.select("key", "block").dropDuplicates(["key"]), memo, judge or (lambda blocks: [None] * len(blocks)))
     out = questions.select("query").join(asked.select("query", "key", "n").join(got, "key"), "query", "left")
+    refs = F.transform(F.from_json(F.get_json_object("payload", "$.used_refs"), "array<string>"), lambda r: F.when(r.rlike(r"^-?\d{1,9}$"), r.cast("int")))
     kept = F.filter(F.coalesce(refs, F.array().cast("array<int>")), lambda r: (r >= 1) & (r <= F.col("n")))
-    return out.select("query", "key", F.coalesce("status", F.lit("none")).alias("status"), F.get_json_object("payload", "$.answer").alias("answer"), kept.alias("used_refs"))
+    text = X.strip(F.get_json_object("payload", "$.answer"))
+    good = (F.col("status") == "ok") & (F.coalesce(text, F.lit("")) != "")
+    state = F.when(F.col("key").isNull(), "none").when(good, "ok").otherwise("failed")
+    return out.select("query", "key", state.alias("status"), F.when(good, text).alias("answer"), F.when(good, kept).otherwise(F.array().cast("array<int>")).alias("used_refs"), F.when(good, F.coalesce(F.get_json_object("payload", "$.confident") != "false", F.lit(True))).alias("confident"))
+
+
+def answer_texts(answers_: DataFrame, sources: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(query, status, text): the answer with its dated sources and a note where it is partial; where there is none, the fallback.
+
+    sources: query, rank, ref, day of the hits. fallback: query, answer.
+    """
+    used = answers_.select("query", F.posexplode("used_refs").alias("place", "rank")).join(sources, ["query", "rank"])
+    line = F.concat(F.lit("\n- ["), F.col("day"), F.lit("] "), F.col("ref").cast("string"))
+    cited = used.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
+    out = answers_.join(cited, "query", "left").join(fallback.select("query", F.col("answer").alias("instead")), "query", "left")
+    text = F.concat("answer", F.coalesce(F.concat(F.lit("\n\nSources:"), "lines"), F.lit("")), F.when(F.col("confident"), "").otherwise("\n\n" + PARTIAL))
+    return out.select("query", "status", F.when(F.col("status") == "ok", text).otherwise(F.col("instead")).alias("text"))
 
 
 def judge_scores(batched: DataFrame, keys: DataFrame, answers: DataFrame) -> DataFrame:

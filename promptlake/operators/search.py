@@ -13,6 +13,7 @@ from .ingest import cut
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 TERMS_BOUND = 100_000
+NOTHING = "nothing matches this question"
 #: Letters with diacritics and their base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
@@ -80,15 +81,18 @@ def _candidates(index: DataFrame, asked: DataFrame) -> DataFrame:
     known = pairs.join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = known.groupBy("query").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     docs = rarest.join(held.select("term", "doc"), "term").select("query", "doc")
-    return docs.join(held, "doc").join(known, ["query", "term"])
+    return docs.join(known, "query").join(held, ["term", "doc"])
 
 
 def phrase_search(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Hits of each whole question as one phrase, best first."""
     asked = _query_terms(queries)
-    at = _candidates(index, asked).join(asked, ["query", "term"]).withColumn("pos", F.explode("positions"))
-    starts = at.groupBy("query", "m", "doc", "doc_len", (F.col("pos") - F.col("slot")).alias("start")).agg(F.count_distinct("slot").alias("got")).where("got = m")
-    hits = starts.groupBy("query", "doc", "doc_len").agg(F.count("*").alias("tf"))
+    at = _candidates(index, asked).join(asked, ["query", "term"])
+    # A row holds a term's places in a document, moved to where the phrase would begin; a question has few rows a document.
+    begins = F.transform("positions", lambda p: p - F.col("slot"))
+    found = at.groupBy("query", "m", "doc", "doc_len").agg(F.collect_list(begins).alias("x")).where(F.size("x") == F.col("m"))
+    starts = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.col("m") - 1, F.lit(0))), F.col("x")[0], F.array_intersect)
+    hits = found.select("query", "doc", "doc_len", F.size(starts).alias("tf")).where("tf > 0")
     df = hits.groupBy("query").agg(F.count("*").alias("df"))
     scored = hits.join(df, "query").crossJoin(F.broadcast(stats))  # one row
     return _rank(scored.withColumn("score", _bm25(F.col("tf"), F.col("doc_len"), F.col("df"), F.col("stats_n"), F.col("avg_len"))), k)
@@ -113,11 +117,11 @@ def search(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 20)
 
 
 def fallback_answers(queries: DataFrame, hits: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Answers without a model: the ranked snippets, or a fixed line where nothing was found. snippets: doc, snippet."""
-    lines = hits.join(snippets, "doc").select("query", "rank", F.concat(F.lit("- ("), F.col("doc").cast("string"), F.lit(") "), F.col("snippet")).alias("line"))
+    """Answers without a model: the ranked snippets with their dates, or a fixed line where nothing was found. snippets: doc, day, snippet."""
+    lines = hits.join(snippets, "doc").select("query", "rank", F.concat(F.lit("- ["), F.col("day"), F.lit("] ("), F.col("doc").cast("string"), F.lit(") "), F.col("snippet")).alias("line"))
     text = lines.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("answer"), F.count("*").alias("n_hits"))
     out = queries.select("query").join(text, "query", "left")
-    return out.select("query", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("answer", F.lit("nothing matches this question")).alias("answer"))
+    return out.select("query", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("answer", F.lit(NOTHING)).alias("answer"))
 
 
 def cited(used: DataFrame, hits: DataFrame) -> DataFrame:

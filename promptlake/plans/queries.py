@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import docs as D
-from ..operators import fit, infer, ingest, metrics, rubric, search, triggers
+from ..operators import fit, index, infer, ingest, metrics, rubric, search, triggers
 from ..schema import SOURCES
 from . import reports
 from .testview import HOME, NOW, P_SQL, hit, prompts, re2
@@ -652,110 +652,138 @@ st as (select count(*) as stats_n, avg(len(w)) as avg_len from w),
 bq as (select item_id as query, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from benchmark),
 """
 _BM = "greatest(1e-6, ln((stats_n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))"
-_PHRASE = (
+_PHRASES = (
     _INDEX
-    + f"""q as (select query, 4 as m, unnest(w[2:5]) as term, unnest([0, 1, 2, 3]) as slot from bq where len(w) >= 5),
+    + f"""q as (select query, len(w) as m, unnest(w) as term, unnest(range(len(w))) as slot from bq where len(w) > 0),
 a as (select query, m, doc, doc_len, pos - slot as start, count(distinct slot) as got from q join t using (term) group by all),
-h as (select query, doc, doc_len, count(*) as tf from a where got = m group by all), df as (select query, count(*) as df from h group by query),
-s as (select query, doc, {_BM} as score from h join df using (query) cross join st),
-r as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from s), hits as (select * from r where rank <= 12)
+h as (select query, doc, doc_len, count(*) as tf from a where got = m group by all), hd as (select query, count(*) as df from h group by query),
+s1 as (select query, doc, {_BM} as score from h join hd using (query) cross join st)
 """
 )
 
 
-def _index(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return d, search.postings(d), search.corpus_stats(d)
+def _terms_sql(which: str = "true") -> str:
+    return f"""wd as (select distinct item_id as query, unnest(string_split_regex(trim(text), '\\s+')) as word from benchmark where {which}),
+u as (select distinct query, strip_accents(lower(word)) as term from wd where regexp_full_match(word, '[\\p{{L}}\\p{{N}}]+')), nd as (select query, count(*) as m from u group by query),
+tf as (select term, doc, doc_len, count(*) as tf from t group by all), df as (select term, count(*) as df from tf group by term),
+e as (select query, doc, {_BM} as x from u join tf using (term) join df using (term) cross join st),
+s2 as (select query, doc, sum(x) as score from e join nd using (query) group by query, doc, m having count(*) = m)
+"""
+
+
+def _ranked(of: str, k: int) -> str:
+    return f"r as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from {of}), hits as (select * from r where rank <= {k})\n"
+
+
+_QUESTIONS = _PHRASES + ", " + _terms_sql("item_id not in (select query from h)") + ", al as (select *, 'phrase' as way from s1 union all select *, 'terms' as way from s2), " + _ranked("al", 12)
+
 
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
-def _items(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), search.terms("text").alias("w"))
 
+def _asked(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
 
-def _questions(spark, sf_dir, first: int, n: int):
-    return _items(spark, sf_dir).where(F.size("w") >= 5).select("query", F.concat_ws(" ", F.slice("w", first, n)).alias("question"))
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, sf_dir) -> str:
+    """The stored index over the documents: built in the shared folder by the first query that asks, then read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{ingest.shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        index.add(path, _docs(spark, sf_dir))
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def _opened(spark, sf_dir):
+    """The questions, the postings they need and the corpus numbers."""
+    asked = _asked(spark, sf_dir)
+    return asked, *index.read(spark, _stored(spark, sf_dir), asked)
 
 
 @query(_INDEX + "x as (select term, doc, doc_len, list(pos order by pos) as positions, count(*) as tf from t group by all) select term, doc, doc_len, positions, tf from x", cte="")
 def fts_postings(spark, sf_dir):
-    return _index(spark, sf_dir)[1]
+    return search.postings(_docs(spark, sf_dir))
 
 
-@query(_PHRASE + "select query, rank, doc, round(score, 6) as score from hits", cte="")
+@query(_INDEX + "x as (select term, doc, doc_len, list(pos order by pos) as positions, count(*) as tf from t group by all) select term, doc, doc_len, positions, tf, stats_n, round(avg_len, 9) as avg_len from x cross join st", cte="")
+def fts_stored_index(spark, sf_dir):
+    """Documents added in five parts, with a merge on the way; the index equals one that is built at once."""
+    path = f"{ingest.shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    for i in range(5):
+        index.add(path, _docs(spark, sf_dir).where(F.pmod("doc", F.lit(5)) == i))
+    rows, stats = index.read(spark, path)
+    return rows.crossJoin(F.broadcast(stats)).withColumn("avg_len", F.round("avg_len", 9))  # one row
+
+
+@query(_PHRASES + ", " + _ranked("s1", 12) + "select query, rank, doc, round(score, 6) as score from hits", cte="")
 def search_phrase(spark, sf_dir):
-    _, index, stats = _index(spark, sf_dir)
-    return search.phrase_search(index, stats, _questions(spark, sf_dir, 2, 4), 12).withColumn("score", F.round("score", 6))
+    asked, rows, stats = _opened(spark, sf_dir)
+    return search.phrase_search(rows, stats, asked, 12).withColumn("score", F.round("score", 6))
 
 
-@query(_INDEX + f"""q as (select distinct query, unnest([w[1], w[3]]) as term from bq where len(w) >= 5), nd as (select query, count(*) as m from q group by query),
-tf as (select term, doc, doc_len, count(*) as tf from t group by all), df as (select term, count(*) as df from tf group by term),
-e as (select query, doc, {_BM} as s from q join tf using (term) join df using (term) cross join st),
-s as (select query, doc, sum(s) as score, count(*) as got from e group by all), f as (select s.* from s join nd using (query) where got = m),
-r as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from f)
-select query, rank, doc, round(score, 6) as score from r where rank <= 20""", cte="")
+@query(_INDEX + _terms_sql() + ", " + _ranked("s2", 20) + "select query, rank, doc, round(score, 6) as score from hits", cte="")
 def search_all_terms(spark, sf_dir):
-    _, index, stats = _index(spark, sf_dir)
-    q = _items(spark, sf_dir).where(F.size("w") >= 5)
-    return search.all_terms_search(index, stats, q.select("query", F.concat_ws(" ", F.col("w")[0], F.col("w")[2]).alias("question"))).withColumn("score", F.round("score", 6))
+    asked, rows, stats = _opened(spark, sf_dir)
+    return search.all_terms_search(rows, stats, asked).withColumn("score", F.round("score", 6))
+
+
+@query(_QUESTIONS + "select query, rank, doc, round(score, 6) as score, way from hits", cte="")
+def search_questions(spark, sf_dir):
+    """Whole questions as phrases; those without a hit by all their words."""
+    asked, rows, stats = _opened(spark, sf_dir)
+    return search.search(rows, stats, asked, 12).withColumn("score", F.round("score", 6))
+
+
+def _dated(spark, sf_dir):
+    """Documents with a day and a snippet; the table has no times, so the day follows the doc_id."""
+    day = F.date_format(F.timestamp_seconds(F.lit(NOW) - F.col("doc") % 1000 * 86400), "yyyy-MM-dd")
+    return _docs(spark, sf_dir).select("doc", "text", day.alias("day"), X.snippet("text").alias("snippet"))
 
 
-@query(_PHRASE + """, sn as (select doc_id as doc, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as f from documents),
-li as (select query, string_agg(concat('- (', doc, ') ', case when length(f) > 200 then concat(left(f, 200), '...') else f end), chr(10) order by rank) as answer, count(*) as n_hits from hits join sn using (doc) group by query)
-select bq.query, coalesce(n_hits, 0) as n_hits, coalesce(answer, 'nothing matches this question') as answer from bq left join li using (query) where len(bq.w) >= 5""", cte="")
+_FALLBACK = _QUESTIONS + f""", sn as (select doc_id as doc, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as f, strftime(to_timestamp({NOW} - doc_id % 1000 * 86400) at time zone 'UTC', '%Y-%m-%d') as day from documents),
+li as (select query, string_agg(concat('- [', day, '] (', doc, ') ', case when length(f) > 200 then concat(left(f, 200), '...') else f end), chr(10) order by rank) as answer, count(*) as n_hits from hits join sn using (doc) group by query),
+fa as (select bq.query, coalesce(n_hits, 0) as n_hits, coalesce(answer, 'nothing matches this question') as answer from bq left join li using (query))
+"""
+
+
+@query(_FALLBACK + "select query, n_hits, answer from fa", cte="")
 def answer_fallback(spark, sf_dir):
-    d, index, stats = _index(spark, sf_dir)
-    asked = _questions(spark, sf_dir, 2, 4)
-    hits = search.phrase_search(index, stats, asked, 12)
-    return search.fallback_answers(asked, hits, d.select("doc", X.snippet("text").alias("snippet")))
+    asked, rows, stats = _opened(spark, sf_dir)
+    return search.fallback_answers(asked, search.search(rows, stats, asked, 12), _dated(spark, sf_dir))
 
 
-@query(_PHRASE + ", u as (select query, unnest([0, 1, 2, 3, 4]) as place, unnest([2, 1, 99, 1, 0]) as rank from bq) select u.query, u.place, u.rank, hits.doc from u join hits using (query, rank)", cte="")
+@query(_QUESTIONS + ", us as (select query, unnest([0, 1, 2, 3, 4]) as place, unnest([2, 1, 99, 1, 0]) as rank from bq) select us.query, us.place, us.rank, hits.doc from us join hits using (query, rank)", cte="")
 def answer_citations(spark, sf_dir):
-    _, index, stats = _index(spark, sf_dir)
-    asked = _questions(spark, sf_dir, 2, 4)
+    asked, rows, stats = _opened(spark, sf_dir)
     used = asked.select("query", F.array(*map(F.lit, (2, 1, 99, 1, 0))).alias("used_refs"))
-    return search.cited(used, search.phrase_search(index, stats, asked, 12))
+    return search.cited(used, search.search(rows, stats, asked, 12))
 
 
-_TALK = """, ct as (select doc_id as doc, case when length(coalesce(text, '')) > 800 then concat(left(text, 800), '...') else coalesce(text, '') end as f from documents),
-bl as (select query, string_agg(concat('[', rank, '] (', doc, ') ', f), chr(10) || chr(10) order by rank) as block, count(*) as n from hits join ct using (doc) group by query)
+_TALK = """, ct as (select doc_id as doc, case when length(coalesce(text, '')) > 800 then concat(left(text, 800), '...') else coalesce(text, '') end as f, sha256(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) as hash from documents),
+bl as (select query, string_agg(concat('[', rank, '] (', doc, ') ', f), chr(10) || chr(10) order by rank) as block, string_agg(hash, '' order by rank) as hashes, count(*) as n from hits join ct using (doc) group by query),
+an as (select bq.query, n, sha256(concat(text, hashes, 'answer-1', 'stub')) as key, case when n is null then 'none' when length(block) % 5 in (1, 2) then 'failed' else 'ok' end as status, concat('answer from ', n, ' excerpts of ', length(block), ' characters') as said, length(block) % 2 = 0 as sure
+  from (select item_id as query, text from benchmark) bq left join bl using (query)),
+so as (select query, concat(chr(10), chr(10), 'Sources:', string_agg(concat(chr(10), '- [', day, '] ', doc), '' order by rank desc)) as lines from hits join sn using (doc) where rank <= 2 group by query)
 """
 
 
-@query(_PHRASE + _TALK + """select bq.query, case when n is null then 'none' else 'ok' end as status, case when n is not null then concat('answer from ', n, ' excerpts of ', length(block), ' characters') end as answer,
-  case when n is null then []::int[] when n >= 2 then [2, 1] else [1] end as used_refs from bq left join bl using (query) where len(bq.w) >= 5""", cte="")
+@query(_FALLBACK + _TALK + """select an.query, case when n is not null then key end as key, status, case when status <> 'ok' then fa.answer else concat(said, so.lines, case when sure then '' else concat(chr(10), chr(10), '(partial: the excerpts answer this only in part)') end) end as text
+from an join fa using (query) left join so using (query)""", cte="")
 def answer_model(spark, sf_dir):
-    """Questions answered by the model from numbered excerpts; the stub cites the second and the first."""
-    d, index, stats = _index(spark, sf_dir)
-    asked = _questions(spark, sf_dir, 2, 4)
-    hits = search.phrase_search(index, stats, asked, 12)
-    excerpts = ingest.cut(hits.join(d, "doc").select("query", "rank", F.col("doc").alias("ref"), F.col("text").alias("content")))
+    """Whole questions answered by the model from numbered excerpts, with dated sources, a partial note, and snippets where it gives no answer."""
+    asked, rows, stats = _opened(spark, sf_dir)
+    hits = ingest.cut(search.search(rows, stats, asked, 12))
+    docs = _dated(spark, sf_dir)
+    excerpts = ingest.cut(hits.join(docs, "doc").select("query", "rank", F.col("doc").alias("ref"), "day", F.col("text").alias("content"), X.content_hash("text").alias("content_hash")))
     memo = spark.createDataFrame([], "key string, payload string")
-    return infer.answers(asked, excerpts, memo, infer.stub_answer).select("query", "status", "answer", "used_refs")
-
-
-# Other names of the four above, which ask every item.
-for _name in ("search_phrase", "search_all_terms", "answer_fallback", "answer_citations"):
-    QUERIES[f"{_name}_every_item"], ORACLES[f"{_name}_every_item"] = QUERIES[_name], ORACLES[_name]
-
-
-@query(_INDEX + f"""q as (select query, len(w) as m, unnest(w) as term, unnest(range(len(w))) as slot from bq where len(w) > 0),
-a as (select query, m, doc, doc_len, pos - slot as start, count(distinct slot) as got from q join t using (term) group by all),
-h as (select query, doc, doc_len, count(*) as tf from a where got = m group by all), hd as (select query, count(*) as df from h group by query),
-s1 as (select query, doc, {_BM} as score from h join hd using (query) cross join st),
-wd as (select distinct item_id as query, unnest(string_split_regex(trim(text), '\\s+')) as word from benchmark where item_id not in (select query from h)),
-u as (select distinct query, strip_accents(lower(word)) as term from wd where regexp_full_match(word, '[\\p{{L}}\\p{{N}}]+')), nd as (select query, count(*) as m from u group by query),
-tf as (select term, doc, doc_len, count(*) as tf from t group by all), df as (select term, count(*) as df from tf group by term),
-e as (select query, doc, {_BM} as x from u join tf using (term) join df using (term) cross join st),
-s2 as (select query, doc, sum(x) as score from e join nd using (query) group by query, doc, m having count(*) = m),
-al as (select *, 'phrase' as way from s1 union all select *, 'terms' as way from s2),
-r as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from al)
-select query, rank, doc, round(score, 6) as score, way from r where rank <= 12""", cte="")
-def search_questions(spark, sf_dir):
-    """Whole questions as phrases; those without a hit by all their words."""
-    _, index, stats = _index(spark, sf_dir)
-    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
-    return search.search(index, stats, asked, 12).withColumn("score", F.round("score", 6))
+    got = ingest.cut(infer.answers(asked, excerpts, memo, infer.stub_answer))
+    texts = infer.answer_texts(got, excerpts.select("query", "rank", "ref", "day"), search.fallback_answers(asked, hits, docs))
+    return texts.join(got.select("query", "key"), "query").select("query", "key", "status", "text")
 
 
 # -- composite ----------------------------------------------------------------------------------

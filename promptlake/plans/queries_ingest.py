@@ -85,6 +85,25 @@ def malformed_line_counts(spark, sf_dir):
     return readers.line_counts(transcript_lines(spark, sf_dir)).select("file", "lines", F.col("malformed").cast("int").alias("malformed"))
 
 
+def _in_batches(spark, lines: DataFrame, parts: int) -> str:
+    """Lines (file, line_no, value, seen) as files of a stream: a micro-batch for each part of the line numbers, then one that only moves the time on."""
+    home = _scratch(spark)
+    last = spark.createDataFrame([("/heartbeat", 0, "{}", parts + 100)], "file string, line_no bigint, value string, part int")
+    dealt = lines.withColumn("part", F.least(F.floor(F.col("line_no") / 5), F.lit(parts - 1)).cast("int"))
+    for n, rows in enumerate([*(dealt.where(F.col("part") == i) for i in range(parts)), last]):
+        rows.select("file", "line_no", "value", F.timestamp_seconds(F.lit(NOW) + F.col("part") * 600).alias("seen")).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    return home
+
+
+@query(_TR + "select source, session_id, message_ref, content, ts, cwd, model from tr", cte="")
+def stream_reply_model(spark, sf_dir):
+    """Transcripts in three micro-batches: prompts wait for replies that come later, and leave by event time when none comes."""
+    home = _in_batches(spark, transcript_lines(spark, sf_dir), 3)
+    lines = spark.readStream.schema("file string, line_no bigint, value string, seen timestamp").option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    streams.run_once(streams.attach_replies(lines, "seen", "30 minutes"), f"{home}/out", f"{home}/state")
+    return _rows(spark.read.parquet(f"{home}/out"))
+
+
 # -- rollout logs -----------------------------------------------------------------------------
 
 
@@ -134,14 +153,14 @@ def patch_lines(spark, sf_dir) -> DataFrame:
     c = _conversations(spark, sf_dir).where("role = 'user'")
     k = F.col("k") % 7
     ref = F.when(k == 2, "null").otherwise(F.concat(F.lit('"q'), "sid", F.lit("-"), F.col("turn").cast("string"), F.lit('"')))
-    stamp = F.when(k == 1, '"soon"').otherwise((F.col("ts") * 1000).cast("string"))
+    stamp = F.when(k == 1, '"soon"').when(k == 3, F.concat(F.lit('"'), (F.col("ts") * 1000).cast("string"), F.lit('"'))).otherwise((F.col("ts") * 1000).cast("string"))
     req = F.concat(F.lit('{"requestId":'), ref, F.lit(',"timestamp":'), stamp, F.lit(',"message":{"text":'), F.when(k == 0, '"  "').otherwise(_quoted(F.concat(F.lit(" "), "text"))), F.lit('},"modelId":"mod'), (F.col("k") % 3).cast("string"), F.lit('"}'))
     value = F.when(F.col("turn") < 2, F.concat(F.lit('{"kind":0,"v":{"requests":['), req, F.lit("]}}"))).when(F.col("k") % 3 == 1, F.concat(F.lit('{"kind":1,"k":["x"],"v":['), req, F.lit("]}"))).otherwise(F.concat(F.lit('{"kind":2,"k":["requests"],"v":['), req, F.lit("]}")))
     return c.select(F.concat(F.lit("/ws/chatSessions/"), "sid", F.lit(".jsonl")).alias("file"), F.col("turn").alias("line_no"), value.alias("value"))
 
 
 _PA = _C + """pa as (select 'copilot' as source, sid as session_id, case when k % 7 = 2 then left(sha256(trim(regexp_replace(concat(' ', text), '\\s+', ' ', 'g'))), 16) else concat('q', sid, '-', turn) end as message_ref,
-  concat(' ', text) as content, ts, null::varchar as cwd, concat('mod', k % 3) as model from c where role = 'user' and k % 7 > 1 and (turn < 2 or k % 3 <> 1))
+  concat(' ', text) as content, ts, null::varchar as cwd, concat('mod', k % 3) as model from c where role = 'user' and k % 7 > 1 and k % 7 <> 3 and (turn < 2 or k % 3 <> 1))
 """
 
 
@@ -178,16 +197,24 @@ def session_titles(spark, sf_dir):
 
 
 def session_files(spark, sf_dir) -> DataFrame:
+    """A file a conversation: entries that repeat or lack a session id, times as text, as a number, or none."""
     c = _conversations(spark, sf_dir)
     message = F.struct("turn", "role", F.when(F.col("k") % 9 == 0, " \n").otherwise(F.col("text")).alias("content"))
-    each = c.groupBy("conv_id", "sid").agg(F.min("iso").alias("iso"), F.array_sort(F.collect_list(message)).alias("messages"))
-    one = F.struct(F.col("sid").alias("session_id"), F.lit("t").alias("title"), F.when(F.col("conv_id") % 5 == 0, F.lit("unknown")).otherwise(F.col("iso")).alias("timestamp"), "messages")
-    return each.groupBy((F.col("conv_id") % 7).alias("f")).agg(F.to_json(F.collect_list(one)).alias("value")).select(F.concat(F.lit("/in/"), F.col("f").cast("string"), F.lit(".json")).alias("file"), "value")
+    each = c.groupBy("conv_id", "sid").agg(F.min("iso").alias("iso"), F.min("ts").alias("ts"), F.array_sort(F.collect_list(message)).alias("messages"))
+    said = F.to_json(F.struct("messages"))
+    rest = F.substring(said, F.lit(2), F.length(said))
+    name = F.when(F.col("conv_id") % 6 == 1, "").otherwise(F.concat(F.lit('"session_id":"'), "sid", F.lit('",')))
+    stamp = F.when(F.col("conv_id") % 5 == 0, '"timestamp":"unknown",').when(F.col("conv_id") % 5 == 1, F.concat(F.lit('"timestamp":'), F.col("ts").cast("string"), F.lit(".5,"))).when(F.col("conv_id") % 5 == 2, "").otherwise(F.concat(F.lit('"timestamp":"'), "iso", F.lit('",')))
+    one = F.concat(F.lit("{"), name, stamp, F.lit('"title":"t",'), rest)
+    again = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit(","), one)).otherwise("")
+    return each.select(F.concat(F.lit("/in/"), "sid", F.lit(".json")).alias("file"), F.concat(F.lit("["), one, F.lit(',7,{"messages":"none"}'), again, F.lit("]")).alias("value"))
 
 
 _JS = _C + """s0 as (select sid, min(ts) as first_ts from c group by sid),
-js as (select 'json-import' as source, sid as session_id, concat(sid, ':', row_number() over (partition by sid order by turn) - 1) as message_ref, text as content, case when conv_id % 5 = 0 then 0 else first_ts end as ts, null::varchar as cwd, null::varchar as model
-  from c join s0 using (sid) where role = 'user' and k % 9 <> 0)
+j0 as (select *, case when conv_id % 6 = 1 then 'import' else c.sid end as session_id, case conv_id % 5 when 0 then 0 when 2 then 0 else first_ts end as began,
+  row_number() over (partition by conv_id order by turn) - 1 as nth from c join s0 using (sid) where role = 'user' and k % 9 <> 0),
+js as (select 'json-import' as source, session_id, concat(session_id, ':', nth) as message_ref, text as content, began as ts, null::varchar as cwd, null::varchar as model
+  from j0 join (values (0), (1)) copies(again) on again = 0 or conv_id % 4 = 0)
 """
 
 

@@ -6,6 +6,8 @@ types than expected, parses to nulls and is filtered.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +16,8 @@ from ..functions import text as X
 
 TRANSCRIPT = "type string, promptSource string, origin struct<kind:string>, isSidechain string, uuid string, parentUuid string, timestamp string, sessionId string, cwd string, message string"
 ROLLOUT = "type string, timestamp string, payload struct<type:string,kind:string,message:string,cwd:string,model:string>"
-REQUESTS = "array<struct<requestId:string,timestamp:string,message:string,modelId:string>>"
-SESSIONS = "array<struct<session_id:string,title:string,timestamp:string,messages:array<struct<role:string,content:string>>>>"
+REQUEST = "requestId string, timestamp double, message string, modelId string"
+SESSION = "session_id string, title string, timestamp string, messages array<string>"
 EXPORT = "array<struct<conversation_id:string,id:string,create_time:double,mapping:map<string,string>>>"
 
 
@@ -49,13 +51,12 @@ def _prompt(source: str, **columns: Column) -> list[Column]:
     return [*out, X.content_hash("content").alias("content_hash"), X.origin("content").alias("origin")]
 
 
-def transcripts(lines: DataFrame) -> DataFrame:
-    """Agent transcripts: typed human lines outside side chains, with the model of the reply.
+def transcript_events(lines: DataFrame, *keep: str) -> DataFrame:
+    """(file, line_no, ref, content, timestamp, session, cwd, parent, model) of typed prompts (with ref) and of replies of a named model (with parent).
 
-    The model is that of the first later assistant line of the same file, before the next
-    accepted prompt, that answers the prompt and names a real model.
+    A row by itself: works on streams too. keep: further columns of lines.
     """
-    j = lines.select("file", "line_no", F.from_json("value", TRANSCRIPT).alias("j")).where("j is not null").select("file", "line_no", "j.*")
+    j = lines.select("file", "line_no", *keep, F.from_json("value", TRANSCRIPT).alias("j")).where("j is not null").select("file", "line_no", *keep, "j.*")
     flat = X.flatten_content(F.get_json_object("message", "$.content"))
     # get_json_object unquotes strings, so a content that was a string is used as it is.
     whole = F.get_json_object("message", "$.content")
@@ -63,37 +64,60 @@ def transcripts(lines: DataFrame) -> DataFrame:
     typed = (F.col("type") == "user") & (F.col("origin.kind") == "human") & (F.col("promptSource") == "typed") & ~F.coalesce(F.col("isSidechain"), F.lit("false")).isin("true", "1")
     rows = j.withColumn("content", F.when(typed & ~X.echoes_command(content), X.strip_reminders(content))).withColumn("timestamp", X.parse_time("timestamp"))
     rows = rows.withColumn("ref", F.when(F.col("content").isNotNull() & F.col("timestamp").isNotNull(), F.coalesce(F.nullif("uuid", F.lit("")), _short_hash())))
+    model = F.when(F.col("type") == "assistant", F.nullif(F.get_json_object("message", "$.model"), F.lit("<synthetic>")))
+    rows = rows.select("file", "line_no", *keep, "ref", "content", "timestamp", F.coalesce("sessionId", F.lit("unknown")).alias("session"), "cwd", F.when(model.isNotNull(), F.col("parentUuid")).alias("parent"), model.alias("model"))
+    # The kept columns take part so that a stream's watermark sees all lines: a filter without its column would run before it.
+    return rows.where(reduce(Column.__or__, (F.col(c).isNull() for c in keep), F.col("ref").isNotNull() | F.col("parent").isNotNull()))
+
+
+def transcript_prompts(rows: DataFrame) -> DataFrame:
+    """Prompts of the unified schema from rows (ref, content, timestamp, session, cwd, model)."""
+    return rows.select(*_prompt("claude-code", session_id=F.col("session"), message_ref=F.col("ref"), content=F.col("content"), timestamp=F.col("timestamp"), cwd=F.col("cwd"), git_repo=F.col("cwd"), model=F.col("model")))
+
+
+def transcripts(lines: DataFrame) -> DataFrame:
+    """Agent transcripts: typed human lines outside side chains, with the model of the reply.
+
+    The model is that of the first later assistant line of the same file, before the next
+    accepted prompt, that answers the prompt and names a real model. Only references and
+    models are ordered by line; the texts join their prompt's model back.
+    """
+    rows = transcript_events(lines)
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("at_ref", F.last("ref", ignorenulls=True).over(order)).withColumn("nth", F.count("ref").over(order))
-    model = F.get_json_object("message", "$.model")
-    answered = (F.col("type") == "assistant") & (F.col("parentUuid") == F.col("at_ref")) & model.isNotNull() & (model != "<synthetic>")
-    replies = rows.where(answered).groupBy("file", "nth").agg(F.min_by(model, "line_no").alias("model"))
-    kept = rows.where("ref is not null").join(replies, ["file", "nth"], "left")
-    return kept.select(*_prompt("claude-code", session_id=F.coalesce("sessionId", F.lit("unknown")), message_ref=F.col("ref"), content=F.col("content"), timestamp=F.col("timestamp"), cwd=F.col("cwd"), git_repo=F.col("cwd"), model=F.col("model")))
+    narrow = rows.select("file", "line_no", "ref", "parent", "model")
+    seen = narrow.withColumn("of_ref", F.last("ref", True).over(order)).withColumn("of_line", F.last(F.when(F.col("ref").isNotNull(), F.col("line_no")), True).over(order))
+    replies = seen.where("parent = of_ref").groupBy("file", F.col("of_line").alias("line_no")).agg(F.min_by("model", "line_no").alias("model"))
+    return transcript_prompts(rows.where("ref is not null").drop("model").join(replies, ["file", "line_no"], "left"))
 
 
 def rollouts(lines: DataFrame) -> DataFrame:
-    """Rollout event logs: plain user messages, with the last session's directory before and the next turn's model after."""
+    """Rollout event logs: plain user messages, with the last session's directory before and the next turn's model after.
+
+    Only directories and models are ordered by line; the texts join theirs back.
+    """
     j = lines.select("file", "line_no", F.from_json("value", ROLLOUT).alias("j")).where("j is not null").select("file", "line_no", "j.*")
     wanted = (F.col("type") == "event_msg") & (F.col("payload.type") == "user_message") & (F.col("payload.kind") == "plain")
     rows = j.withColumn("content", F.when(wanted, _nonblank(X.ide_request(F.col("payload.message"))))).withColumn("timestamp", X.parse_time("timestamp"))
     rows = rows.withColumn("hit", F.col("content").isNotNull() & F.col("timestamp").isNotNull())
+    meta, turn = F.when(F.col("type") == "session_meta", F.col("payload.cwd")), F.when(F.col("type") == "turn_context", F.col("payload.model"))
+    narrow = rows.select("file", "line_no", "hit", meta.alias("cwd"), turn.alias("model")).where("hit or cwd is not null or model is not null")
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("seen_cwd", F.last(F.when(F.col("type") == "session_meta", F.col("payload.cwd")), ignorenulls=True).over(order))
-    rows = rows.withColumn("nth", F.sum(F.col("hit").cast("int")).over(order))
-    turns = rows.where("type = 'turn_context' and payload.model is not null").groupBy("file", "nth").agg(F.min_by("payload.model", "line_no").alias("model"))
-    kept = rows.where("hit").join(turns, ["file", "nth"], "left")
+    seen = narrow.withColumn("seen_cwd", F.last("cwd", True).over(order)).withColumn("of_line", F.last(F.when(F.col("hit"), F.col("line_no")), True).over(order))
+    # A prompt's own row gives its directory, the first later turn before the next prompt its model.
+    context = seen.where("of_line is not null").groupBy("file", F.col("of_line").alias("line_no")).agg(F.max(F.when(F.col("hit"), F.col("seen_cwd"))).alias("seen_cwd"), F.min_by("model", F.when(F.col("model").isNotNull(), F.col("line_no"))).alias("model"))
+    kept = rows.where("hit").select("file", "line_no", "content", "timestamp").join(context, ["file", "line_no"], "left")
     return kept.select(*_prompt("codex", session_id=stem(), message_ref=_short_hash(), content=F.col("content"), timestamp=F.col("timestamp"), cwd=F.col("seen_cwd"), git_repo=F.col("seen_cwd"), model=F.col("model")))
 
 
 def patch_logs(lines: DataFrame) -> DataFrame:
-    """Patch logs: requests of full snapshots (kind 0) and of appended requests (kind 2)."""
+    """Patch logs: requests of full snapshots (kind 0) and of appended requests (kind 2). A time must be a number; a quoted one is skipped."""
     kind = F.get_json_object("value", "$.kind")
     body = F.when(kind == "0", F.get_json_object("value", "$.v.requests")).when((kind == "2") & (F.get_json_object("value", "$.k") == '["requests"]'), F.get_json_object("value", "$.v"))
-    each = lines.select("file", F.explode(F.from_json(body, REQUESTS)).alias("r"))
+    # A request is parsed by itself, so one of a wrong shape leaves the others.
+    each = lines.select("file", F.explode(F.from_json(body, "array<string>")).alias("raw")).select("file", F.from_json("raw", REQUEST).alias("r"))
     text = F.get_json_object("r.message", "$.text")
-    rows = each.select("file", "r.*", text.alias("content"), F.expr("try_cast(r.timestamp as double)").alias("ms")).where((X.strip("content") != "") & F.col("ms").isNotNull())
-    when = F.timestamp_micros((F.col("ms") * 1000).cast("bigint"))
+    rows = each.select("file", "r.*", text.alias("content")).where((X.strip("content") != "") & F.col("timestamp").isNotNull())
+    when = F.timestamp_micros((F.col("timestamp") * 1000).cast("bigint"))
     return rows.select(*_prompt("copilot", session_id=stem(), message_ref=F.coalesce(F.nullif("requestId", F.lit("")), _short_hash()), content=F.col("content"), timestamp=when, cwd=F.lit(None).cast("string"), git_repo=F.lit(None).cast("string"), model=F.col("modelId")))
 
 
@@ -112,14 +136,17 @@ def session_titles(sessions: DataFrame, since: Column, k: int = 30) -> DataFrame
 
 
 def json_sessions(files: DataFrame) -> DataFrame:
-    """Generic session lists (file, value): user messages numbered within their session."""
-    s = files.select(F.explode(F.from_json("value", SESSIONS)).alias("s"))
-    each = s.select("s.session_id", F.col("s.timestamp").alias("stamp"), F.posexplode("s.messages").alias("pos", "m")).where((F.col("m.role") == "user") & (X.strip(F.col("m.content")) != ""))
-    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1
-    rows = each.withColumn("nth", nth).withColumn("content", F.col("m.content"))
-    when = F.coalesce(X.parse_time("stamp"), F.timestamp_seconds(F.lit(0)))
+    """Generic session lists (file, value): user messages numbered from 0 within their list entry.
+
+    Entries without a session_id are of session "import". A numeric time counts seconds;
+    a missing or unreadable one is 1970. Two entries of one session both count from 0.
+    """
+    s = files.select(F.explode(F.from_json("value", "array<string>")).alias("raw")).select("raw", F.from_json("raw", SESSION).alias("s"), F.from_json("raw", "timestamp double").alias("t"))
+    said = F.filter(F.transform("s.messages", lambda m: F.from_json(m, "role string, content string")), lambda m: (m["role"] == "user") & (X.strip(m["content"]) != ""))
+    when = F.coalesce(F.timestamp_micros((F.col("t.timestamp") * 1_000_000).cast("bigint")), X.parse_time("s.timestamp"), F.timestamp_seconds(F.lit(0)))
+    rows = s.select(F.coalesce("s.session_id", F.lit("import")).alias("sid"), when.alias("time"), F.posexplode(said).alias("nth", "m")).withColumn("content", F.col("m.content"))
     none = F.lit(None).cast("string")
-    return rows.select(*_prompt("json-import", session_id=F.col("session_id"), message_ref=F.concat("session_id", F.lit(":"), F.col("nth").cast("string")), content=F.col("content"), timestamp=when, cwd=none, git_repo=none, model=none))
+    return rows.select(*_prompt("json-import", session_id=F.col("sid"), message_ref=F.concat("sid", F.lit(":"), F.col("nth").cast("string")), content=F.col("content"), timestamp=F.col("time"), cwd=none, git_repo=none, model=none))
 
 
 def exports(files: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ingest
+from ..sources import readers
 
 WEEK_ZERO_SHIFT = "4 days"  # epoch weeks begin on a Thursday; tumbling windows here begin on Mondays
 
@@ -19,10 +22,11 @@ def read_prompts(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drains what is there into a Parquet folder; progress is in the checkpoint."""
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Drains what is there into a Parquet folder; progress is in the checkpoint. The ended query tells its metrics."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
 
 
 def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -81,3 +85,49 @@ def session_gate(stream: DataFrame, idle: str = "30 days") -> DataFrame:
 
     rows = stream.where("kind is not null and coalesce(session_id, '') <> ''").select("session_id", "event_id", "ts", "kind").withWatermark("ts", idle)
     return rows.groupBy("session_id").applyInPandasWithState(first, "session_id string, event_id bigint, ts timestamp, kind string", "fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+REPLIED = "file string, line_no bigint, ref string, content string, micros bigint, session string, cwd string, model string"
+
+
+def attach_replies(lines: DataFrame, seen: str, wait: str = "1 hour") -> DataFrame:
+    """Prompts of a stream of transcript lines (file, line_no, value and the time they were seen), with the model of the reply.
+
+    A file's prompt is held until its reply, its next prompt or, by event time, until nothing of
+    the file was seen for so long: then it leaves without a model. A file's state is one
+    prompt; it ends with it. Lines of a file must come in order, over any number of micro-batches.
+    """
+    ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+    held_as = REPLIED.removeprefix("file string, ").removesuffix(", model string")
+    names = [c.split()[0] for c in REPLIED.split(", ")]
+
+    def plain(row: tuple) -> tuple:
+        """State values without the frame's own kinds of null and number."""
+        return tuple(None if v is None or v != v else int(v) if isinstance(v, (int, np.integer, float)) else v for v in row)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = tuple(state.get) if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            out.append((*key, *held, None))
+            state.remove()
+        else:
+            rows = pd.concat(list(frames), ignore_index=True).sort_values("line_no")
+            for r in rows.itertuples(index=False):
+                if isinstance(r.ref, str):
+                    if held:
+                        out.append((*key, *held, None))
+                    held = plain((r.line_no, r.ref, r.content, r.micros, r.session, r.cwd))
+                elif held and r.parent == held[1]:
+                    out.append((*key, *held, r.model))
+                    held = None
+            if held:
+                state.update(held)
+                state.setTimeoutTimestamp(max(int(rows["seen"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(out, columns=names)
+
+    rows = readers.transcript_events(lines.withColumn("seen", F.col(seen)).withWatermark("seen", wait), "seen").withColumn("micros", F.unix_micros("timestamp")).drop("timestamp")
+    got = rows.groupBy("file").applyInPandasWithState(run, REPLIED, held_as, "append", GroupStateTimeout.EventTimeTimeout)
+    return readers.transcript_prompts(got.withColumn("timestamp", F.timestamp_micros("micros")))
