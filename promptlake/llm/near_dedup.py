@@ -204,7 +204,8 @@ def _verify_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
     n = max(1, -(-docs // BLOCK), -(-items // BLOCK_ITEMS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).alias(f"of_{c}")
     dealt = pairs.select("a", "b", block("a"), block("b"))
-    asked = pairs.select(block("a").alias("at_a"), block("b").alias("at_b"), F.explode(F.array("a", "b")).alias("doc")).distinct().join(sets, "doc")
+    side = lambda c: pairs.select(block("a").alias("at_a"), block("b").alias("at_b"), F.col(c).alias("doc")).distinct()
+    asked = side("a").unionByName(side("b")).distinct().join(sets, "doc")
 
     def links(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out_a, out_b = [], []
@@ -291,7 +292,7 @@ def _groups(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFram
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    return pairs.select(F.col("a").alias("doc")).distinct().unionByName(pairs.select(F.col("b").alias("doc")).distinct()).distinct()
 
 
 def _near(on, percent: int):
