@@ -122,7 +122,7 @@ DECISION = "session_id string, seq bigint, event string, outcome string, text st
 
 
 def fresh_session() -> dict:
-    return {"nudged": False, "pending": None, "passing": False}
+    return {"nudged": False, "pending": None, "passing": False, "last": None}
 
 
 def decide_step(state: dict, event: dict) -> dict:
@@ -130,9 +130,13 @@ def decide_step(state: dict, event: dict) -> dict:
 
     accept and original choose between the pending rewrite and its original, once, and let the
     next submit pass. Tips come once a session, whatever the event; mode always rewrites every
-    human prompt that a rewrite exists for.
+    human prompt that a rewrite exists for. A stop event without text judges the session's last
+    human prompt that was not held back, of which the state keeps the trigger.
     """
     kind, mode, text = event["event"], event["mode"], event["content"]
+    found, known = event["kind"], bool(text)
+    if kind == "stop" and not known:
+        found, known = state["last"], state["last"] is not None
     if kind in ("accept", "original"):
         if state["pending"] is None:
             return {"event": kind, "outcome": "nothing", "text": None}
@@ -140,12 +144,12 @@ def decide_step(state: dict, event: dict) -> dict:
         state.update(pending=None, passing=True)
         return {"event": kind, "outcome": "released", "text": chosen}
     outcome, said = "none", None
-    if mode != "off" and text:
-        triggered = event["kind"] is not None and not state["nudged"]
+    if mode != "off" and known:
+        triggered = found is not None and not state["nudged"]
         if kind == "pre_call" or (kind == "stop" and mode == "coach"):
             if triggered:
                 state["nudged"] = True
-                outcome, said = "context" if kind == "pre_call" else "message", event["kind"]
+                outcome, said = "context" if kind == "pre_call" else "message", found
         elif kind == "submit":
             if state["passing"]:
                 state["passing"] = False
@@ -156,12 +160,14 @@ def decide_step(state: dict, event: dict) -> dict:
                     state["pending"] = (text, event["rewrite"])
                     outcome, said = "blocked", event["rewrite"]
                 elif mode == "coach":
-                    outcome, said = "message", event["kind"]
+                    outcome, said = "message", found
+    if kind == "submit" and text and not event["machine"] and outcome != "blocked":
+        state["last"] = event["kind"]
     return {"event": kind, "outcome": outcome, "text": said}
 
 
-def _decidable(events: DataFrame) -> DataFrame:
-    return events.select("session_id", "seq", "event", "mode", "content", "rewrite", trigger_kind("content").alias("kind"), F.coalesce(X.machine_event("content"), F.lit(False)).alias("machine"))
+def _decidable(events: DataFrame, *keep: str) -> DataFrame:
+    return events.select(*keep, "session_id", "seq", "event", "mode", "content", "rewrite", trigger_kind("content").alias("kind"), F.coalesce(X.machine_event("content"), F.lit(False)).alias("machine"))
 
 
 def decide(events: DataFrame) -> DataFrame:
@@ -169,18 +175,31 @@ def decide(events: DataFrame) -> DataFrame:
     return _carried(_decidable(events), fresh_session, decide_step, DECISION)
 
 
-def decide_stream(events: DataFrame) -> DataFrame:
-    """The same as a stream: a session's state lasts from micro-batch to micro-batch; both texts of a pending rewrite are kept in it."""
+def decide_stream(events: DataFrame, time: str, idle: str = "30 days") -> DataFrame:
+    """The same as a stream with an event time: a session's state lasts from micro-batch to micro-batch and ends after idle event time.
+
+    State is a flag, both texts of a pending rewrite and the trigger of the last prompt; a session that has
+    nothing of these keeps no state.
+    """
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state = fresh_session()
         if held.exists:
-            nudged, passing, original, rewrite = held.get
-            state = {"nudged": nudged, "passing": passing, "pending": None if rewrite is None else (original, rewrite)}
+            nudged, passing, original, rewrite, last = held.get
+            state = {"nudged": nudged, "passing": passing, "pending": None if rewrite is None else (original, rewrite), "last": last}
         rows = pd.concat(list(frames), ignore_index=True).sort_values("seq")
+        newest = max(int(rows["_time"].max().timestamp() * 1000), held.getCurrentWatermarkMs())
         out = [{"session_id": key[0], "seq": e["seq"], **decide_step(state, e)} for e in rows.astype(object).where(rows.notna(), None).to_dict("records")]
-        held.update((state["nudged"], state["passing"], *(state["pending"] or (None, None))))
+        if state != fresh_session():
+            held.update((state["nudged"], state["passing"], *(state["pending"] or (None, None)), state["last"]))
+            held.setTimeoutTimestamp(newest + ms)
+        elif held.exists:
+            held.remove()
         yield pd.DataFrame(out, columns=["session_id", "seq", "event", "outcome", "text"])
 
-    known = _decidable(events.where("coalesce(session_id, '') <> ''"))
-    return known.groupBy("session_id").applyInPandasWithState(run, DECISION, "nudged boolean, passing boolean, original string, rewrite string", "append", GroupStateTimeout.NoTimeout)
+    known = _decidable(events.where("coalesce(session_id, '') <> ''").withColumn("_time", F.col(time)).withWatermark("_time", idle), "_time")
+    return known.groupBy("session_id").applyInPandasWithState(run, DECISION, "nudged boolean, passing boolean, original string, rewrite string, last string", "append", GroupStateTimeout.EventTimeTimeout)

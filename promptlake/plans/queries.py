@@ -615,21 +615,22 @@ def trigger_skip_next(spark, sf_dir):
 
 
 _EVENT, _MODE = ["accept", "original", "stop", "pre_call"], "case when k % 11 < 2 then 'off' when k % 11 < 5 then 'always' else 'coach' end"
-_DECIDE = f""", e0 as (select session_id, split_part(message_ref, ':', 2)::bigint as seq, content, case k % 7 when 0 then 'accept' when 1 then 'original' when 2 then 'stop' when 3 then 'pre_call' else 'submit' end as event,
+_DECIDE = f""", e0 as (select session_id, split_part(message_ref, ':', 2)::bigint as seq, case when k % 7 <> 2 then content end as content, case k % 7 when 0 then 'accept' when 1 then 'original' when 2 then 'stop' when 3 then 'pre_call' else 'submit' end as event,
   {_MODE} as mode, case when n % 3 <> 0 then concat('Rewritten: ', left(content, 50)) end as rewrite, {_KIND} as kind, (origin = 'machine' or {hit('harness')}) as machine from p),
-ev as (select *, row_number() over (partition by session_id order by seq) as rn, mode <> 'off' and content <> '' as live from e0),
-r as (select session_id, 0::bigint as rn, 0::bigint as seq, '' as event, '' as outcome, null::varchar as text, false as nudged, false as passing, null::varchar as original, null::varchar as offer from ev group by session_id
+ev as (select *, row_number() over (partition by session_id order by seq) as rn, coalesce(mode <> 'off' and content <> '', false) as live from e0),
+r as (select session_id, 0::bigint as rn, 0::bigint as seq, '' as event, '' as outcome, null::varchar as text, false as nudged, false as passing, null::varchar as original, null::varchar as offer, null::varchar as last from ev group by session_id
   union all select e.session_id, e.rn, e.seq, e.event,
     case when e.event in ('accept', 'original') then case when r.offer is null then 'nothing' else 'released' end
       when e.tip and e.event = 'pre_call' then 'context' when e.tip and e.event = 'stop' then 'message' when e.passed then 'passed'
       when e.held and e.rewrite is not null then 'blocked' when e.held and e.mode = 'coach' then 'message' else 'none' end,
-    case when e.event = 'accept' then r.offer when e.event = 'original' then r.original when e.tip then e.kind
+    case when e.event = 'accept' then r.offer when e.event = 'original' then r.original when e.tip and e.event = 'stop' then r.last when e.tip then e.kind
       when e.held and e.rewrite is not null then e.rewrite when e.held and e.mode = 'coach' then e.kind end,
     r.nudged or e.tip or (e.held and e.mode = 'coach'),
     case when e.event in ('accept', 'original') then r.passing or r.offer is not null when e.passed then false else r.passing end,
     case when e.event in ('accept', 'original') then null when e.held and e.rewrite is not null then e.content else r.original end,
-    case when e.event in ('accept', 'original') then null when e.held and e.rewrite is not null then e.rewrite else r.offer end
-  from r join lateral (select ev.*, live and kind is not null and not r.nudged and (event = 'pre_call' or (event = 'stop' and mode = 'coach')) as tip, live and event = 'submit' and r.passing as passed,
+    case when e.event in ('accept', 'original') then null when e.held and e.rewrite is not null then e.rewrite else r.offer end,
+    case when e.event = 'submit' and e.content <> '' and not e.machine and not (e.held and e.rewrite is not null) then e.kind else r.last end
+  from r join lateral (select ev.*, not r.nudged and ((live and kind is not null and event = 'pre_call') or (event = 'stop' and mode = 'coach' and r.last is not null)) as tip, live and event = 'submit' and r.passing as passed,
       live and event = 'submit' and not r.passing and ((mode = 'always' and not machine) or (mode = 'coach' and kind is not null and not r.nudged)) as held
     from ev where ev.session_id = r.session_id and ev.rn = r.rn + 1) e on true)
 select session_id, seq, event, outcome, text from r where rn > 0"""
@@ -641,7 +642,7 @@ def trigger_decisions(spark, sf_dir):
     p = prompts(spark, sf_dir)
     event = F.coalesce(*(F.when(F.col("k") % 7 == i, e) for i, e in enumerate(_EVENT)), F.lit("submit"))
     offer = F.when(F.length("content") % 3 != 0, F.concat(F.lit("Rewritten: "), F.substring("content", 1, 50)))
-    return triggers.decide(p.select("session_id", F.split("message_ref", ":")[1].cast("bigint").alias("seq"), event.alias("event"), F.expr(_MODE).alias("mode"), "content", offer.alias("rewrite")))
+    return triggers.decide(p.select("session_id", F.split("message_ref", ":")[1].cast("bigint").alias("seq"), event.alias("event"), F.expr(_MODE).alias("mode"), F.when(event != "stop", F.col("content")).alias("content"), offer.alias("rewrite")))
 
 
 # -- retrieval --------------------------------------------------------------------------------

@@ -298,6 +298,18 @@ def source_health(spark, sf_dir):
     return readers.health(_states(spark, sf_dir))
 
 
+@query(_UN + """, i as (select source, count(*) as n from un where source <> 'copilot' group by source)
+select source, case when n is null then 'failed' else 'read' end as state, coalesce(n, 0) as scanned, coalesce(n, 0) as landed from (select unnest(['claude-code', 'copilot', 'hermes', 'chatgpt']) as source) left join i using (source)""", cte="")
+def source_quarantine(spark, sf_dir):
+    """Four sources written by jobs of their own: one has no file, one breaks while it runs; the others land and are counted."""
+    broken = lambda: readers.patch_logs(patch_lines(spark, sf_dir)).withColumn("content", F.when(F.length("message_ref") > 0, F.raise_error(F.lit("torn record"))).otherwise(F.col("content")))
+    path = f"{ingest.shared_folder(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    sources = [("claude-code", lambda: readers.transcripts(transcript_lines(spark, sf_dir))), ("copilot", broken), ("hermes", lambda: readers.chat_tables(*chat_tables(spark, sf_dir))), ("chatgpt", lambda: spark.read.parquet(f"{sf_dir}/no-such-export"))]
+    states = readers.land(spark, sources, path)
+    landed = spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("landed"))
+    return states.join(landed, "source", "left").select("source", "state", "scanned", F.coalesce("landed", F.lit(0)).alias("landed"))
+
+
 # -- de-duplication and incremental state -------------------------------------------------------
 
 _KEYED = """, u as (select source, session_id, message_ref, content_hash, ts, k * 4 as ord from p
@@ -476,6 +488,22 @@ def stream_late_counts(spark, sf_dir):
     return out.select(F.unix_seconds("day").alias("day"), "n")
 
 
+@query("""with e as (select *, event_id % 3 as part from events), b as (select part, max(ts) as high from e group by part),
+h as (select e.*, (select max(high) from b where b.part < e.part) as held from e)
+select part, event_type, count(*) filter (where coalesce(ts < held - interval 1 day, false)) as late, count(*) filter (where not coalesce(ts < held - interval 1 day, false)) as kept, coalesce(sum(event_id) filter (where ts < held - interval 1 day), 0)::bigint as late_ids from h group by part, event_type""", cte="")
+def stream_late_rows(spark, sf_dir):
+    """Events in three micro-batches that each span the whole time: rows before the held mark are late, and are kept aside."""
+    home = _scratch(spark)
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("event_id") % 3).alias("part"))
+    for i in range(3):
+        t.where(F.col("part") == i).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    streams.split_late(stream, "ts", "1 day", f"{home}/out", f"{home}/state")
+    side = lambda name: spark.read.parquet(f"{home}/out/{name}").select("part", "event_type", "event_id", F.lit(name == "late").alias("late"))
+    both = side("late").unionByName(side("rows"))
+    return both.groupBy("part", "event_type").agg(F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("kept"), F.coalesce(F.sum(F.when(F.col("late"), F.col("event_id"))), F.lit(0)).alias("late_ids"))
+
+
 @query("select cast(user_id as varchar) as session_id, arg_min(event_id, (ts, event_id)) as event_id, arg_min(case when event_type = 'error' then 'shape' else 'scope' end, (ts, event_id)) as kind from events where event_type in ('error', 'signup') group by user_id", cte="")
 def trigger_session_gate(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "shape").when(F.col("event_type") == "signup", "scope")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -238,3 +238,26 @@ def union_sources(sources: list[tuple[str, object]]) -> tuple[DataFrame | None,
             continue
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out, failed
+
+
+LANDED = "source string, state string, scanned bigint, reason string"
+
+
+def land(spark: SparkSession, sources: list[tuple[str, object]], path: str) -> DataFrame:
+    """Writes each source, given as (name, function), by a job of its own to path/source=<name>; (source, state, scanned, reason) of all.
+
+    A source that fails, whether in its plan or while it runs, leaves no rows there; its reason is kept
+    and the others land. Rows are counted as they are written.
+    """
+    states = []
+    for name, read in sources:
+        seen = Observation(f"landed {name}")
+        to = f"{path}/source={name}"
+        try:
+            read().drop("source").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(to)
+            states.append((name, "read", seen.get["n"], None))
+        except Exception as reason:  # any failure of one source must leave the others running
+            at = spark._jvm.org.apache.hadoop.fs.Path(to)
+            at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+            states.append((name, "failed", 0, str(reason).split("\n")[0]))
+    return spark.createDataFrame(states, LANDED)

@@ -131,3 +131,26 @@ def attach_replies(lines: DataFrame, seen: str, wait: str = "1 hour") -> DataFra
     rows = readers.transcript_events(lines.withColumn("seen", F.col(seen)).withWatermark("seen", wait), "seen").withColumn("micros", F.unix_micros("timestamp")).drop("timestamp")
     got = rows.groupBy("file").applyInPandasWithState(run, REPLIED, held_as, "append", GroupStateTimeout.EventTimeTimeout)
     return readers.transcript_prompts(got.withColumn("timestamp", F.timestamp_micros("micros")))
+
+
+def split_late(stream: DataFrame, time: str, delay: str, path: str, checkpoint: str) -> None:
+    """Appends a stream to path/rows, and to path/late the rows before the mark held when their micro-batch came.
+
+    The mark is the greatest time of all earlier micro-batches less the delay. Each micro-batch has
+    folders of its own, which a repeated one writes anew; so late rows are counted and kept, once.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        marks = f"{path}/marks"
+        at = spark._jvm.org.apache.hadoop.fs.Path(marks)
+        held = None
+        if at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(at):
+            held = spark.read.schema("high timestamp, batch bigint").parquet(marks).where(F.col("batch") < n).agg(F.max("high").alias("high")).first()["high"]
+        late = F.lit(False) if held is None else F.coalesce(F.col(time) < F.lit(held) - F.expr(f"interval {delay}"), F.lit(False))
+        rows = ingest.cut(batch.withColumn("_late", late))
+        for name, some in (("late", rows.where("_late")), ("rows", rows.where("not _late"))):
+            some.drop("_late").write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+        rows.agg(F.max(time).alias("high")).write.mode("overwrite").parquet(f"{marks}/batch={n}")
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
