@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..schema import JUDGED
+from . import ingest
 
 PROMPT_CUT, EXCERPT_CUT, BLOCK_CUT = 1500, 800, 32_000
 VERSION, MODEL = "rubric-1", "stub"
@@ -108,6 +110,29 @@ def stub_answer(blocks: list[str]) -> list[str | None]:
     return out
 
 
+def stub_rewrite(blocks: list[str]) -> list[str | None]:
+    """A deterministic model for rewrites, by the length of what it is given: silent, without text or with a number at times."""
+    import json
+
+    said = lambda n: " " if n % 7 == 1 else n if n % 7 == 2 else f" rewritten from {n} characters "
+    return [None if len(b) % 7 == 0 else json.dumps({"rewritten_prompt": said(len(b))}) for b in blocks]
+
+
+def stub_reduce(blocks: list[str]) -> list[str]:
+    """A deterministic model that merges digests: all their patterns, as strengths too, and the greatest share of each topic."""
+    import json
+
+    out = []
+    for block in blocks:
+        each = [json.loads(line) for line in block.split("\n")]
+        shares: dict[str, float] = {}
+        for t in (t for d in each for t in d["topics"]):
+            shares[t["topic"]] = max(t["share"], shares.get(t["topic"], 0.0))
+        said = sorted({p for d in each for p in d["patterns"]})
+        out.append(json.dumps({"strengths": said, "patterns": said, "topics": [{"share": s, "topic": t} for t, s in shares.items()]}))
+    return out
+
+
 def through_memo(requests: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]]) -> DataFrame:
     """(key, payload, status) of requests (key, block): the memo's payload where there is one, else the model's."""
     split = memo_split(requests, memo)
@@ -116,13 +141,68 @@ def through_memo(requests: DataFrame, memo: DataFrame, judge: Callable[[list[str
 
 
 def pattern_digests(batched: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """(batch, key, status, patterns, topics: topic and share) of each batch of prompts; failed batches have neither."""
+    """(batch, key, status, patterns, topics: topic and share, payload) of each batch of prompts; failed batches have none of them."""
     keys = batch_keys(batched, "patterns-1")
     asked = prompt_blocks(batched).join(keys, "batch").select("key", "block").repartition("key")
     got = through_memo(asked, memo, judge).join(keys.select("batch", "key"), "key")
     topics = F.from_json(F.get_json_object("payload", "$.topics"), "array<struct<topic:string,share:double>>")
     share = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t["share"], F.lit(0.0))))
-    return got.select("batch", "key", "status", pattern_items(F.get_json_object("payload", "$.patterns")).alias("patterns"), F.transform(topics, lambda t: F.struct(t["topic"].alias("topic"), share(t).alias("share"))).alias("topics"))
+    return got.select("batch", "key", "status", pattern_items(F.get_json_object("payload", "$.patterns")).alias("patterns"), F.transform(topics, lambda t: F.struct(t["topic"].alias("topic"), share(t).alias("share"))).alias("topics"), "payload")
+
+
+#: Blocks of digests ordered by one task in a round of the reduce.
+ROUND_BLOCKS = 64
+
+
+def _packed(digests: DataFrame, limit: int, version: str) -> DataFrame:
+    """(key, block) of digests (digest): blocks of at most limit characters whose make-up depends on the digests alone, never on their order or partitions."""
+    short = F.substring("digest", 1, limit // 8 - 1)
+    n, whole, total = digests.agg(F.count("*"), F.sum(F.length("digest") + 1), F.sum(F.length(short) + 1)).first()
+    if n == 1 or whole - 1 <= limit:
+        placed = digests.select(F.substring("digest", 1, limit).alias("digest"), F.lit(0).alias("part"), F.lit(0).alias("place"))
+    else:
+        # Four digests or more start in each half of a block, and the last of them ends inside it: every round has fewer.
+        cut_ = digests.select(short.alias("digest")).withColumn("hash", F.xxhash64("digest"))
+        parts = -(-total // (limit // 2 * ROUND_BLOCKS))
+        by = Window.partitionBy("part").orderBy("hash", "digest").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum(F.length("digest") + 1).over(by), F.lit(0))
+        placed = cut_.withColumn("part", F.pmod("hash", F.lit(parts))).withColumn("place", F.floor(start / (limit // 2)))
+    texts = placed.groupBy("part", "place").agg(F.array_join(F.array_sort(F.collect_list("digest")), "\n").alias("block"))
+    return texts.select(F.sha2(F.concat("block", F.lit(version), F.lit(MODEL)), 256).alias("key"), "block")
+
+
+def reduce_patterns(digests: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]], limit: int = BLOCK_CUT, version: str = "patterns-reduce-1") -> tuple[DataFrame, DataFrame]:
+    """(status, payload) of one row that merges all digests (payload, status), and the answers (key, payload) for the memo.
+
+    Digests that fit one block are merged by one call. More go in rounds: each block's answer is a
+    digest of the next round, so none is left out; there a digest's text is cut to an eighth of a
+    block. Each block's key covers its digests, so what did not change is not asked again. status:
+    ok; failed, without payload, if a digest or an answer failed; none without digests.
+    """
+    spark = digests.sparkSession
+    ended = lambda status: spark.range(1).select(F.lit(status).alias("status"), F.lit(None).cast("string").alias("payload"))
+    ordered = lambda df: ingest.cut(df.select(F.to_json(F.try_parse_json("payload")).alias("digest"), "status"))
+    level, said = ordered(digests), memo.select("key", "payload").limit(0)
+    if level.isEmpty():
+        return ended("none"), said
+    while True:
+        if not level.where("status <> 'ok' or digest is null").isEmpty():
+            return ended("failed"), said
+        asked = ingest.cut(_packed(level.select("digest"), limit, version))
+        got = ingest.cut(through_memo(asked.dropDuplicates(["key"]).repartition("key"), memo, judge))
+        said = said.unionByName(got.where("status = 'ok'").select("key", "payload"))
+        # Equal blocks share a key and count once: the same digests say the same.
+        if got.limit(2).count() == 1:
+            return got.select("status", "payload"), said
+        level = ordered(got)
+
+
+def pattern_report(merged: DataFrame) -> DataFrame:
+    """(part, rank, item, share) of a merged digest (payload): the first five strengths, growth areas and notable patterns, the ten greatest topics."""
+    lists = [merged.select(F.lit(part).alias("part"), F.posexplode(pattern_items(F.get_json_object("payload", f"$.{part}"))).alias("rank", "item")) for part in ("strengths", "growth_areas", "notable_patterns")]
+    said = reduce(DataFrame.unionByName, lists).select("part", (F.col("rank") + 1).alias("rank"), "item", F.lit(None).cast("double").alias("share"))
+    topics = topic_shares(merged.select(F.lit("topics").alias("part"), F.get_json_object("payload", "$.topics").alias("raw")), "part", "raw")
+    return said.unionByName(topics.select("part", "rank", F.col("topic").alias("item"), "share"))
 
 
 def merge_topics(digests: DataFrame) -> DataFrame:

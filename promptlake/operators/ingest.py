@@ -73,6 +73,63 @@ def insert_ignore(target: DataFrame, batch: DataFrame, order: str) -> DataFrame:
     return dedupe_two_key(_without(_without(batch, target, ROW_KEY), target, TEXT_KEY), order)
 
 
+#: Fixed for a table's life: folders of row keys, by source and session.
+KEY_BUCKETS = 4096
+#: The day of rows without a time.
+NO_DAY = -1_000_000
+
+
+def _bucketed(rows: DataFrame) -> dict[str, DataFrame]:
+    """The two keys of rows, each with the folder it is kept in: row keys by a hash of source and session, text keys by day."""
+    day = F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / 86400)
+    return {
+        "row_keys": rows.select(*ROW_KEY, F.pmod(F.xxhash64("source", "session_id"), F.lit(KEY_BUCKETS)).alias("folder")),
+        "text_keys": rows.select(*TEXT_KEY, F.coalesce(day, F.lit(NO_DAY)).cast("bigint").alias("folder")),
+    }
+
+
+def write_keys(rows: DataFrame, keys: str, n: int) -> None:
+    """Both keys of rows as batch n of the key tables; written again, the batch's folders are replaced."""
+    for name, some in _bucketed(rows).items():
+        spread = some.withColumn("batch", F.lit(n).cast("bigint")).hint("rebalance", "folder")
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder", "batch").parquet(f"{keys}/{name}")
+
+
+def held_keys(batch: DataFrame, keys: str, n: int) -> dict[str, DataFrame]:
+    """What batches before n left in the folders that this batch's keys fall into. Other folders are neither read nor listed.
+
+    Of the batch only its folder numbers come to the driver: at most KEY_BUCKETS of the one kind, its days of the other.
+    """
+    spark, out = batch.sparkSession, {}
+    for name, some in _bucketed(batch).items():
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{keys}/{name}")
+        fs = root.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+        there = {f.getPath().getName() for f in fs.listStatus(root)} if fs.exists(root) else set()
+        hit = [f"{keys}/{name}/{d}" for d in sorted(f"folder={r['folder']}" for r in some.select("folder").distinct().collect()) if d in there]
+        kind = some.withColumn("batch", F.lit(n).cast("bigint"))
+        old = spark.read.schema(kind.schema).option("basePath", f"{keys}/{name}").parquet(*hit) if hit else kind.limit(0)
+        out[name] = old.where(F.col("batch") < n)
+    return out
+
+
+def append_batch(batch: DataFrame, target: str, keys: str, n: int, order: str) -> DataFrame:
+    """Inserts the rows of batch n whose keys are both new into a table by source; tells rows scanned, added and deduped by source.
+
+    The keys are looked up in their folders, so the work grows with the batch and the sessions and
+    days it touches, not with the history. Numbers of batches rise; a batch that is repeated after
+    a failure meets only the batches before it and replaces what it wrote, so it lands once.
+    A table from elsewhere is made known by write_keys(rows, keys, -1).
+    """
+    batch = cut(batch)
+    held = held_keys(batch, keys, n)
+    fresh = _without(_without(batch, held["row_keys"], ROW_KEY), held["text_keys"], TEXT_KEY)
+    added = cut(dedupe_two_key(fresh, order))
+    write_keys(added, keys, n)
+    rows = added.withColumn("batch", F.lit(n).cast("bigint")).hint("rebalance", "source")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "batch").parquet(target)
+    return ingest_stats(batch, added)
+
+
 def ingest_stats(batch: DataFrame, added: DataFrame) -> DataFrame:
     """Rows scanned, added and dropped as duplicates, by source."""
     seen = batch.groupBy("source").agg(F.count("*").alias("scanned"))

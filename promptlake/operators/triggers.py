@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from . import docs, infer
 
 FROM = 200
 
@@ -65,6 +66,54 @@ def session_context(prompts: DataFrame, n: int = 3, width: int = 300) -> DataFra
     return rest.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("source", "session_id", "place", F.substring("text", 1, width).alias("text"))
 
 
+CONTEXT_DOC, CONTEXT_TEXT, CONTEXT_BEFORE = 1500, 300, 3
+
+
+def document_excerpts(cwds: DataFrame, documents: DataFrame, home: str, width: int = CONTEXT_DOC) -> DataFrame:
+    """(cwd, name, excerpt): of the documents (dir, name, text; a path once) nearest to each cwd the first that is no empty text or stub, in the order of their fixed names."""
+    usable = documents.select(F.concat_ws("/", "dir", "name").alias("path"), "name", X.strip("text").alias("text")).where((F.col("text") != "") & ~X.redirect_stub("text"))
+    usable = usable.select("path", "name", F.substring("text", 1, width).alias("excerpt"), F.array_position(F.array(*map(F.lit, X.DOC_NAMES)), F.col("name")).alias("place"))
+    hits = docs.nearest(cwds, documents, home).join(usable, "path")
+    return hits.groupBy("cwd").agg(F.min_by(F.struct("name", "excerpt"), "place").alias("d")).select("cwd", "d.*")
+
+
+def earlier_texts(prompts: DataFrame, n: int = CONTEXT_BEFORE, width: int = CONTEXT_TEXT) -> DataFrame:
+    """(source, session_id, message_ref, earlier) of every human prompt: the texts of the n before it that differ from its own, newest first, cut to width.
+
+    What is ordered inside a session is cut texts and hashes; the frame holds n rows, whatever the session's size.
+    """
+    text = X.strip("content")
+    human = prompts.where("origin = 'human'").select("source", "session_id", "message_ref", "timestamp", F.struct(F.sha2(text, 256).alias("hash"), F.substring(text, 1, width).alias("text")).alias("t"))
+    by = Window.partitionBy("source", "session_id").orderBy("timestamp", "message_ref").rowsBetween(-n, -1)
+    seen = human.withColumn("before", F.reverse(F.collect_list("t").over(by)))
+    other = F.filter("before", lambda x: x["hash"] != F.col("t.hash"))
+    return seen.select("source", "session_id", "message_ref", F.transform(other, lambda x: x["text"]).alias("earlier"))
+
+
+def rewrite_context(prompts: DataFrame, documents: DataFrame, home: str) -> DataFrame:
+    """Every triggered prompt (source, session_id, message_ref, content, kind) with the context of its rewrite: directory, document excerpt, earlier prompts; null where there is none of them."""
+    flagged = prompts.withColumn("kind", trigger_kind("content")).where("kind is not null").select("source", "session_id", "message_ref", "content", "cwd", "kind")
+    excerpts = document_excerpts(flagged.where("cwd is not null"), documents, home)
+    full = flagged.join(earlier_texts(prompts), ["source", "session_id", "message_ref"], "left").join(excerpts, "cwd", "left")
+    place = F.when(F.coalesce("cwd", F.lit("")) != "", F.concat(F.lit("Working directory: "), "cwd"))
+    doc = F.concat(F.lit("Project doc ("), "name", F.lit(", excerpt):\n"), "excerpt")
+    before = F.when(F.size("earlier") > 0, F.concat(F.lit("Earlier prompts this session (newest first):\n- "), F.array_join("earlier", "\n- ")))
+    return full.select("source", "session_id", "message_ref", "content", "kind", F.nullif(F.concat_ws("\n\n", place, doc, before), F.lit("")).alias("context"))
+
+
+def rewrites(contexts: DataFrame, memo: DataFrame, judge: Callable[[list[str]], list[str | None]] | None, version: str = "rewrite-1") -> DataFrame:
+    """(source, session_id, message_ref, kind, rewrite) of rewrite_context's rows: null where the model is silent, gives no text or is none at all.
+
+    Equal prompts in equal contexts are asked once; what the memo (key, payload) holds is not asked.
+    """
+    block = F.when(F.col("context").isNull(), F.col("content")).otherwise(F.concat(F.lit("SESSION CONTEXT:\n"), "context", F.lit("\n\nPROMPT TO REWRITE:\n"), "content"))
+    asked = contexts.withColumn("block", block).withColumn("key", F.sha2(F.concat("block", F.lit(version), F.lit(infer.MODEL)), 256))
+    got = infer.through_memo(asked.select("key", "block").dropDuplicates(["key"]), memo, judge or (lambda blocks: [None] * len(blocks)))
+    said = F.try_variant_get(F.try_parse_json("payload"), "$.rewritten_prompt", "variant")
+    text = F.when(F.schema_of_variant(said) == "STRING", F.nullif(X.strip(F.get_json_object("payload", "$.rewritten_prompt")), F.lit("")))
+    return asked.join(got.where("status = 'ok'").select("key", text.alias("rewrite")), "key", "left").select("source", "session_id", "message_ref", "kind", "rewrite")
+
+
 def _rewrite_step(state: dict, kind: str, triggered: bool) -> str:
     """A triggered submit is blocked unless a pass is held, which it then uses up; a consume takes the pending block, once, and grants one pass."""
     if kind == "consume":

@@ -538,6 +538,15 @@ def pattern_topics(spark, sf_dir):
     return infer.merge_topics(_digests(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
+@query(_DIGEST + """, sp as (select distinct unnest(patterns) as item from di) select 'strengths' as part, row_number() over (order by item) as rank, item, null::double as share from sp qualify rank <= 5
+union all select 'topics', 1, 'long', round(max(long_share), 9) from di""")
+def pattern_report(spark, sf_dir):
+    """All digests merged by the model in rounds of bounded blocks; the stub joins patterns and keeps a topic's greatest share."""
+    memo = spark.createDataFrame([], "key string, payload string")
+    merged, _ = infer.reduce_patterns(_digests(spark, sf_dir), memo, infer.stub_reduce)
+    return infer.pattern_report(merged).withColumn("share", F.round("share", 9))
+
+
 # -- model fit --------------------------------------------------------------------------------
 
 _FIT = f""", t as (select source, prompt_ref, model, {_tier()} as tier, {_DEMAND} as demand from p where origin = 'human' and n >= 40),
@@ -596,6 +605,38 @@ def session_context(spark, sf_dir):
     return triggers.session_context(prompts(spark, sf_dir))
 
 
+_BEFORE = "case when length(hp.{0}) > 0 and hp.{0} <> hp.t then concat('- ', left(hp.{0}, 300)) end"
+_CONTEXT = _NEAR + f""", dx as (select dir, name, arg_min(text, doc_id) as text from {_NAMED} where name in ('CLAUDE.md', 'AGENTS.md') and doc_id % 13 < 9 group by dir, name),
+us as (select concat(dir, '/', name) as path, name, {_STRIP.format('text')} as text from dx where {_STRIP.format('text')} <> '' and not {_STUB}),
+ex as (select cwd, arg_min(concat('Project doc (', name, ', excerpt):', chr(10), left(text, 1500)), case name when 'CLAUDE.md' then 1 else 2 end) as doc from near join us using (path) group by cwd),
+h0 as (select *, {_STRIP.format('content')} as t from p where origin = 'human'),
+hp as (select *, lag(t, 1) over w as b1, lag(t, 2) over w as b2, lag(t, 3) over w as b3 from h0 window w as (partition by source, session_id order by ts, message_ref)),
+b as (select source, session_id, message_ref, concat_ws(chr(10), {_BEFORE.format('b1')}, {_BEFORE.format('b2')}, {_BEFORE.format('b3')}) as earlier from hp),
+fl as (select *, {_KIND} as kind from p),
+cx as (select f.source, f.session_id, f.message_ref, f.kind, f.content, nullif(concat_ws(chr(10) || chr(10), case when f.cwd <> '' then concat('Working directory: ', f.cwd) end, ex.doc,
+    case when b.earlier <> '' then concat('Earlier prompts this session (newest first):', chr(10), b.earlier) end), '') as context
+  from fl f left join b on b.source = f.source and b.session_id = f.session_id and b.message_ref = f.message_ref left join ex on ex.cwd = f.cwd where f.kind is not null)
+"""
+
+
+def _contexts(spark, sf_dir):
+    once = _project_docs(spark, sf_dir).groupBy("dir", "name").agg(F.min_by("text", "doc_id").alias("text"))
+    return triggers.rewrite_context(prompts(spark, sf_dir), once, HOME)
+
+
+@query(_CONTEXT + "select source, session_id, message_ref, kind, context from cx")
+def rewrite_context(spark, sf_dir):
+    """The context of every triggered prompt: directory, nearest document, the prompts before it."""
+    return _contexts(spark, sf_dir).select("source", "session_id", "message_ref", "kind", "context")
+
+
+@query(_CONTEXT + """, bl as (select *, length(case when context is null then content else concat('SESSION CONTEXT:', chr(10), context, chr(10), chr(10), 'PROMPT TO REWRITE:', chr(10), content) end) as size from cx)
+select source, session_id, message_ref, kind, case when size % 7 > 2 then concat('rewritten from ', size, ' characters') end as rewrite from bl""")
+def rewrites(spark, sf_dir):
+    """Every triggered prompt rewritten by the model in its context; the stub is silent, blank or no text for some."""
+    return triggers.rewrites(_contexts(spark, sf_dir), spark.createDataFrame([], "key string, payload string"), infer.stub_rewrite)
+
+
 _SKIP = f""", ev as (select session_id, seq, kind, triggered, row_number() over (partition by session_id order by seq) as rn
   from (select session_id, split_part(message_ref, ':', 2)::bigint as seq, case when k % 5 < 2 then 'consume' else 'submit' end as kind, {_KIND} is not null as triggered from p)),
 r as (select session_id, 0::bigint as rn, 0::bigint as seq, '' as kind, '' as outcome, false as pending, false as passing from ev group by session_id

@@ -374,6 +374,23 @@ def ingest_stats(spark, sf_dir):
     return ingest.ingest_stats(batch, ingest.dedupe_two_key(batch, "ord"))
 
 
+_PART = "least(2, greatest(0, floor(ord * 3.0 / (select max(ord) + 1 from u))))::bigint"
+
+
+def _parts(batch: DataFrame) -> DataFrame:
+    """The batch dealt to three parts in its order."""
+    top = batch.agg(F.max("ord") + 1).first()[0]
+    return batch.withColumn("part", F.least(F.lit(2), F.greatest(F.lit(0), F.floor(F.col("ord") * 3.0 / F.lit(top)))).cast("bigint"))
+
+
+@query(_KEYED + _rounds("u") + f", sc as (select source, {_PART} as part, count(*) as scanned from u group by all), ad as (select source, {_PART} as part, count(*) as added from acc group by all) select source, part, scanned, coalesce(added, 0) as added, scanned - coalesce(added, 0) as deduped from sc left join ad using (source, part)")
+def ingest_append(spark, sf_dir):
+    """Three batches, each appended to a table by source where its keys are new in the key folders of the batches before."""
+    home, batch = _scratch(spark), ingest.cut(_parts(_batch(spark, sf_dir)))
+    told = [ingest.append_batch(batch.where(F.col("part") == i).drop("part"), f"{home}/rows", f"{home}/keys", i, "ord").withColumn("part", F.lit(i)) for i in range(3)]
+    return reduce(DataFrame.unionByName, told).select("source", "part", "scanned", "added", "deduped")
+
+
 _FILES = ", fl as (select concat('/f/', session_id) as path, max(ts) as mtime, sum(n)::bigint as size from p group by session_id)\n"
 
 
@@ -470,6 +487,17 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.parquet(f"{home}/out")
 
 
+@query(_KEYED + _rounds("u") + "select source, session_id, message_ref, ord from acc")
+def stream_two_key(spark, sf_dir):
+    """Exact two-key ingest of a stream in three micro-batches; equal to the rule applied to all rows in order."""
+    home, batch = _scratch(spark), ingest.cut(_parts(_batch(spark, sf_dir)))
+    for i in range(3):
+        batch.where(F.col("part") == i).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    streams.ingest_stream(stream.drop("part"), f"{home}/rows", f"{home}/state", "ord")
+    return spark.read.parquet(f"{home}/rows").select("source", "session_id", "message_ref", "ord")
+
+
 def _complete(spark, df: DataFrame) -> DataFrame:
     home = _scratch(spark)
     streams.run_complete(df, f"{home}/out", f"{home}/state")

@@ -35,16 +35,12 @@ def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def ingest_stream(stream: DataFrame, target: str, checkpoint: str, order: str) -> None:
-    """Exact two-key ingest against all history: each micro-batch is inserted where both keys are new."""
+def ingest_stream(stream: DataFrame, target: str, checkpoint: str, order: str, keys: str | None = None) -> None:
+    """Exact two-key ingest against all history: each micro-batch is inserted where both keys are new, and reads only the key folders it falls into."""
+    folder = keys or target.rstrip("/") + "-keys"
 
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(target)
-        written = at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(at)
-        old = spark.read.schema(batch.schema).parquet(target) if written else batch.limit(0)
-        added = ingest.cut(ingest.insert_ignore(old, batch, order))
-        added.write.mode("append").parquet(target)
+    def each(batch: DataFrame, n: int) -> None:
+        ingest.append_batch(batch, target, folder, n, order)
 
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
