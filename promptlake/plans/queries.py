@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as X
 from ..operators import docs as D
 from ..operators import fit, index, infer, ingest, metrics, rubric, search, triggers
@@ -637,6 +638,18 @@ def rewrites(spark, sf_dir):
     return triggers.rewrites(_contexts(spark, sf_dir), spark.createDataFrame([], "key string, payload string"), infer.stub_rewrite)
 
 
+@query(f"""select message_ref, content_hash, origin, n / 4.0::double as tokens, {_tier()} as tier, {_DEMAND} as demand, {_KIND} as kind, {hit('example')} as example, {hit('constraint')} as bound,
+{_WORDS.replace('text', 'content')} as words, len(regexp_extract_all(content, {re2('doc_list')})) as items, case when starts_with(cwd, '/home/u/') then concat('~/', substr(cwd, 9)) else cwd end as shown from p""")
+def sql_functions(spark, sf_dir):
+    """The scalar families called from Spark SQL by name."""
+    sql.register(spark)
+    return spark.sql(
+        """select message_ref, content_hash(content) as content_hash, prompt_origin(content) as origin, token_estimate(content) as tokens, model_tier(model) as tier, demand_tier(content) as demand, trigger_kind(content) as kind,
+        cue_example(content) as example, cue_constraint(content) as bound, word_count(content) as words, list_count(content) as items, display_path(cwd, '/home/u') as shown from {p}""",
+        p=prompts(spark, sf_dir),
+    )
+
+
 _SKIP = f""", ev as (select session_id, seq, kind, triggered, row_number() over (partition by session_id order by seq) as rn
   from (select session_id, split_part(message_ref, ':', 2)::bigint as seq, case when k % 5 < 2 then 'consume' else 'submit' end as kind, {_KIND} is not null as triggered from p)),
 r as (select session_id, 0::bigint as rn, 0::bigint as seq, '' as kind, '' as outcome, false as pending, false as passing from ev group by session_id
