@@ -16,6 +16,7 @@ from ..operators import ingest, triggers
 from ..schema import SOURCES
 from ..sources import readers
 from ..streaming import streams
+from . import imports
 from .queries import _KIND, _STRIP, query
 from .testview import NOW, prompts
 
@@ -40,6 +41,16 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select("source", "session_id", "message_ref", "content", F.unix_seconds("timestamp").alias("ts"), "cwd", "model")
 
 
+def _rounds(start: str, n: int = 5) -> str:
+    out = f", k0 as materialized (select * from {start})\n"
+    for i in range(n):
+        out += f""", m{i} as (select *, row_number() over (partition by source, session_id, message_ref order by ord) = 1 and row_number() over (partition by content_hash, ts order by ord) = 1 as won from k{i}),
+w{i} as materialized (select * exclude (won) from m{i} where won),
+k{i + 1} as materialized (select k.* from k{i} k where not exists (select 1 from w{i} w where w.source = k.source and w.session_id = k.session_id and w.message_ref = k.message_ref) and not exists (select 1 from w{i} w where w.content_hash = k.content_hash and w.ts = k.ts))
+"""
+    return out + ", acc as (" + " union all ".join(f"select * from w{i}" for i in range(n)) + ")\n"
+
+
 # -- agent transcripts ---------------------------------------------------------------------
 
 
@@ -245,6 +256,23 @@ def src_export_tree(spark, sf_dir):
     return _rows(readers.exports(readers.route(export_files(spark, sf_dir)).where("kind = 'export'")))
 
 
+_IM = _JS + f""", u0 as (select 'json-import' as source, session_id, concat(session_id, ':', nth) as message_ref, text as content, began * 2 + case when conv_id % 5 = 1 then 1 else 0 end as ts, 2 as kind, concat('/in/', sid, '.json') as file, again, lpad(nth::varchar, 9, '0') as place
+    from j0 join (values (0), (1)) copies(again) on again = 0 or conv_id % 4 = 0
+  union all select 'chatgpt', case when conv_id % 2 = 0 then sid else concat('id-', sid) end, concat('n', turn), {_STRIP.format("case when k % 4 = 0 then concat(' ', text, chr(10), 'part two ') else text end")},
+    2 * case when k % 5 <> 0 then ts when conv_id % 3 <> 0 then first_ts else 0 end, 1, concat('/ex/', sid), 0, concat('n', turn) from c join s0 using (sid) where role = 'user' and k % 6 <> 1 and k % 7 <> 3),
+u as (select source, session_id, message_ref, sha256(trim(regexp_replace(content, '\\s+', ' ', 'g'))) as content_hash, ts, row_number() over (order by kind, file, again, place) as ord from u0),
+fi as (select unnest(['chatgpt', 'json-import']) as source, count(*) as files from s0 union all select null, count(*) from s0 where sid::bigint % 10 = 0)
+"""
+
+
+@query(_IM + _rounds("u") + "select fi.source, files, coalesce(scanned, 0) as scanned, coalesce(added, 0) as added, coalesce(scanned, 0) - coalesce(added, 0) as deduped from fi left join (select source, count(*) as scanned from u group by source) using (source) left join (select source, count(*) as added from acc group by source) using (source)", cte="")
+def import_files(spark, sf_dir):
+    """One import of exports, session lists and files that are neither, with first-wins de-duplication."""
+    sessions, home = session_files(spark, sf_dir), _scratch(spark)
+    torn = sessions.where(F.regexp_extract("file", r"(\d+)", 1).cast("bigint") % 10 == 0).select(F.concat("file", F.lit(".part")).alias("file"), F.expr("substring(value, 2)").alias("value"))
+    return imports.import_files(sessions.unionByName(export_files(spark, sf_dir)).unionByName(torn), f"{home}/rows", f"{home}/keys", 0)
+
+
 def _sources(spark, sf_dir) -> tuple[DataFrame, dict[str, str]]:
     return readers.union_sources(
         [
@@ -330,16 +358,6 @@ def _batch(spark, sf_dir) -> DataFrame:
     return p.unionByName(a).unionByName(b).unionByName(c).drop("k")
 
 
-def _rounds(start: str, n: int = 5) -> str:
-    out = f", k0 as materialized (select * from {start})\n"
-    for i in range(n):
-        out += f""", m{i} as (select *, row_number() over (partition by source, session_id, message_ref order by ord) = 1 and row_number() over (partition by content_hash, ts order by ord) = 1 as won from k{i}),
-w{i} as materialized (select * exclude (won) from m{i} where won),
-k{i + 1} as materialized (select k.* from k{i} k where not exists (select 1 from w{i} w where w.source = k.source and w.session_id = k.session_id and w.message_ref = k.message_ref) and not exists (select 1 from w{i} w where w.content_hash = k.content_hash and w.ts = k.ts))
-"""
-    return out + ", acc as (" + " union all ".join(f"select * from w{i}" for i in range(n)) + ")\n"
-
-
 @query(_KEYED + _rounds("u") + "select source, session_id, message_ref, ord from acc")
 def dedupe_two_key(spark, sf_dir):
     return ingest.dedupe_two_key(_batch(spark, sf_dir), "ord").select("source", "session_id", "message_ref", "ord")
