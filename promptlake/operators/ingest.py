@@ -130,6 +130,36 @@ def append_batch(batch: DataFrame, target: str, keys: str, n: int, order: str) -
     return ingest_stats(batch, added)
 
 
+def merge_keys(spark: SparkSession, keys: str, n: int, least: int = 2) -> int:
+    """Merges the files that batches before n left in a key folder into one set, where there are at least so many of them; tells the folders merged.
+
+    Call it between batches: batch n and later ones are left alone, so a repeated batch n still meets
+    only the ones before it. The merged keys are written before the old ones go: after a failure
+    between the two, keys are there twice, which changes no answer, and the next call ends the work.
+    Only names of folders come to the driver.
+    """
+    merged = 0
+    for name in ("row_keys", "text_keys"):
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{keys}/{name}")
+        fs = root.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+        batches = lambda at: [p for f in fs.listStatus(at) if (p := f.getPath()).getName().startswith("batch=") and int(p.getName()[6:]) < n]
+        folders = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("folder=")] if fs.exists(root) else []
+        old = [got for f in folders if len(got := batches(f)) >= least]
+        if not old:
+            continue
+        merged += len(old)
+        key = ROW_KEY if name == "row_keys" else TEXT_KEY
+        rows = spark.read.option("basePath", f"{keys}/{name}").parquet(*(p.toString() for some in old for p in some))
+        # A number below all batches and of this call alone, so that no folder that is read is written.
+        low = min(int(p.getName()[6:]) for some in old for p in some)
+        new = rows.select(*key, "folder").distinct().withColumn("batch", F.lit(min(low, -1) - 1).cast("bigint")).hint("rebalance", "folder")
+        new.write.mode("append").partitionBy("folder", "batch").parquet(f"{keys}/{name}")
+        for some in old:
+            for p in some:
+                fs.delete(p, True)
+    return merged
+
+
 def ingest_stats(batch: DataFrame, added: DataFrame) -> DataFrame:
     """Rows scanned, added and dropped as duplicates, by source."""
     seen = batch.groupBy("source").agg(F.count("*").alias("scanned"))

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import ingest, triggers
+from ..operators import infer, ingest, triggers
 from ..schema import SOURCES
 from ..sources import readers
 from ..streaming import streams
-from . import imports
-from .queries import _KIND, _STRIP, query
+from . import imports, reports
+from .queries import _COUNT_CELLS, _FIT_CELLS, _KIND, _PATTERN_CELLS, _RUBRIC_CELLS, _STRIP, _STYLE_CELLS, ORACLES, _all_cells, _digests, query
 from .testview import NOW, prompts
 
 _TS = "1704067200 + (conv_id*7919*13) % 7776000 + turn*60"
@@ -273,6 +273,35 @@ def import_files(spark, sf_dir):
     return imports.import_files(sessions.unionByName(export_files(spark, sf_dir)).unionByName(torn), f"{home}/rows", f"{home}/keys", 0)
 
 
+LISTS = 16
+
+
+def list_folder(spark, sf_dir) -> str:
+    """Exports as 16 lists of many conversations, with plain values between and at both ends, and two files that are no list."""
+    one = export_files(spark, sf_dir).select(F.element_at(F.split("file", "/"), -1).cast("bigint").alias("conv_id"), F.expr("substring(value, 2, length(value) - 2)").alias("value"))
+    nameless = F.regexp_replace("value", r'^\{("conversation_id":"\d+",)?"id":"id-\d+"', '{"by":"}],[{"')
+    one = one.select((F.col("conv_id") % LISTS).alias("list"), "conv_id", F.concat(F.when(F.col("conv_id") % 5 == 0, nameless).otherwise(F.col("value")), F.when(F.col("conv_id") % 3 == 0, ",[null],").otherwise(",")).alias("value"))
+    ends = one.select("list").distinct()
+    every = one.unionByName(ends.select("list", F.lit(-1).alias("conv_id"), F.lit('["}",').alias("value"))).unionByName(ends.select("list", F.lit(2**62).alias("conv_id"), F.lit("7]").alias("value")))
+    home = _scratch(spark)
+    every.repartition(LISTS, "list").sortWithinPartitions("list", "conv_id").drop("conv_id").write.partitionBy("list").text(f"{home}/in")
+    odd = spark.createDataFrame([('{"a":[{"mapping":{}}]}',), ('[{"id":"x","mapping":{',)], "value string")
+    odd.repartition(2).withColumn("list", F.lit(LISTS)).write.mode("append").partitionBy("list").text(f"{home}/in")
+    return f"{home}/in"
+
+
+_LISTS = _EX.rstrip() + f""", nt as (select conv_id, sum(case when conv_id % 3 = 0 then 2 else 1 end) over (partition by conv_id % {LISTS} order by conv_id) - case when conv_id % 3 = 0 then 1 else 0 end as nth from (select distinct conv_id from c)),
+li as (select 'chatgpt' as source, case when e.conv_id % 5 = 0 then concat('conv-', nth) else e.session_id end as session_id, message_ref, content, ts, cwd, model
+  from (select *, regexp_extract(session_id, '[0-9]+')::bigint as conv_id from ex) e join nt using (conv_id))
+"""
+
+
+@query(_LISTS + "select source, session_id, message_ref, content, ts, cwd, model from li", cte="")
+def src_export_lists(spark, sf_dir):
+    """Large lists read in blocks; conversations without an id are named by their place in the list."""
+    return _rows(readers.export_items(readers.list_items(spark, f"{list_folder(spark, sf_dir)}/*")))
+
+
 def _sources(spark, sf_dir) -> tuple[DataFrame, dict[str, str]]:
     return readers.union_sources(
         [
@@ -338,6 +367,37 @@ def source_quarantine(spark, sf_dir):
     return states.join(landed, "source", "left").select("source", "state", "scanned", F.coalesce("landed", F.lit(0)).alias("landed"))
 
 
+@query(_UN + """, u0 as (select *, sha256(trim(regexp_replace(content, '\\s+', ' ', 'g'))) as content_hash, case source when 'claude-code' then 0 else 1 end as place from un where source <> 'copilot'),
+u as (select source, session_id, message_ref, content_hash, ts, row_number() over (order by place, ts, session_id, message_ref) as ord from u0)
+""" + _rounds("u") + """, sc as (select source, count(*) as scanned from u group by source), ad as (select source, count(*) as added from acc group by source)
+select source, case when scanned is null then 'failed' else 'read' end as state, coalesce(scanned, 0) as scanned, coalesce(added, 0) as added, coalesce(scanned, 0) - coalesce(added, 0) as deduped,
+  case source when 'copilot' then 'torn record' when 'chatgpt' then 'PATH_NOT_FOUND' end as reason from (select unnest(['claude-code', 'copilot', 'hermes', 'chatgpt']) as source) left join sc using (source) left join ad using (source)""", cte="")
+def ingest_sources(spark, sf_dir):
+    """One sync of four sources: two fail, one of them while it runs, and are named in the counters; the others are appended."""
+    broken = lambda: readers.patch_logs(patch_lines(spark, sf_dir)).withColumn("content", F.when(F.length("message_ref") > 0, F.raise_error(F.lit("torn record"))).otherwise(F.col("content")))
+    home = _scratch(spark)
+    sources = [("claude-code", lambda: readers.transcripts(transcript_lines(spark, sf_dir))), ("copilot", broken), ("hermes", lambda: readers.chat_tables(*chat_tables(spark, sf_dir))), ("chatgpt", lambda: spark.read.parquet(f"{sf_dir}/no-such-export"))]
+    told = imports.import_sources(spark, sources, f"{home}/landed", f"{home}/rows", f"{home}/keys", 0)
+    return told.withColumn("reason", F.nullif(F.regexp_extract("reason", "(torn record|PATH_NOT_FOUND)", 1), F.lit("")))
+
+
+_TITLE_CELLS = f"""select 'titles' as section, concat(day, ' ', title) as "row", 'sessions' as col, count(*)::double as value from ({ORACLES['session_titles']}) group by 2"""
+_MORE_CELLS = """select 'skipped' as section, 'chatgpt' as "row", 'failed' as col, 1.0::double as value union all select 'model', 'available', 'model', 1.0"""
+
+
+@query(_all_cells([*_COUNT_CELLS, _STYLE_CELLS, _RUBRIC_CELLS, _FIT_CELLS, _PATTERN_CELLS, _TITLE_CELLS, _MORE_CELLS]), cte="")
+def report_sections(spark, sf_dir):
+    """All sections of the report: with patterns, titles, the sources that failed and whether a model was there."""
+    frames = reports.report_since(prompts(spark, sf_dir), F.timestamp_seconds(F.lit(0)), infer.merge_patterns(_digests(spark, sf_dir)), session_titles(spark, sf_dir), _states(spark, sf_dir))
+    return reports.cells(frames).withColumn("value", F.round("value", 9))
+
+
+@query("""select 'state' as section, case when count(*) = 0 then 'empty table' else 'quiet window' end as "row", unnest(['all_rows', 'window_rows']) as col, unnest([count(*), 0])::double as value from p""")
+def report_quiet(spark, sf_dir):
+    """The report of a window without prompts is one frame."""
+    return reports.cells(reports.report_since(prompts(spark, sf_dir), F.timestamp_seconds(F.lit(NOW + 1))))
+
+
 # -- de-duplication and incremental state -------------------------------------------------------
 
 _KEYED = """, u as (select source, session_id, message_ref, content_hash, ts, k * 4 as ord from p
@@ -409,6 +469,16 @@ def ingest_append(spark, sf_dir):
     return reduce(DataFrame.unionByName, told).select("source", "part", "scanned", "added", "deduped")
 
 
+@query(_KEYED + _rounds("u") + "select source, session_id, message_ref, content_hash, ts from acc")
+def ingest_merged_keys(spark, sf_dir):
+    """Three appended batches with the key folders merged after each; the last is then repeated, as after a failure."""
+    home, batch = _scratch(spark), ingest.cut(_parts(_batch(spark, sf_dir)))
+    for i in (0, 1, 2, 2):
+        ingest.merge_keys(spark, f"{home}/keys", i)
+        ingest.append_batch(batch.where(F.col("part") == i).drop("part"), f"{home}/rows", f"{home}/keys", i, "ord")
+    return spark.read.parquet(f"{home}/rows").select("source", "session_id", "message_ref", "content_hash", F.unix_seconds("timestamp").alias("ts"))
+
+
 _FILES = ", fl as (select concat('/f/', session_id) as path, max(ts) as mtime, sum(n)::bigint as size from p group by session_id)\n"
 
 

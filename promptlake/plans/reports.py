@@ -7,15 +7,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import docs, fit, metrics, rubric
 
 
-def report(prompts: DataFrame, patterns: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The frames of the report; merged patterns (pattern, support) only where a model gave some."""
+def report(prompts: DataFrame, patterns: DataFrame | None = None, titles: DataFrame | None = None, states: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The frames of the report.
+
+    Merged patterns (pattern, support) come only where a model gave some: without them the frame "model"
+    says 0 and the rules that a model judges have no mean. titles are those of readers.session_titles, states (source, state) name failed sources.
+    """
     more = {} if patterns is None else {"patterns": patterns.select(F.col("pattern").alias("row"), "support")}
+    if titles is not None:
+        more["titles"] = titles.groupBy(F.concat_ws(" ", "day", "title").alias("row")).agg(F.count("*").alias("sessions"))
+    if states is not None:
+        more["skipped"] = states.where("state = 'failed'").select(F.col("source").alias("row"), F.lit(1).alias("failed"))
     return {
         "totals": metrics.window_totals(prompts).withColumn("row", F.lit("window")),
         "sources": metrics.counts_by_source(prompts).withColumnRenamed("source", "row"),
@@ -26,6 +34,15 @@ def report(prompts: DataFrame, patterns: DataFrame | None = None) -> dict[str, D
     }
 
 
+def report_since(prompts: DataFrame, start: Column, patterns: DataFrame | None = None, titles: DataFrame | None = None, states: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The report of a window with the frame "model"; of an empty window or table one frame alone, "state", that says which it is."""
+    window = prompts.where(F.col("timestamp") >= start)
+    if window.isEmpty():
+        return {"state": metrics.empty_state(prompts, start).select(F.col("state").alias("row"), "all_rows", "window_rows")}
+    available = prompts.sparkSession.createDataFrame([("available", int(patterns is not None))], "row string, model int")
+    return {**report(window, patterns, titles, states), "model": available}
+
+
 def dashboard(prompts: DataFrame, now: int, documents: DataFrame | None = None, home: str = "/") -> dict[str, DataFrame]:
     """The frames of the dashboard; documents (dir, name) add the summary of those near the working directories."""
     frames = report(prompts)

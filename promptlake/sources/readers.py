@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..operators.ingest import cut
 
 TRANSCRIPT = "type string, promptSource string, origin struct<kind:string>, isSidechain string, uuid string, parentUuid string, timestamp string, sessionId string, cwd string, message string"
 ROLLOUT = "type string, timestamp string, payload struct<type:string,kind:string,message:string,cwd:string,model:string>"
 REQUEST = "requestId string, timestamp double, message string, modelId string"
 SESSION = "session_id string, title string, timestamp string, messages array<string>"
-EXPORT = "array<struct<conversation_id:string,id:string,create_time:double,mapping:map<string,string>>>"
+CONVERSATION = "struct<conversation_id:string,id:string,create_time:double,mapping:map<string,string>>"
+EXPORT = f"array<{CONVERSATION}>"
 
 
 def read_lines(spark: SparkSession, glob: str) -> DataFrame:
@@ -34,6 +36,58 @@ def read_whole(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def list_items(spark: SparkSession, glob: str) -> DataFrame:
+    """(file, nth, value) of the elements of JSON lists, one list a file, read in blocks: a list of any size spreads over tasks.
+
+    The files are cut behind each closing brace, so pieces are small and a block needs nothing of the
+    others to be read. What is inside a string and how deep it is nested follows from running sums of
+    quotes and brackets over the pieces, in each block and then over the blocks; only those numbers are ordered.
+    The pieces up to the next end of an outermost object are put together and parsed: only an element is ever held
+    whole. Files that are no complete list give nothing; an element that is no JSON is left out with the plain values before it.
+    """
+    pieces = spark.read.text(glob, lineSep="}").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    outside = lambda c: F.regexp_replace(c, r'"[^"]*+("|$)', "")
+    more = lambda c: F.length(F.translate(c, "]}", "")) - F.length(F.translate(c, "[{", ""))
+    seen = pieces.withColumn("_bare", bare).withColumn("quotes", F.length("_bare") - F.length(F.translate("_bare", '"', "")))
+    # Depth gained by a piece that begins outside and inside a string; the brace behind the piece counts where it ends outside.
+    even = (F.col("quotes") % 2 == 0).cast("int")
+    seen = seen.select("file", "block", "n", "quotes", (more(outside("_bare")) - even).alias("d0"), (more(outside(F.regexp_replace("_bare", r'^[^"]*+("|$)', ""))) - (1 - even)).alias("d1"), F.substring(F.ltrim("value"), 1, 1).alias("head"))
+    here = Window.partitionBy("file", "block").orderBy("n")
+    before, upto = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(Window.unboundedPreceding, 0)
+    odd = lambda *c: reduce(Column.__add__, (F.col(x) for x in c)) % 2 == 1
+    seen = seen.withColumn("q", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
+    for name, a, b in (("e0", "d1", "d0"), ("e1", "d0", "d1")):
+        seen = seen.withColumn(name, F.sum(F.when(odd("q"), F.col(a)).otherwise(F.col(b))).over(upto))
+    # Blocks are few: their sums are chained file by file.
+    blocks = seen.groupBy("file", "block").agg(F.sum("quotes").alias("bq"), F.max_by("e0", "n").alias("be0"), F.max_by("e1", "n").alias("be1"), F.min_by("head", "n").alias("head"))
+    files = Window.partitionBy("file").orderBy("block")
+    past = files.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("q0", F.coalesce(F.sum("bq").over(past), F.lit(0))).withColumn("be", F.when(odd("q0"), F.col("be1")).otherwise(F.col("be0")))
+    whole = Window.partitionBy("file")
+    blocks = blocks.withColumn("depth0", F.coalesce(F.sum("be").over(past), F.lit(0)))
+    # A list ends at depth 0, and the brace that its last piece lacks makes that -1.
+    is_list = (F.sum("be").over(whole) == -1) & (F.sum("bq").over(whole) % 2 == 0) & (F.min_by("head", "block").over(whole) == "[")
+    blocks = blocks.withColumn("_list", is_list).where("_list").select("file", "block", "q0", "depth0")
+    placed = seen.join(blocks, ["file", "block"]).withColumn("depth", F.col("depth0") + F.when(odd("q0"), F.col("e1")).otherwise(F.col("e0")))
+    placed = placed.withColumn("ends", (~odd("q0", "q", "quotes") & (F.col("depth") == 1)).cast("int"))
+    placed = placed.select("file", "block", "n", "ends", (F.col("depth") < 0).alias("last"), F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("g"))
+    ends = placed.groupBy("file", "block").agg(F.sum("ends").alias("ends")).select("file", "block", F.coalesce(F.sum("ends").over(past), F.lit(0)).alias("g0"))
+    placed = placed.join(ends, ["file", "block"]).select("file", "block", "n", "last", (F.col("g") + F.col("g0")).alias("g"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "value"))), lambda x: x["value"]), "}")
+    groups = pieces.join(placed, ["file", "block", "n"]).groupBy("file", "g").agg(text.alias("text"), F.max("last").alias("last"))
+    body = F.regexp_replace(F.when(F.col("last"), F.regexp_replace("text", r"\]\s*$", "")).otherwise(F.concat("text", F.lit("}"))), r"^\s*[\[,]", "")
+    items = F.when(X.strip(body) != "", F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>"))
+    got = groups.select("file", "g", items.alias("items")).where(F.size("items") > 0)
+    got = cut(got)
+    # Numbers go on from group to group, over ranges of groups first.
+    size = got.select("file", "g", F.floor(F.col("g") / 10_000).alias("range"), F.size("items").alias("k"))
+    size = size.withColumn("first", F.coalesce(F.sum("k").over(Window.partitionBy("file", "range").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranges = size.groupBy("file", "range").agg(F.sum("k").alias("k")).select("file", "range", F.coalesce(F.sum("k").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    first = size.join(ranges, ["file", "range"]).select("file", "g", (F.col("first") + F.col("base")).alias("first"))
+    return got.join(first, ["file", "g"]).select("file", "first", F.posexplode("items").alias("i", "value")).select("file", (F.col("first") + F.col("i")).alias("nth"), "value")
+
+
 def stem(file: Column | str = "file") -> Column:
     return F.regexp_extract(file, r"([^/]+)\.jsonl$", 1)
 
@@ -141,7 +195,12 @@ def json_sessions(files: DataFrame) -> DataFrame:
     Entries without a session_id are of session "import". A numeric time counts seconds;
     a missing or unreadable one is 1970. Two entries of one session both count from 0.
     """
-    s = files.select(F.explode(F.from_json("value", "array<string>")).alias("raw")).select("raw", F.from_json("raw", SESSION).alias("s"), F.from_json("raw", "timestamp double").alias("t"))
+    return session_items(files.select(F.explode(F.from_json("value", "array<string>")).alias("value")))
+
+
+def session_items(items: DataFrame) -> DataFrame:
+    """The same of the lists' entries (value), such as list_items gives."""
+    s = items.select(F.col("value").alias("raw")).select("raw", F.from_json("raw", SESSION).alias("s"), F.from_json("raw", "timestamp double").alias("t"))
     said = F.filter(F.transform("s.messages", lambda m: F.from_json(m, "role string, content string")), lambda m: (m["role"] == "user") & (X.strip(m["content"]) != ""))
     when = F.coalesce(F.timestamp_micros((F.col("t.timestamp") * 1_000_000).cast("bigint")), X.parse_time("s.timestamp"), F.timestamp_seconds(F.lit(0)))
     rows = s.select(F.coalesce("s.session_id", F.lit("import")).alias("sid"), when.alias("time"), F.posexplode(said).alias("nth", "m")).withColumn("content", F.col("m.content"))
@@ -151,7 +210,15 @@ def json_sessions(files: DataFrame) -> DataFrame:
 
 def exports(files: DataFrame) -> DataFrame:
     """Conversation exports (file, value): visible user text nodes of each conversation's node map."""
-    c = files.select("file", F.posexplode(F.from_json("value", EXPORT)).alias("i", "c"))
+    return _conversations(files.select("file", F.posexplode(F.from_json("value", EXPORT)).alias("i", "c")))
+
+
+def export_items(items: DataFrame) -> DataFrame:
+    """The same of the exports' conversations (nth, value), such as list_items gives."""
+    return _conversations(items.select(F.col("nth").alias("i"), F.from_json("value", CONVERSATION).alias("c")))
+
+
+def _conversations(c: DataFrame) -> DataFrame:
     name = F.coalesce("c.conversation_id", "c.id", F.concat(F.lit("conv-"), F.col("i").cast("string")))
     n = c.select(name.alias("conversation"), F.col("c.create_time").alias("started"), F.explode("c.mapping").alias("node", "raw"))
     get = lambda p: F.get_json_object("raw", "$.message." + p)
@@ -168,6 +235,12 @@ def route(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", F.when(is_list & F.get_json_object("value", "$[0].mapping").isNotNull(), "export").when(is_list, "sessions").otherwise("other"))
 
 
+def route_items(items: DataFrame) -> DataFrame:
+    """The entries of lists (file, nth, value) with the kind of their file, export or sessions, which its first entry tells."""
+    kinds = items.where("nth = 0").select("file", F.when(F.get_json_object("value", "$.mapping").isNotNull(), "export").otherwise("sessions").alias("kind"))
+    return items.join(kinds, "file")
+
+
 def unzip(files: DataFrame, suffix: str = "conversations.json") -> DataFrame:
     """Zipped exports (path, content: binary) to (file, value); archives without such a member give no row."""
 

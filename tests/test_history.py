@@ -80,3 +80,39 @@ def test_empty_batches(spark, tmp_path, empty_first):
     for n, batch in enumerate((none, some) if empty_first else (some, none)):
         ingest.append_batch(batch, f"{tmp_path}/t", f"{tmp_path}/k", n, "n")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+
+
+def key_files(path):
+    return sorted(str(p.relative_to(path)) for p in path.glob("*/folder=*/batch=*/*.parquet"))
+
+
+def test_merged_keys(spark, tmp_path):
+    """Merges between batches change no answer, leave one set of files a folder, and spare the batches from n on."""
+    draw = random.Random(8)
+    data = [("ab"[draw.randrange(2)], draw.choice(["s", "t", None]), f"m{draw.randrange(30)}", f"h{draw.randrange(30)}", draw.choice([0, DAY, None]), i) for i in range(200)]
+    for n in range(5):
+        ingest.merge_keys(spark, f"{tmp_path}/k", n)
+        ingest.append_batch(rows(spark, data[n * 40 : n * 40 + 40]), f"{tmp_path}/t", f"{tmp_path}/k", n, "n")
+    assert sorted(r["n"] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == accepted(data)
+    last = [f for f in key_files(tmp_path / "k") if "batch=4/" in f]
+    assert last and ingest.merge_keys(spark, f"{tmp_path}/k", 4) == 0
+    assert ingest.merge_keys(spark, f"{tmp_path}/k", 5) > 0
+    folders = [f.rsplit("/", 2)[0] for f in key_files(tmp_path / "k")]
+    assert len(folders) == len(set(folders)) and ingest.merge_keys(spark, f"{tmp_path}/k", 5) == 0
+    again = ingest.append_batch(rows(spark, data), f"{tmp_path}/t", f"{tmp_path}/k", 5, "n").collect()
+    assert sum(r["added"] for r in again) == 0
+
+
+def test_merge_stopped_before_the_old_keys_go(spark, tmp_path):
+    data = [("a", "s", f"m{i}", f"h{i}", i, i) for i in range(6)]
+    for n in range(2):
+        ingest.append_batch(rows(spark, data[n * 3 : n * 3 + 3]), f"{tmp_path}/t", f"{tmp_path}/k", n, "n")
+    # Merged keys are there, the old ones still too.
+    ingest.write_keys(rows(spark, data), f"{tmp_path}/k", -2)
+    assert ingest.merge_keys(spark, f"{tmp_path}/k", 2) == 2
+    assert spark.read.parquet(f"{tmp_path}/k/row_keys").count() == spark.read.parquet(f"{tmp_path}/k/text_keys").count() == 6
+    assert ingest.append_batch(rows(spark, data), f"{tmp_path}/t", f"{tmp_path}/k", 2, "n").first()["added"] == 0
+
+
+def test_merge_of_no_keys(spark, tmp_path):
+    assert ingest.merge_keys(spark, f"{tmp_path}/none", 3) == 0
