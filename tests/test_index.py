@@ -77,3 +77,47 @@ def test_empty_texts_count_as_documents(spark, tmp_path):
     got, stats = index.read(spark, path)
     assert {r["doc"] for r in got.collect()} == {3}
     assert tuple(stats.first()) == (3, pytest.approx(2 / 3))
+
+
+def counted(spark, df, column):
+    """The frame, and an accumulator of the rows whose column was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def look(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(column, look(column)), seen
+
+
+def test_addition_splits_each_text_once(spark, tmp_path):
+    some, seen = counted(spark, docs(spark, range(40)), "text")
+    index.add(str(tmp_path / "index"), some)
+    assert seen.value == 40
+
+
+def test_counts_of_terms_decode_no_positions(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index.add(path, docs(spark, range(20)))
+    got, _ = index.read(spark, path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" in plan(got)
+    counts = got.groupBy("term").count()
+    assert "Arrow" not in plan(counts) and "gaps" not in plan(counts)
+
+
+def test_only_hits_get_snippets(spark):
+    hits = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 7)], "query int, rank int, doc bigint")
+    snippets, seen = counted(spark, docs(spark, range(60)).select("doc", F.lit("2024-01-01").alias("day"), F.col("text").alias("snippet")), "snippet")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "query int")
+    got = {r["query"]: (r["n_hits"], r["answer"]) for r in search.fallback_answers(asked, hits, snippets).collect()}
+    assert got == {1: (2, f"- [2024-01-01] (7) {TEXTS[7]}\n- [2024-01-01] (8) {TEXTS[8]}"), 2: (1, f"- [2024-01-01] (7) {TEXTS[7]}"), 3: (0, search.NOTHING)}
+    assert seen.value == 2
+
+
+def test_gaps_and_places_agree(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index.add(path, spark.createDataFrame([(1, "b a b b c " + "a " * 500), (2, "b"), (3, None)], "doc bigint, text string"))
+    got, _ = index.read(spark, path)
+    assert rows(got) == rows(search.postings(spark.createDataFrame([(1, "b a b b c " + "a " * 500), (2, "b")], "doc bigint, text string")))
