@@ -149,3 +149,13 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
         streams.ingest_stream(stream, f"{tmp_path}/table", f"{tmp_path}/state", "ord")
     got = sorted(r["ord"] for r in spark.read.parquet(f"{tmp_path}/table").collect())
     assert got == sequential(rows)
+
+
+def test_words_are_counted_without_a_list(spark):
+    texts = ["", "  ", "a", " a\u00a0b\u2003c\n", "no end ", "w " * 200, "# h\n" + "w " * 200, "see README.md", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", X.word_count("t").alias("n"), X.doc_flags("t", F.lit(91.0)).alias("f")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [0, 0, 1, 3, 2, 200, 202, 2, None]
+    assert [r["f"][:-1] for r in got] == [["sparse"]] * 5 + [["unstructured"], [], [], []]
+    plan = rows.select(X.doc_flags("t", F.lit(91.0)).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("S+") == 2 and "split(" not in plan
