@@ -109,7 +109,7 @@ def test_counts_of_terms_decode_no_positions(spark, tmp_path):
 
 def test_only_hits_get_snippets(spark):
     hits = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 7)], "query int, rank int, doc bigint")
-    snippets, seen = counted(spark, docs(spark, range(60)).select("doc", F.lit("2024-01-01").alias("day"), F.col("text").alias("snippet")), "snippet")
+    snippets, seen = counted(spark, search.of_hits(docs(spark, range(60)), hits).select("doc", F.lit("2024-01-01").alias("day"), F.col("text").alias("snippet")), "snippet")
     asked = spark.createDataFrame([(1,), (2,), (3,)], "query int")
     got = {r["query"]: (r["n_hits"], r["answer"]) for r in search.fallback_answers(asked, hits, snippets).collect()}
     assert got == {1: (2, f"- [2024-01-01] (7) {TEXTS[7]}\n- [2024-01-01] (8) {TEXTS[8]}"), 2: (1, f"- [2024-01-01] (7) {TEXTS[7]}"), 3: (0, search.NOTHING)}
