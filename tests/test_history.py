@@ -116,3 +116,17 @@ def test_merge_stopped_before_the_old_keys_go(spark, tmp_path):
 
 def test_merge_of_no_keys(spark, tmp_path):
     assert ingest.merge_keys(spark, f"{tmp_path}/none", 3) == 0
+
+
+def test_many_folders_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(300).selectExpr("'s' as source", "cast(id as string) as session_id", "'m' as message_ref", "cast(id as string) as content_hash", "timestamp_seconds(id * 3600 * (id % 2)) as timestamp")
+    writers = lambda at, folder="*": {f.name.split("-")[1] for f in (tmp_path / at).glob(f"folder={folder}/batch=*/part-*.parquet")}
+    for n in (0, 1):
+        ingest.write_keys(rows, f"{tmp_path}/keys", n)
+    assert len(writers("keys/row_keys")) > 4 and len(writers("keys/text_keys", "0")) == 1
+    assert ingest.merge_keys(spark, f"{tmp_path}/keys", 2) > 100
+    assert len(writers("keys/row_keys")) > 4
+    monkeypatch.setattr(ingest, "FOLDER_ROWS", 100)
+    ingest.write_keys(rows, f"{tmp_path}/large", 0)
+    assert len(writers("large/text_keys", "0")) > 1
+    assert spark.read.parquet(f"{tmp_path}/large/text_keys").count() == 300
