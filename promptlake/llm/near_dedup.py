@@ -17,14 +17,14 @@ of copies are never expanded, and no link between components is lost.
 Nodes that are still large at the last level hold documents that agree almost everywhere.
 Overlapping ones are joined to dense groups, so each document stands there once. All of a
 group meet its most central member; those that are left meet the most central of
-themselves. What is then still outside the main component meets the rest of its group by its rarest
-shingles: two sets of that similarity share one of the first ``n - ceil(0.8 n) + 1`` in any
-common order, and the order here goes by a bounded sketch of how often a shingle occurs
-in such groups, so what a family of documents shares takes no part and a shingle that occurs
-once is not even sent. So a group sends a fixed part of its shingles, once, and no sets; what a
-large group exchanges is in proportion to it. Compared are only pairs that share a rare shingle so
-early in that order that enough others can follow; in a family whose members differ from each other
-by about the threshold these can still be many.
+themselves. What is then still outside the main component meets the rest of its group by differences: the
+group's base are the shingles of over half of its sets, and each set stands for the shingles in which it differs from the
+base. Sets that differ little are linked with the one that differs least. All others must share differences to be
+linked, the more the further they are from the base, so one of the rarest is shared; the order goes by a bounded
+sketch of how often a difference occurs, and one that occurs once is not even sent. What a family has in common takes no
+part, nor the words of one document alone. So a group sends its differences, once, and no sets. Compared
+are only pairs that share a rare difference so early in that order that enough others can follow. In a group of several
+families that have little in common the base is small, and the differences are most of a set.
 
 Candidates pass a sketch test with a margin of over four standard deviations and are
 then confirmed on the full sets. Sets are taken from the texts again for the documents
@@ -57,6 +57,8 @@ SKETCH_DIFFERS = 26
 IDS_BOUND = 1_000_000
 #: Counters of the sketch of shingle frequencies in dense groups, and the parts it is summed in.
 COUNTERS, COUNTER_PARTS = 1 << 20, 64
+#: Sets that choose a dense group's base; links do not depend on it.
+BASE_OF = 256
 #: Documents and shingles of a block when many pairs of a group are confirmed.
 BLOCK, BLOCK_ITEMS = 1024, 2_000_000
 PAIRS_A_COPY, HUBS = 1_000, 50_000
@@ -368,39 +370,71 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _differences(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (group, doc, component, main, n, sketch, items) with diff: in what a set differs from its group's base, the shingles of over half of its sets (of about ``BASE_OF`` of them).
+
+    For sets x and y with differences p and q, |x ^ y| = |p| + |q| - 2 |p & q|. So they are
+    linked if excess(x) + excess(y) <= 2 (100 + percent) |p & q|. low: the least excess of the group.
+    Those whose excess and low are not above 0 together are linked with hub, the member that has it: its
+    component becomes theirs. Members of different components then share a difference, if they are linked.
+    """
+    total = rows.count()
+    sizes = rows.groupBy("group").agg(F.count("*").alias("members"))
+    # Any base gives the same links: some of a large group's sets are enough to choose it.
+    some = spread_join(rows.select("group", "doc", "items"), sizes, "group", "members", total).where(F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BASE_OF)) == 0)
+    asked = some.groupBy("group").agg(F.count("*").alias("asked"))
+    often = some.select("group", F.explode("items").alias("token")).groupBy("group", "token").agg(F.count("*").alias("c")).join(asked, "group").where("2 * c > asked")
+    base = sizes.join(often.groupBy("group").agg(F.collect_list("token").alias("base")), "group", "left")
+    both = spread_join(rows, base, "group", "members", total)
+    diff = F.when(F.col("base").isNull(), F.col("items")).otherwise(F.concat(F.array_except("items", "base"), F.array_except("base", "items")))
+    out = both.select("group", "doc", "component", "main", F.size("items").cast("bigint").alias("n"), *SKETCH, diff.alias("diff"))
+    out = out.withColumn("excess", (100 + percent) * F.size("diff") - (100 - percent) * F.col("n"))
+    least = out.groupBy("group").agg(F.min(F.struct("excess", "doc", "component")).alias("m"), F.count("*").alias("members"))
+    out = spread_join(out, least.select("group", F.col("m.excess").alias("low"), F.col("m.doc").alias("hub"), F.col("m.component").alias("of_hub"), "members"), "group", "members", total).drop("members")
+    joins = F.col("excess") + F.col("low") <= 0
+    return out.withColumn("to_hub", joins & (F.col("component") != F.col("of_hub"))).withColumn("component", F.when(joins, F.col("of_hub")).otherwise(F.col("component")))
+
+
 def _rare_tokens(rows: DataFrame, percent: int) -> DataFrame:
-    """(group, doc, component, main, n, sketch, token, place): the rarest shingles of each set of rows, as many as a link needs, without those that occur once."""
+    """(group, doc, component, main, n, sketch, excess, token, left): the rarest differences of each set of rows, as many as a link needs, without those that occur once.
+
+    left: differences from this one on. rows: sets, or their differences if these are there.
+    """
+    if "diff" not in rows.columns:
+        rows = _differences(rows, percent)
+    rows = rows.withColumnRenamed("diff", "items")
     shared = rows.sparkSession.sparkContext.broadcast(_frequencies(rows))
-    kept = ["group", "doc", "component", "main", "n", *SKETCH]
+    kept = ["group", "doc", "component", "main", "n", *SKETCH, "excess"]
 
     def run(batches):
         often = shared.value
         for b in batches:
-            lists = b.column(len(kept))
+            lists, excess, low = b.column(len(kept)), b.column(len(kept) - 1).to_numpy(), b.column(len(kept) + 1).to_numpy()
             size = lists.value_lengths().to_numpy()
             items, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
             n = often[_counter(items)]
             order = np.lexsort((items, n, owner))
-            place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-            need = size - (percent * size + 99) // 100 + 1
-            early = (place < need[owner]) & (n[order] > 1)
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(order))
+            common = np.maximum(-((excess + low) // (-2 * (100 + percent))), 1)
+            early = (left >= common[owner]) & (n[order] > 1)
             use = order[early]
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(owner[use])) for i in range(len(kept))), pa.array(items[use]), pa.array(place[early])], names=[*kept, "token", "place"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(owner[use])) for i in range(len(kept))), pa.array(items[use]), pa.array(left[early])], names=[*kept, "token", "left"])
 
-    kinds = ", ".join(f"{c} bigint" for c in [*kept, "token", "place"]).replace("group bigint", "`group` bigint")
-    return rows.select(*kept, "items").mapInArrow(run, kinds)
+    kinds = ", ".join(f"`{c}` bigint" for c in [*kept, "token", "left"])
+    return rows.select(*kept, "items", "low").mapInArrow(run, kinds)
 
 
 def _rare_pairs(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of a member outside its group's main component and one of another component that share a rare shingle."""
+    """Pairs (a, b) of a member outside its group's main component and one of another component that share a rare difference from the base, or of one and its hub."""
     labelled = scratch.cut(_labelled(groups, comps))
     mixed = labelled.where("component <> main").select("group").distinct()
-    rows = scratch.cut(labelled.join(mixed, "group", "left_semi").join(sets, "doc"))
+    rows = scratch.cut(_differences(scratch.cut(labelled.join(mixed, "group", "left_semi").join(sets, "doc")), percent))
     tokens = scratch.cut(_rare_tokens(rows, percent))
-    # What the first common shingle and all behind it can give must reach the overlap of a link.
-    follow = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    on = (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & ((100 + percent) * follow >= percent * (F.col("x.n") + F.col("y.n")))
-    return _pair(tokens.where("component <> main"), tokens, _near(on, percent)).distinct()
+    # What the first common difference and all behind it can give must reach the overlap of a link.
+    enough = 2 * (100 + percent) * F.least("x.left", "y.left") >= F.col("x.excess") + F.col("y.excess")
+    on = (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & enough
+    hubs = rows.where("to_hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
+    return hubs.unionByName(_pair(tokens.where("component <> main"), tokens, _near(on, percent))).distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

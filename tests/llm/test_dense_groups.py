@@ -51,6 +51,50 @@ def test_twice_the_group_exchanges_twice_as_much(spark):
     assert pairs1 >= 30
 
 
+def template(n, rng):
+    """Documents of one text, each with up to twelve words of its own at places of its own: similarities from 1 to far below the threshold."""
+    out = []
+    for i in range(n):
+        w = [f"w{j}" for j in range(150)]
+        for j in rng.choice(150, rng.integers(0, 13), replace=False):
+            w[j] = f"own{i}x{j}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 70])
+def test_members_about_the_threshold_of_a_template(spark, percent):
+    """Those outside the main component do not meet every other member by what all of them share, and no link is lost."""
+    pairs = template(400, np.random.default_rng(5))
+    docs = spark.createDataFrame(pairs, "doc_id bigint, text string")
+    words = {d: t.split(" ") for d, t in pairs}
+    shingles = {d: set(zip(w, w[1:], strict=False)) for d, w in words.items()}
+    linked = [(a, b) for a in shingles for b in shingles if a < b and 100 * len(shingles[a] & shingles[b]) >= percent * len(shingles[a] | shingles[b])]
+    with Scratch(spark) as scratch:
+        sets = scratch.cut(near_dedup.signatures(docs, 2))
+        groups = sets.select("doc", F.lit(0).cast("bigint").alias("group"), "n", *near_dedup.SKETCH, F.lit(1).alias("degree"))
+        full = near_dedup._full_sets(docs, docs.select(F.col("doc_id").alias("doc")), 2, scratch)
+        # As after a first round whose pivot was a member far from the others.
+        star = max(shingles, key=lambda d: len(shingles[d] - shingles[0]))
+        first = spark.createDataFrame([p for p in linked if star in p] or [(star, star)], "a bigint, b bigint")
+        comps = scratch.cut(near_dedup.connected_components(first, scratch))
+        found = scratch.cut(near_dedup._rare_pairs(groups, comps, full, percent, scratch))
+        assert found.count() < 4 * len(pairs)
+        comps = near_dedup.merged(comps, near_dedup._verify_in_blocks(found, full, percent), scratch)
+        got = {r["node"]: r["component"] for r in comps.collect()}
+    of = {d: d for d in shingles}
+
+    def root(d):
+        while of[d] != d:
+            d = of[d]
+        return d
+
+    for a, b in linked:
+        x, y = root(a), root(b)
+        of[max(x, y)] = min(x, y)
+    assert {d: got.get(d, d) for d in of} == {d: root(d) for d in of}
+
+
 def test_frequencies_never_fall_short(spark):
     rng = np.random.default_rng(4)
     rows = [([int(x) for x in rng.integers(0, 500, 40)],) for _ in range(100)]
