@@ -6,6 +6,7 @@ The logs are built by Spark from the driver's conversations, in the shapes the r
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -96,22 +97,22 @@ def malformed_line_counts(spark, sf_dir):
     return readers.line_counts(transcript_lines(spark, sf_dir)).select("file", "lines", F.col("malformed").cast("int").alias("malformed"))
 
 
-def _in_batches(spark, lines: DataFrame, parts: int) -> str:
-    """Lines (file, line_no, value, seen) as files of a stream: a micro-batch for each part of the line numbers, then one that only moves the time on."""
+def _in_batches(spark, lines: DataFrame, parts: int) -> Iterator[str]:
+    """Lines (file, line_no, value, seen) as files of a stream, a part of the line numbers at a time, then one that only moves the time on. Yields their folder after each."""
     home = _scratch(spark)
-    last = spark.createDataFrame([("/heartbeat", 0, "{}", parts + 100)], "file string, line_no bigint, value string, part int")
+    last = spark.createDataFrame([("/heartbeat", 0, "{}", parts + 100)], "file string, line_no bigint, value string, part int").coalesce(1)
     dealt = lines.withColumn("part", F.least(F.floor(F.col("line_no") / 5), F.lit(parts - 1)).cast("int"))
-    for n, rows in enumerate([*(dealt.where(F.col("part") == i) for i in range(parts)), last]):
-        rows.select("file", "line_no", "value", F.timestamp_seconds(F.lit(NOW) + F.col("part") * 600).alias("seen")).coalesce(1).write.mode("append").parquet(f"{home}/in")
-    return home
+    for rows in (*(dealt.where(F.col("part") == i) for i in range(parts)), last):
+        rows.select("file", "line_no", "value", F.timestamp_seconds(F.lit(NOW) + F.col("part") * 600).alias("seen")).write.mode("append").parquet(f"{home}/in")
+        yield home
 
 
 @query(_TR + "select source, session_id, message_ref, content, ts, cwd, model from tr", cte="")
 def stream_reply_model(spark, sf_dir):
     """Transcripts in three micro-batches: prompts wait for replies that come later, and leave by event time when none comes."""
-    home = _in_batches(spark, transcript_lines(spark, sf_dir), 3)
-    lines = spark.readStream.schema("file string, line_no bigint, value string, seen timestamp").option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
-    streams.run_once(streams.attach_replies(lines, "seen", "30 minutes"), f"{home}/out", f"{home}/state")
+    for home in _in_batches(spark, transcript_lines(spark, sf_dir), 3):
+        lines = spark.readStream.schema("file string, line_no bigint, value string, seen timestamp").parquet(f"{home}/in")
+        streams.run_once(streams.attach_replies(lines, "seen", "30 minutes"), f"{home}/out", f"{home}/state")
     return _rows(spark.read.parquet(f"{home}/out"))
 
 

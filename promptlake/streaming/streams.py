@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -84,48 +85,77 @@ def session_gate(stream: DataFrame, idle: str = "30 days") -> DataFrame:
 
 
 REPLIED = "file string, line_no bigint, ref string, content string, micros bigint, session string, cwd string, model string"
-
-
-def attach_replies(lines: DataFrame, seen: str, wait: str = "1 hour") -> DataFrame:
+_HELD = pa.schema([(c, pa.int64() if c in ("line_no", "micros", "deadline") else pa.string()) for c in ("file", "line_no", "ref", "content", "micros", "session", "cwd", "deadline")])
+#: Files share a state by their hash: a function call for each file of a micro-batch would cost more than its work.
+REPLY_BUCKETS = 2048
+
+
+def _packed(held: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _HELD) as out:
+        out.write_table(pa.Table.from_pandas(held[_HELD.names], schema=_HELD, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _replied(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(prompts that leave, with their model or none; each file's last prompt if it has no reply yet) of rows in order by file and line."""
+    file, prompt = rows["file"].to_numpy(dtype=object), rows["ref"].notna().to_numpy()
+    at = np.flatnonzero(prompt)
+    # Each row's last prompt, if that is of the same file.
+    last = np.cumsum(prompt) - 1
+    known = last >= 0
+    known[known] = file[at[last[known]]] == file[known]
+    answers = np.flatnonzero(known & ~prompt)
+    ref, parent, model = (rows[c].to_numpy(dtype=object) for c in ("ref", "parent", "model"))
+    answers = answers[parent[answers] == ref[at[last[answers]]]]
+    answered, first = np.unique(last[answers], return_index=True)
+    models = np.full(len(at), None, dtype=object)
+    models[answered] = model[answers[first]]
+    waits = np.append(file[at[1:]] != file[at[:-1]], True)[: len(at)]
+    waits[answered] = False
+    prompts = rows.iloc[at].assign(model=models)
+    return prompts[~waits], prompts[waits]
+
+
+def attach_replies(lines: DataFrame, seen: str, wait: str = "1 hour", buckets: int = REPLY_BUCKETS) -> DataFrame:
     """Prompts of a stream of transcript lines (file, line_no, value and the time they were seen), with the model of the reply.
 
     A file's prompt is held until its reply, its next prompt or, by event time, until nothing of
-    the file was seen for so long: then it leaves without a model. A file's state is one
-    prompt; it ends with it. Lines of a file must come in order, over any number of micro-batches.
+    the file was seen for so long: then it leaves without a model. So at most one prompt a file is held;
+    those of the files of one bucket are one state, which ends with the last of them. A task holds one bucket's part
+    of a micro-batch at a time. Lines of a file must come in order, over any number of micro-batches. buckets must not
+    change while a checkpoint is in use.
     """
     ms = int(pd.Timedelta(wait).total_seconds() * 1000)
-    held_as = REPLIED.removeprefix("file string, ").removesuffix(", model string")
     names = [c.split()[0] for c in REPLIED.split(", ")]
 
-    def plain(row: tuple) -> tuple:
-        """State values without the frame's own kinds of null and number."""
-        return tuple(None if v is None or v != v else int(v) if isinstance(v, (int, np.integer, float)) else v for v in row)
-
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
+        mark = state.getCurrentWatermarkMs()
+        held = pa.ipc.open_stream(bytes(state.get[0])).read_all().to_pandas() if state.exists else _HELD.empty_table().to_pandas()
+        new = [] if state.hasTimedOut else [f for f in frames if len(f)]
         out = []
-        if state.hasTimedOut:
-            out.append((*key, *held, None))
+        if new:
+            rows = pd.concat(new, ignore_index=True)
+            mine = held["file"].isin(rows["file"])
+            both = pd.concat([held[mine].assign(new=0), rows.assign(new=1)], ignore_index=True).sort_values(["file", "new", "line_no"], kind="stable", ignore_index=True)
+            done, waiting = _replied(both)
+            out.append(done)
+            deadline = waiting["file"].map(rows.groupby("file")["seen_ms"].max()).clip(lower=mark) + ms
+            held, fresh = held[~mine], waiting.assign(deadline=deadline)
+        over = held["deadline"] <= mark
+        out.append(held[over].assign(model=None))
+        held = pd.concat([held[~over], fresh[_HELD.names]]) if new else held[~over]
+        if len(held):
+            state.update((_packed(held),))
+            state.setTimeoutTimestamp(int(held["deadline"].min()))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(frames), ignore_index=True).sort_values("line_no")
-            for r in rows.itertuples(index=False):
-                if isinstance(r.ref, str):
-                    if held:
-                        out.append((*key, *held, None))
-                    held = plain((r.line_no, r.ref, r.content, r.micros, r.session, r.cwd))
-                elif held and r.parent == held[1]:
-                    out.append((*key, *held, r.model))
-                    held = None
-            if held:
-                state.update(held)
-                state.setTimeoutTimestamp(max(int(rows["seen"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=names)
-
-    rows = readers.transcript_events(lines.withColumn("seen", F.col(seen)).withWatermark("seen", wait), "seen").withColumn("micros", F.unix_micros("timestamp")).drop("timestamp")
-    got = rows.groupBy("file").applyInPandasWithState(run, REPLIED, held_as, "append", GroupStateTimeout.EventTimeTimeout)
+        yield from (f[names] for f in out if len(f))
+
+    rows = readers.transcript_events(lines.withColumn("seen", F.col(seen)).withWatermark("seen", wait), "seen")
+    rows = rows.withColumn("micros", F.coalesce(F.unix_micros("timestamp"), F.lit(0))).drop("timestamp").withColumn("seen_ms", F.unix_millis("seen"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(buckets)))
+    got = rows.groupBy("bucket").applyInPandasWithState(run, REPLIED, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     return readers.transcript_prompts(got.withColumn("timestamp", F.timestamp_micros("micros")))
 
 

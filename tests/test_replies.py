@@ -1,9 +1,11 @@
 """Transcripts as a stream: replies in later micro-batches, prompts without one, and state that ends."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from promptlake.plans import queries_ingest
 from promptlake.sources import readers
 from promptlake.streaming import streams
 
@@ -39,6 +41,40 @@ def test_replies_across_batches(spark, tmp_path):
     assert {r["message_ref"]: r["model"] for r in readers.transcripts(lines).collect()} == got
 
 
+def random_lines(rng, files, n):
+    """Lines of files, in order, with replies to the last prompt, to earlier ones and to none."""
+    for f in range(files):
+        refs = ["none"]
+        for i in range(n):
+            if rng.random() < 0.4:
+                refs.append(f"f{f}r{i}")
+                yield f"/{f}.jsonl", i, user(refs[-1])
+            else:
+                yield f"/{f}.jsonl", i, reply(rng.choice(refs[-2:]), rng.choice(["<synthetic>", f"m{i}"]))
+
+
+def test_files_share_states(spark, tmp_path):
+    """A state for each bucket of files, and the batch reader's models."""
+    lines = spark.createDataFrame(list(random_lines(random.Random(3), 60, 12)), "file string, line_no bigint, value string").cache()
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(KIND).parquet(f"{tmp_path}/in")
+    held = []
+    for n in range(5):
+        rows = lines.where(F.floor(F.col("line_no") / 3) == n) if n < 4 else spark.createDataFrame([("/z.jsonl", 1, "{}")], lines.schema)
+        rows.withColumn("seen", F.timestamp_seconds(F.lit(1_700_000_000 + n * 600 + (100_000 if n == 4 else 0)))).write.mode("append").parquet(f"{tmp_path}/in")
+        query = streams.run_once(streams.attach_replies(stream, "seen", "30 minutes", buckets=5), f"{tmp_path}/out", f"{tmp_path}/state")
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(held) == 5 and held[-1] == 0
+    pairs = lambda df: sorted(map(tuple, df.select("message_ref", F.coalesce("model", F.lit("-"))).collect()))
+    assert pairs(spark.read.parquet(f"{tmp_path}/out")) == pairs(readers.transcripts(lines))
+
+
+def test_batches_are_written_by_several_tasks(spark):
+    lines = spark.range(40, numPartitions=4).select(F.concat(F.lit("/"), "id").alias("file"), (F.col("id") * 7 % 15).alias("line_no"), F.lit("{}").alias("value"))
+    counts = [len(spark.read.parquet(f"{home}/in").inputFiles()) for home in queries_ingest._in_batches(spark, lines, 3)]
+    assert counts == [4, 8, 12, 13]
+
+
 def test_windows_sort_no_text(spark):
     lines = spark.createDataFrame([("/a.jsonl", 1, user("a1"))], "file string, line_no bigint, value string")
     for reader in (readers.transcripts, readers.rollouts):
