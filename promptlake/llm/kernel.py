@@ -7,9 +7,9 @@ inside a multi-byte UTF-8 sequence. A word's identity is a 64-bit multilinear ha
 random value for each byte times a random weight for its place, summed and finished with
 an avalanche step; all sets and counts in the operators are over these hashes.
 
-A null text counts as an empty one. Batches are cut into chunks of about one
-megabyte at document borders, so memory depends on the chunk or on the longest single
-document, never on the batch or the partition.
+A null text counts as an empty one. Batches are cut into chunks of about a quarter
+of a megabyte at document borders, so memory (about 40 bytes for each byte of a chunk) depends on
+the chunk or on the longest single document, never on the batch or the partition.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .cluster import Scratch, keep, parts
+from .cluster import Scratch, few, keep, parts
 
 MIN_CHARS, MIN_DOCS = 20, 3
 KEYS_A_SHARD = 200_000
@@ -151,7 +151,8 @@ def _probe(key: tuple, lines: pa.Table, shards: pa.Table) -> pa.Table:
 def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, lost): the hashes of the lines that each document loses."""
     spark = docs.sparkSession
-    with Scratch(spark) as scratch:
+    most = few(docs)
+    with Scratch(spark, most) as scratch:
         rows = scratch.cut(line_rows(docs, min_chars))
         once = rows.groupBy("h1", "h2", "doc").count()
         keys = scratch.cut(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.coalesce(F.max("doc"), F.lit(_NONE + 1)).alias("keeper")).where(F.col("n_docs") >= min_docs))
@@ -164,7 +165,7 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
         asked = rows.withColumn("shard", shard).join(small, "shard").withColumn("copy", F.pmod(F.xxhash64("doc", "h2"), F.col("copies"))).drop("copies")
         index = shards.join(small, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).drop("copies")
         lost = asked.groupBy("shard", "copy").cogroup(index.groupBy("shard", "copy")).applyInArrow(_probe, "doc bigint, h2 bigint")
-        return keep(lost.groupBy("doc").agg(F.collect_set("h2").alias("lost")))
+        return keep(lost.groupBy("doc").agg(F.collect_set("h2").alias("lost")).coalesce(most))
 
 
 # -- documents ---------------------------------------------------------------------------

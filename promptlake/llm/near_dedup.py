@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .cluster import Scratch, keep, spread_join
+from .cluster import Scratch, few, keep, spread_join
 from .components import connected_components, merged
 
 POSITIONS = 64
@@ -231,8 +231,9 @@ def _verify_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept for every row of docs."""
-    with Scratch(docs.sparkSession) as scratch:
-        return keep(_groups(docs, k, percent, scratch))
+    most = few(docs)
+    with Scratch(docs.sparkSession, most) as scratch:
+        return keep(_groups(docs, k, percent, scratch).coalesce(most))
 
 
 def _tree_nodes(reps: DataFrame, percent: int, scratch: Scratch) -> list[DataFrame]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import cut
+from .cluster import cut, few
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -186,7 +186,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0)
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     spark = docs.sparkSession
     rows = cut(pieces(docs, path, capacity, end_id))
-    held = cut(rows.groupBy("part", "length").agg(F.count("*").alias("c")))
+    most = few(rows)
+    held = cut(rows.groupBy("part", "length").agg(F.count("*").alias("c")).coalesce(most))
     counts = {r["length"]: r["c"] for r in held.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most `capacity` rows
     chart = spark.sparkContext.broadcast(plan(counts, capacity))
     before = held.select("part", "length", (F.sum("c").over(Window.partitionBy("length").orderBy("part")) - F.col("c")).alias("before"))
@@ -202,4 +203,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0)
             sequence = p["base"][at] + rank - p["first"][at]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(p["offset"][at])], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return ranked.coalesce(most).mapInArrow(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

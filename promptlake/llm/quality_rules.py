@@ -228,24 +228,25 @@ def fit(stats: DataFrame, scratch: Scratch) -> DataFrame:
     rows = stats.where("n_words > 0").select(F.explode(_levels()).alias("key"), *(f"x{i}" for i in range(P)))
     enough = scratch.cut(rows.groupBy("key").count().where(F.col("count") >= LEAST).select("key"))
     most = len(STARTS) * enough.count()
+    one = math.ceil(most / PARAM_ROWS_BOUND) or 1  # parts of the estimates
     rows = rows.join(_small(enough, most), "key", "left_semi")
-    active = scratch.cut(_starts(rows))
+    active = scratch.cut(_starts(rows), one)
     done = []
     for step in range(STEPS):
         near = rows.join(_small(active, most), "key").select("key", "start", _bin(_distance()).alias("bin"))
         edge = _quantile_bins(near.groupBy("key", "start", "bin").count(), ["key", "start"], {"edge": COVER})
-        edged = scratch.cut(edge.join(_small(active, most), ["key", "start"]))
+        edged = scratch.cut(edge.join(_small(active, most), ["key", "start"]), one)
         inside = rows.join(_small(edged, most), "key").where(_bin(_distance()) <= F.col("edge"))
         new = _estimates(inside.select("key", "start", *(f"x{i}" for i in range(P))).groupBy("key", "start").agg(*_sums()))
         before = active.select("key", "start", F.col("det").alias("before"))
-        both = scratch.cut(new.join(_small(before, most), ["key", "start"]))
+        both = scratch.cut(new.join(_small(before, most), ["key", "start"]), one)
         falls = F.col("det") < (1 - STILL) * F.col("before")
         done.append(both.where(~falls) if step < STEPS - 1 else both)
         active = both.where(falls).drop("before")
         if active.isEmpty():
             break
     best = reduce(DataFrame.unionByName, done).groupBy("key").agg(F.min(F.struct("det", "start", *_M, *_Q)).alias("p"))
-    return best.select("key", "p.*")
+    return best.select("key", "p.*").coalesce(one)
 
 
 def judge(stats: DataFrame, params: DataFrame, limit: float) -> DataFrame:
