@@ -229,13 +229,15 @@ def fit(stats: DataFrame, scratch: Scratch) -> DataFrame:
     enough = scratch.cut(rows.groupBy("key").count().where(F.col("count") >= LEAST).select("key"))
     most = len(STARTS) * enough.count()
     one = math.ceil(most / PARAM_ROWS_BOUND) or 1  # parts of the estimates
+    # Here each estimate reads a row for every bin.
+    binned = max(2 * stats.sparkSession.sparkContext.defaultParallelism, math.ceil(most / 100))
     rows = rows.join(_small(enough, most), "key", "left_semi")
     active = scratch.cut(_starts(rows), one)
     done = []
     for step in range(STEPS):
         near = rows.join(_small(active, most), "key").select("key", "start", _bin(_distance()).alias("bin"))
         edge = _quantile_bins(near.groupBy("key", "start", "bin").count(), ["key", "start"], {"edge": COVER})
-        edged = scratch.cut(edge.join(_small(active, most), ["key", "start"]), one)
+        edged = scratch.cut(edge.join(_small(active, most), ["key", "start"]), binned)
         inside = rows.join(_small(edged, most), "key").where(_bin(_distance()) <= F.col("edge"))
         new = _estimates(inside.select("key", "start", *(f"x{i}" for i in range(P))).groupBy("key", "start").agg(*_sums()))
         before = active.select("key", "start", F.col("det").alias("before"))
